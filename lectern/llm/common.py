@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,3 +77,20 @@ def drop_scratch(spark: SparkSession, df: DataFrame) -> None:
         jvm = spark._jvm
         parent = jvm.org.apache.hadoop.fs.Path(f).getParent()
         parent.getFileSystem(spark._jsc.hadoopConfiguration()).delete(parent, True)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python once per application."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    top = Path(__file__).resolve().parents[2]
+    path = Path(tempfile.mkdtemp(prefix="spark-")) / "lectern_package.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted((top / "lectern").rglob("*.py")):
+            z.write(f, f.relative_to(top))
+    spark.sparkContext.addPyFile(str(path))

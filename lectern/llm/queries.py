@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import chat, mixing, neardup, packing, quality, sharding
 from .common import table
 
 QUERIES = {
     "op1_mix_sources": lambda spark, sf_dir: mixing.op1(table(spark, sf_dir, "documents")),
     "op2_shard_bytes": lambda spark, sf_dir: sharding.op2(table(spark, sf_dir, "documents")),
+    "op5_near_duplicates": lambda spark, sf_dir: neardup.op5(table(spark, sf_dir, "documents")),
+    "op6_chat_format": lambda spark, sf_dir: chat.op6(table(spark, sf_dir, "conversations")),
+    "op9_quality_rules": lambda spark, sf_dir: quality.op9(table(spark, sf_dir, "documents")),
+    "op10_pack": lambda spark, sf_dir: packing.op10(table(spark, sf_dir, "documents")),
 }
 
 ORACLES = {
     "op1_mix_sources": mixing.ORACLE_SQL,
+    "op6_chat_format": chat.ORACLE_SQL,
 }
