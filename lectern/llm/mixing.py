@@ -32,7 +32,10 @@ BROADCAST_SOURCES = 100_000
 
 def _queue_key(docs: DataFrame, digits: int) -> DataFrame:
     order = F.md5(F.concat_ws("|", F.lit(SEED), F.col("doc_id").cast("string")))
-    return docs.withColumns({"_mix_size": words(F.col("text")), "_mix_order": order, "_mix_cell": F.substring(order, 1, digits)})
+    return docs.withColumns({
+        "_mix_size": words(F.col("text")), "_mix_order": order, "_mix_cell": F.substring(order, 1, digits), "_mix_tie": F.crc32("text"),
+        "_mix_key": F.coalesce(F.concat(F.lit("="), "source"), F.lit("")),  # null is a source too
+    })
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, max_repeats=MAX_REPEATS) -> DataFrame:
@@ -60,10 +63,12 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_repeats=MAX_REPEATS) -
     )
 
 
-def mix_sources(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
+def mix_sources(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, keep: list[str] | None = None) -> DataFrame:
     """The rows of ``docs`` (doc_id, source, text and any others) with ``_mix_size``,
-    ``_mix_source_size``, ``_mix_target`` and ``_mix_copies``, the times a row is taken."""
-    spark, columns = docs.sparkSession, docs.columns
+    ``_mix_source_size``, ``_mix_target`` and ``_mix_copies``, the times a row is taken.
+
+    keep: the columns to carry along, all if not given; texts that aren't kept aren't shuffled."""
+    spark, columns = docs.sparkSession, docs.columns if keep is None else keep
     # Cells are hash ranges of a queue: no task ever holds a hot source. Their
     # count follows the rows; the order of the queue doesn't depend on it.
     digits = min(4, max(0, int(math.log(max(docs.count() / 64, 1), 16))))
@@ -79,12 +84,12 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS
     before = Window.partitionBy("source").orderBy("_mix_cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = cells.withColumn("_mix_before", F.coalesce(F.sum("_mix_cell_size").over(before), F.lit(0)))
     offsets = offsets.join(targets.withColumnRenamed("source", "_mix_s"), F.col("source").eqNullSafe(F.col("_mix_s"))).select(
-        F.col("source").alias("_mix_s"), F.col("_mix_cell").alias("_mix_c"), "_mix_before", "_mix_sid", "_mix_weight", "_mix_source_size", "_mix_target")
-    within = Window.partitionBy("source", "_mix_cell").orderBy("_mix_order", "doc_id", "_mix_size", F.crc32("text")).rowsBetween(Window.unboundedPreceding, 0)
+        F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("_mix_key"), "_mix_cell", "_mix_before", "_mix_sid", "_mix_weight", "_mix_source_size", "_mix_target")
+    within = Window.partitionBy("_mix_key", "_mix_cell").orderBy("_mix_order", "_mix_size", "_mix_tie").rowsBetween(Window.unboundedPreceding, 0)
     placed = saved(
-        _queue_key(docs, digits)
+        _queue_key(docs, digits).select(*columns, "_mix_key", "_mix_cell", "_mix_order", "_mix_size", "_mix_tie")
         .withColumn("_mix_upto", F.sum("_mix_size").over(within))
-        .join(offsets, F.col("source").eqNullSafe(F.col("_mix_s")) & (F.col("_mix_cell") == F.col("_mix_c")))
+        .join(offsets, ["_mix_key", "_mix_cell"])
         .withColumn("_mix_upto", F.col("_mix_upto") + F.col("_mix_before"))
         .select(*columns, "_mix_size", "_mix_source_size", "_mix_target", "_mix_sid", "_mix_weight", "_mix_upto"),
         "mix-placed",
@@ -125,7 +130,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 
 
 def op1(docs: DataFrame) -> DataFrame:
-    mix = mix_sources(docs.select("doc_id", "source", "text").withColumn("text", F.col("text")))
+    mix = mix_sources(docs, keep=["doc_id"])
     return mix.select(
         "doc_id", F.col("_mix_size").alias("size"), F.col("_mix_source_size").alias("source_size"),
         F.round("_mix_target", 6).alias("target"), (F.col("_mix_size") * F.col("_mix_copies")).cast("long").alias("taken"))
