@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, neardup, packing, quality, sharding, warc
+from . import chat, fingerprint, mixing, neardup, packing, quality, sharding, warc
 from .common import table
 
 QUERIES = {
     "op1_mix_sources": lambda spark, sf_dir: mixing.op1(table(spark, sf_dir, "documents")),
     "op2_shard_bytes": lambda spark, sf_dir: sharding.op2(table(spark, sf_dir, "documents")),
+    "op3_fingerprints": lambda spark, sf_dir: fingerprint.op3(table(spark, sf_dir, "documents")),
     "op4_warc": lambda spark, sf_dir: warc.op4(table(spark, sf_dir, "pages")),
     "op5_near_duplicates": lambda spark, sf_dir: neardup.op5(table(spark, sf_dir, "documents")),
     "op6_chat_format": lambda spark, sf_dir: chat.op6(table(spark, sf_dir, "conversations")),
