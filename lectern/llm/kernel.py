@@ -25,6 +25,9 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: All ASCII but letters.
+NO_LETTER = np.arange(256) < 128
+NO_LETTER[[*range(65, 91), *range(97, 123)]] = False
 _powers: list[np.ndarray] = []
 
 
@@ -60,9 +63,9 @@ class Texts:
             np.cumsum(_BYTE[self.data] * up[: len(self.data)], out=self._sums[1:])
         return mix64((self._sums[end] - self._sums[start]) * down[start] + (end - start).astype(U) * _COEF[63])
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts and ends of all words, and the n + 1 offsets of the texts' words."""
-        inside = ~SPACE[self.data]
+    def words(self, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of all words, and the n + 1 offsets of the texts' words. between: bytes that part words."""
+        inside = ~between[self.data]
         if not inside.any():
             z = np.zeros(0, np.int64)
             return z, z, np.zeros(self.n + 1, np.int64)

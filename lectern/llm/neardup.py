@@ -170,5 +170,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     return members.join(roots, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "cid").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` that stand for their component, with all their columns; of rows with one id, one."""
+    columns = docs.columns
+    found = near_duplicates(docs, shingle, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # rows without an id or with an id of their own stay; only rows that repeat an id are copies
+    heads = saved(found.select(F.col("doc_id").alias("_dup_id")).where("_dup_id is not null").distinct(), "heads")
+    kept = docs.join(F.broadcast(heads) if heads.count() <= BROADCAST_IDS else heads, docs["doc_id"] == F.col("_dup_id"), "left_semi")
+    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    return (kept.dropDuplicates(["doc_id"]) if repeated else kept).unionByName(docs.where("doc_id is null")).select(*columns)
+
+
 def op5(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprint, mixing, neardup, packing, quality, sharding, warc
+from . import chat, fingerprint, langid, mixing, neardup, packing, quality, sharding, toxicity, warc
 from .common import table
 
 QUERIES = {
@@ -12,6 +12,8 @@ QUERIES = {
     "op4_warc": lambda spark, sf_dir: warc.op4(table(spark, sf_dir, "pages")),
     "op5_near_duplicates": lambda spark, sf_dir: neardup.op5(table(spark, sf_dir, "documents")),
     "op6_chat_format": lambda spark, sf_dir: chat.op6(table(spark, sf_dir, "conversations")),
+    "op7_language": lambda spark, sf_dir: langid.op7(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")),
+    "op8_toxicity": lambda spark, sf_dir: toxicity.op8(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op9_quality_rules": lambda spark, sf_dir: quality.op9(table(spark, sf_dir, "documents")),
     "op10_pack": lambda spark, sf_dir: packing.op10(table(spark, sf_dir, "documents")),
 }
