@@ -1,6 +1,474 @@
-"""The registered queries of the catalogue engine and their SQL."""
+"""The registered queries of the catalogue engine and their SQL.
+
+The tables at hand stand in for a catalogue: parts for editions, orders for
+files, line items for links between the two, events for descriptors and
+changes, documents for a text corpus, benchmark items for a query workload.
+Every query reads its whole tables.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lectern.functions import text as T
+from lectern.operators import maintain, rank, search, stage
+from lectern.session import table
+from lectern.streaming import incremental
+
 QUERIES = {}
 ORACLES = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+# ---------------------------------------------------------------- search
+
+TOKENS = r"""
+raw AS (SELECT doc_id, lang, unnest(regexp_extract_all(text, '[\p{L}\p{N}]+')) AS t FROM documents),
+tok AS (SELECT doc_id, lang, replace(strip_accents(lower(t)), 'ß', 'ss') AS token FROM raw WHERE strlen(t) < 40),
+len AS (SELECT d.doc_id, count(tok.token) AS len FROM documents d LEFT JOIN tok ON tok.doc_id = d.doc_id GROUP BY d.doc_id),
+stat AS (SELECT count(*) AS n, avg(len) AS mean_len FROM len),
+qraw AS (SELECT item_id AS query_id, unnest(regexp_extract_all(array_to_string(list_slice(regexp_split_to_array(trim(text), '\s+'), 1, 4), ' '), '[\p{L}\p{N}]+')) AS t FROM benchmark),
+q AS (SELECT DISTINCT query_id, replace(strip_accents(lower(t)), 'ß', 'ss') AS term FROM qraw WHERE strlen(t) < 40),
+qn AS (SELECT query_id, count(*) AS n_terms FROM q GROUP BY query_id),
+"""
+WEIGHT = """
+tf AS (SELECT doc_id, token, count(*) AS tf FROM tok WHERE token IN (SELECT term FROM q) GROUP BY doc_id, token),
+df AS (SELECT token, count(*) AS df FROM tf GROUP BY token),
+w AS (SELECT tf.doc_id, tf.token, ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len.len / mean_len))) AS weight
+      FROM tf JOIN df USING (token) JOIN len USING (doc_id), stat),
+"""
+SCORED = """
+s AS (SELECT q.query_id, w.doc_id, qn.n_terms, round(sum(w.weight), 6) AS score, count(*) AS found
+      FROM w JOIN q ON q.term = w.token JOIN qn USING (query_id) GROUP BY ALL),
+"""
+TOP = """
+SELECT query_id, doc_id, score, position FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS position FROM {rows}) WHERE position <= 40
+"""
+
+
+def _workload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark item's first four words are a query."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), T.first_words(F.col("text")).alias("query"))
+
+
+def _text() -> dict:
+    return {"text": F.col("text")}
+
+
+@query("WITH " + TOKENS.split("len AS")[0].rstrip().rstrip(",") + " SELECT lang, token, count(*) AS n FROM tok GROUP BY lang, token")
+def tokenize_counts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("lang", F.explode(T.analyze(F.col("text"))).alias("token")).groupBy("lang", "token").agg(F.count("*").alias("n"))
+
+
+@query("WITH " + TOKENS + WEIGHT + SCORED.rstrip().rstrip(",") + TOP.format(rows="s WHERE found = n_terms"))
+def bm25_and(spark, sf_dir):
+    return search.bm25(table(spark, sf_dir, "documents"), _workload(spark, sf_dir), _text(), every_term=True)
+
+
+@query("WITH " + TOKENS + WEIGHT + SCORED.rstrip().rstrip(",") + TOP.format(rows="s"))
+def bm25_or(spark, sf_dir):
+    return search.bm25(table(spark, sf_dir, "documents"), _workload(spark, sf_dir), _text(), every_term=False)
+
+
+FIELDS_SQL = r"""
+WITH f AS (
+  SELECT p_partkey AS doc_id, 'title' AS field, 3.0 AS boost, p_name AS t FROM part
+  UNION ALL SELECT p_partkey, 'author', 2.0, p_brand FROM part
+  UNION ALL SELECT p_partkey, 'series', 1.2, p_type FROM part),
+tok AS (SELECT doc_id, field, boost, unnest(regexp_extract_all(lower(t), '[\p{L}\p{N}]+')) AS token FROM f),
+len AS (SELECT doc_id, field, count(*) AS len FROM tok GROUP BY doc_id, field),
+stat AS (SELECT field, avg(len) AS mean_len, count(*) AS n FROM len GROUP BY field),
+q AS (SELECT DISTINCT l_returnflag || l_linestatus AS query_id, unnest(string_split('red bolt economy brand', ' ')) AS term FROM lineitem WHERE l_returnflag = 'A' AND l_linestatus = 'F'),
+tf AS (SELECT doc_id, field, boost, token, count(*) AS tf FROM tok WHERE token IN (SELECT term FROM q) GROUP BY ALL),
+df AS (SELECT field, token, count(*) AS df FROM tf GROUP BY ALL),
+w AS (SELECT doc_id, token, boost * ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean_len))) AS weight
+      FROM tf JOIN df USING (field, token) JOIN len USING (doc_id, field) JOIN stat USING (field)),
+s AS (SELECT query_id, doc_id, round(sum(weight), 6) AS score, count(DISTINCT token) AS found FROM w JOIN q ON term = token GROUP BY ALL)
+"""
+
+
+@query(FIELDS_SQL + "SELECT 'red bolt economy brand' AS query, doc_id, score, position FROM (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS position FROM s WHERE found = 4) WHERE position <= 40")
+def bm25_multifield(spark, sf_dir):
+    parts = table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "doc_id")
+    text = "red bolt economy brand"
+    queries = spark.range(1).select(F.lit(0).alias("query_id"), F.lit(text).alias("query"))
+    found = search.bm25(parts, queries, {"title": F.col("p_name"), "author": F.col("p_brand"), "series": F.col("p_type")}, True, search.BOOSTS)
+    return found.select(F.lit(text).alias("query"), "doc_id", "score", "position")
+
+
+@query("WITH " + TOKENS + "v AS (SELECT DISTINCT token FROM tok) SELECT DISTINCT term, token FROM q JOIN v ON abs(length(term) - length(token)) <= 1 AND damerau_levenshtein(term, token) <= 1")
+def fuzzy_terms(spark, sf_dir):
+    terms = search.query_terms(_workload(spark, sf_dir))
+    vocabulary = search.postings(table(spark, sf_dir, "documents"), _text()).select("token").distinct()
+    return search.fuzzy_terms(terms, vocabulary)
+
+
+CASCADE = """
+v AS (SELECT DISTINCT token FROM tok),
+near AS (SELECT DISTINCT term, token FROM q JOIN v ON abs(length(term) - length(token)) <= 1 AND damerau_levenshtein(term, token) <= 1),
+tf AS (SELECT doc_id, token, count(*) AS tf FROM tok WHERE token IN (SELECT token FROM near) GROUP BY doc_id, token),
+df AS (SELECT token, count(*) AS df FROM tf GROUP BY token),
+w AS (SELECT tf.doc_id, tf.token, ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len.len / mean_len))) AS weight
+      FROM tf JOIN df USING (token) JOIN len USING (doc_id), stat),
+h AS (SELECT doc_id, term, sum(weight) FILTER (term = w.token) AS weight FROM w JOIN near ON near.token = w.token GROUP BY doc_id, term),
+f AS (SELECT query_id, doc_id, n_terms, count(weight) AS exact, count(*) AS anyhow, sum(weight) AS es, sum(coalesce(weight, 1.0)) AS sc
+      FROM h JOIN q USING (term) JOIN qn USING (query_id) GROUP BY ALL),
+a AS (SELECT *, CASE WHEN exact = n_terms THEN 1 WHEN anyhow = n_terms THEN 2 WHEN exact > 0 THEN 3 END AS own FROM f),
+b AS (SELECT *, min(own) OVER (PARTITION BY query_id) AS attempt FROM a WHERE own IS NOT NULL),
+c AS (SELECT query_id, doc_id, attempt, round(CASE WHEN attempt = 2 THEN sc ELSE es END, 6) AS score FROM b WHERE own = attempt OR (attempt = 3 AND exact > 0))
+SELECT query_id, doc_id, score, attempt, position FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS position FROM c) WHERE position <= 40
+"""
+
+
+@query("WITH " + TOKENS + CASCADE)
+def search_cascade(spark, sf_dir):
+    return search.cascade(table(spark, sf_dir, "documents"), _workload(spark, sf_dir), _text())
+
+
+@query("WITH documents AS (SELECT * FROM documents WHERE lower(lang) IN ('en', 'de'))," + TOKENS.replace("FROM documents)", "FROM documents)") + CASCADE)
+def search_filtered(spark, sf_dir):
+    return search.cascade(table(spark, sf_dir, "documents"), _workload(spark, sf_dir), _text(), where=search.in_list(F.col("lang"), " EN, de,, "))
+
+
+@query("SELECT l_returnflag, count(*) AS requests, count(p_partkey) AS known FROM lineitem LEFT JOIN part ON p_partkey = l_partkey GROUP BY l_returnflag")
+def lookup_key(spark, sf_dir):
+    books = table(spark, sf_dir, "part").select(F.md5(F.col("p_partkey").cast("string")).alias("md5"))
+    asked = table(spark, sf_dir, "lineitem").select("l_returnflag", F.upper(F.md5(F.col("l_partkey").cast("string"))).alias("md5"))
+    return search.lookup(books, asked, "md5").groupBy("l_returnflag").agg(F.count("*").alias("requests"), F.sum(F.col("known").cast("long")).alias("known"))
+
+
+@query("""SELECT l_partkey, l_extendedprice, l_orderkey, l_linenumber FROM (
+  SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS r FROM lineitem) WHERE r = 1""")
+def dedupe_first(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_partkey", "l_extendedprice", "l_orderkey", "l_linenumber")
+    return search.dedupe_first(rows, "l_partkey", [F.desc("l_extendedprice"), F.asc("l_orderkey"), F.asc("l_linenumber")])
+
+
+# --------------------------------------------------------------- ranking
+
+EXT = ("epub", "azw3", "mobi", "fb2", "txt", "docx", "pdf", "djvu", "zip")
+BOOKS_SQL = f"""
+WITH b AS (
+  SELECT p_brand AS query_id, p_partkey AS doc_id, p_retailprice AS bm25, p_name AS title, CASE WHEN p_size % 3 = 0 THEN '' ELSE p_brand END AS author,
+         CASE WHEN p_size % 5 = 0 THEN '' ELSE '1999' END AS year, 'en' AS language, CASE WHEN p_size % 2 = 0 THEN '' ELSE p_type END AS publisher,
+         ['{"', '".join(EXT)}'][p_size % 9 + 1] AS extension, (p_size * 2000003) % 99000000 AS filesize
+  FROM part),
+h AS (
+  SELECT *, bm25 / max(bm25) OVER (PARTITION BY query_id) AS bm25n,
+    0.8 * CASE extension WHEN 'epub' THEN 1.0 WHEN 'azw3' THEN 0.95 WHEN 'mobi' THEN 0.85 WHEN 'fb2' THEN 0.75 WHEN 'txt' THEN 0.5 WHEN 'docx' THEN 0.4 WHEN 'pdf' THEN 0.35 WHEN 'djvu' THEN 0.15 ELSE 0.2 END
+    + 0.2 * CASE WHEN filesize = 0 THEN 0.6 WHEN extension IN ('epub', 'azw3', 'mobi', 'fb2') AND filesize / 1048576 < 0.05 THEN 0.2
+                 WHEN extension IN ('epub', 'azw3', 'mobi', 'fb2') AND filesize / 1048576 > 60 THEN 0.6 WHEN extension = 'pdf' AND filesize / 1048576 > 80 THEN 0.5 ELSE 1.0 END AS ereader,
+    CASE WHEN regexp_matches(lower(title), 'summary|study guide|sparknotes|cliffsnotes|sample|excerpt') THEN 0.2
+         ELSE 0.8 + 0.2 * ((author <> '')::INT + (year <> '')::INT + (language <> '')::INT + (publisher <> '')::INT) / 4 END AS genuine
+  FROM b),
+r AS (SELECT *, round((0.65 * bm25n + 0.35 * ereader) * (0.6 + 0.4 * genuine), 6) AS score FROM h)
+"""
+
+
+def _books(spark, sf_dir) -> DataFrame:
+    size = F.col("p_size")
+    return table(spark, sf_dir, "part").select(
+        F.col("p_brand").alias("query_id"), F.col("p_partkey").alias("doc_id"), F.col("p_retailprice").alias("bm25"), F.col("p_name").alias("title"),
+        F.when(size % 3 == 0, "").otherwise(F.col("p_brand")).alias("author"), F.when(size % 5 == 0, "").otherwise("1999").alias("year"), F.lit("en").alias("language"),
+        F.when(size % 2 == 0, "").otherwise(F.col("p_type")).alias("publisher"), F.element_at(F.array(*map(F.lit, EXT)), size % 9 + 1).alias("extension"), ((size * 2000003) % 99000000).alias("filesize"))
+
+
+@query(BOOKS_SQL + "SELECT query_id, doc_id, round(ereader::DOUBLE, 6) AS ereader, round(genuine, 6) AS genuine, score FROM r")
+def heuristic_rank(spark, sf_dir):
+    return rank.heuristic(_books(spark, sf_dir)).select("query_id", "doc_id", *[F.round(c, 6).alias(c) for c in ("ereader", "genuine", "score")])
+
+
+@query(BOOKS_SQL + """,
+p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, doc_id) AS bm25_position FROM r),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25_position > 10, CASE WHEN bm25_position <= 10 THEN -score END, bm25_position) AS position FROM p)
+SELECT query_id, doc_id, position, bm25_position, score FROM o WHERE position <= 25""")
+def head_tail_rank(spark, sf_dir):
+    # scores that agree to six digits count as equal, so that both engines order them alike
+    rows = rank.heuristic(_books(spark, sf_dir))
+    ranked = rank.rerank(rows.select(*_books(spark, sf_dir).columns), window=10, limit=25)
+    w = Window.partitionBy("query_id").orderBy(F.col("bm25_position") > 10, F.when(F.col("bm25_position") <= 10, -F.round("score", 6)), "bm25_position")
+    return ranked.withColumn("position", F.row_number().over(w)).select("query_id", "doc_id", "position", "bm25_position", F.round("score", 6).alias("score"))
+
+
+@query(BOOKS_SQL + """,
+k AS (SELECT *, lower(trim(title)) || '␟' || lower(trim(author)) AS work, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, doc_id) AS position FROM b),
+g AS (SELECT query_id, work, min(position) AS first, count(*) AS files FROM k GROUP BY query_id, work)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first, work) AS place FROM g) WHERE place <= 8""")
+def work_group_top8(spark, sf_dir):
+    rows = _books(spark, sf_dir)
+    position = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bm25"), "doc_id"))
+    return rank.first_works(rows.withColumn("position", position)).select("query_id", "work", "first", "files", "place")
+
+
+@query("""WITH a AS (SELECT doc_id, [1.0 - quality * 0.5, quality * 0.3, toxic * 0.4] AS p, doc_id % 5 AS score FROM labels)
+SELECT doc_id, round(greatest(0, least(1, CASE WHEN p[1] + p[2] + p[3] > 0 AND doc_id % 2 = 0 THEN (p[2] + 2 * p[3]) / (p[1] + p[2] + p[3]) / 2
+  ELSE (CASE WHEN score > 2 THEN score - 1 ELSE score END) / 2 END)), 6) AS relevance FROM a""")
+def model_score_normalise(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels")
+    p = F.when(F.col("doc_id") % 2 == 0, F.array(1.0 - F.col("quality") * 0.5, F.col("quality") * 0.3, F.col("toxic") * 0.4)).otherwise(F.array(F.lit(0.0)))
+    return labels.select("doc_id", F.round(rank.expected_level(p, F.col("doc_id") % 5, 3), 6).alias("relevance"))
+
+
+@query("""WITH a AS (SELECT doc_id, source AS query_id, quality * 4.0 + doc_id % 7 AS relevant, toxic * 9.0 + doc_id % 3 AS aid FROM labels JOIN documents USING (doc_id))
+SELECT doc_id, query_id, round(exp((relevant - max(relevant) OVER (PARTITION BY query_id)) / 4), 6) AS relevance, round(1 - 1 / (1 + exp(-(aid - 6.5))), 6) AS genuine FROM a""")
+def model_calibrate(spark, sf_dir):
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    answers = rows.select("doc_id", F.col("source").alias("query_id"), (F.col("quality") * 4.0 + F.col("doc_id") % 7).alias("relevant"), (F.col("toxic") * 9.0 + F.col("doc_id") % 3).alias("aid"))
+    return rank.calibrate(answers).select("doc_id", "query_id", F.round("relevance", 6).alias("relevance"), F.round("genuine", 6).alias("genuine"))
+
+
+# --------------------------------------------------------------- staging
+
+TOPIC = "CASE p_type WHEN 'ECONOMY' THEN 'f' WHEN 'SMALL' THEN 'l' WHEN 'PROMO' THEN 'a' ELSE 's' END"
+EDITIONS_SQL = f"""
+editions AS (SELECT p_partkey AS e_id, {TOPIC} AS libgen_topic, CASE WHEN p_size = 1 THEN 'no' ELSE '' END AS visible, p_name AS title, p_brand AS author FROM part),
+kept AS (SELECT * FROM editions WHERE visible = '' AND libgen_topic IN ('f', 'l', 's') AND title <> '')
+"""
+FILES_SQL = """
+files AS (SELECT o_orderkey AS f_id, CASE o_orderstatus WHEN 'P' THEN 'a' ELSE lower(o_orderstatus) END AS libgen_topic,
+  ['epub', 'pdf', 'zip', 'mobi', 'TXT'][substr(o_orderpriority, 1, 1)::INT] AS extension, '' AS visible, CASE WHEN o_orderkey % 11 = 0 THEN 'Y' ELSE 'N' END AS broken,
+  md5(o_orderkey::VARCHAR) AS md5, o_totalprice::BIGINT AS filesize FROM orders),
+kept_files AS (SELECT * FROM files WHERE libgen_topic IN ('f', 'o') AND lower(extension) IN ('epub', 'pdf', 'mobi', 'txt') AND broken <> 'Y')
+"""
+DESCR_SQL = "descr AS (SELECT user_id AS e_id, CASE event_type WHEN 'view' THEN 101 WHEN 'click' THEN 505 ELSE 305 END AS key, props AS value, event_id AS seq FROM events)"
+TOPICS, FILE_TOPICS, FILE_EXT = ("f", "l", "s"), ("f", "o"), ("epub", "pdf", "mobi", "txt")
+
+
+def _editions(spark, sf_dir) -> DataFrame:
+    kind = F.col("p_type")
+    return table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("e_id"), F.when(kind == "ECONOMY", "f").when(kind == "SMALL", "l").when(kind == "PROMO", "a").otherwise("s").alias("libgen_topic"),
+        F.when(F.col("p_size") == 1, "no").otherwise("").alias("visible"), F.col("p_name").alias("title"), F.col("p_brand").alias("author"), F.col("p_type").alias("series_name"), F.lit("").alias("publisher"), F.lit("1999").alias("year"))
+
+
+def _files(spark, sf_dir) -> DataFrame:
+    status = F.col("o_orderstatus")
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("f_id"), F.when(status == "P", "a").otherwise(F.lower(status)).alias("libgen_topic"),
+        F.element_at(F.array(*map(F.lit, ("epub", "pdf", "zip", "mobi", "TXT"))), F.substring("o_orderpriority", 1, 1).cast("int")).alias("extension"), F.lit("").alias("visible"),
+        F.when(F.col("o_orderkey") % 11 == 0, "Y").otherwise("N").alias("broken"), F.md5(F.col("o_orderkey").cast("string")).alias("md5"), F.round("o_totalprice").cast("long").alias("filesize"), F.lit(0).alias("pages"))
+
+
+def _links(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("f_id"), F.col("l_partkey").alias("e_id"))
+
+
+def _descriptors(spark, sf_dir) -> DataFrame:
+    kind = F.col("event_type")
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("e_id"), F.when(kind == "view", 101).when(kind == "click", 505).otherwise(305).alias("key"), F.col("props").alias("value"), F.col("event_id").alias("seq"))
+
+
+@query(f"WITH {EDITIONS_SQL} SELECT e_id, libgen_topic, title FROM kept")
+def stage_filter_editions(spark, sf_dir):
+    return stage.keep_editions(_editions(spark, sf_dir), TOPICS).select("e_id", "libgen_topic", "title")
+
+
+@query(f"WITH {FILES_SQL} SELECT f_id, libgen_topic, extension, md5 FROM kept_files")
+def stage_filter_files(spark, sf_dir):
+    return stage.keep_files(_files(spark, sf_dir), FILE_TOPICS, FILE_EXT).select("f_id", "libgen_topic", "extension", "md5")
+
+
+@query(f"WITH {EDITIONS_SQL} SELECT l_orderkey AS f_id, l_partkey AS e_id FROM lineitem WHERE l_partkey IN (SELECT e_id FROM kept)")
+def kept_semi(spark, sf_dir):
+    return _links(spark, sf_dir).join(stage.keep_editions(_editions(spark, sf_dir), TOPICS).select("e_id"), "e_id", "left_semi").select("f_id", "e_id")
+
+
+@query(f"WITH {EDITIONS_SQL} SELECT l_orderkey AS f_id, min(l_partkey) AS e_id FROM lineitem WHERE l_partkey IN (SELECT e_id FROM kept) GROUP BY l_orderkey")
+def file_min_edition_join(spark, sf_dir):
+    return stage.lowest_link(_links(spark, sf_dir), stage.keep_editions(_editions(spark, sf_dir), TOPICS))
+
+
+@query(f"WITH {DESCR_SQL} SELECT e_id, arg_min(value, seq) AS value FROM descr WHERE key = 101 GROUP BY e_id")
+def first_descriptor(spark, sf_dir):
+    return stage.first_descriptor(_descriptors(spark, sf_dir).where("key = 101"), "e_id", "seq")
+
+
+@query(f"WITH {DESCR_SQL} SELECT e_id, string_agg(value, '|' ORDER BY seq) AS value FROM descr WHERE key = 505 GROUP BY e_id")
+def concat_descriptor(spark, sf_dir):
+    return stage.joined_descriptors(_descriptors(spark, sf_dir).where("key = 505"), "e_id", "seq")
+
+
+@query(f"""WITH {EDITIONS_SQL}, {FILES_SQL}, {DESCR_SQL},
+link AS (SELECT l_orderkey AS f_id, min(l_partkey) AS e_id FROM lineitem WHERE l_partkey IN (SELECT e_id FROM kept) GROUP BY l_orderkey),
+lang AS (SELECT e_id, arg_min(value, seq) AS language FROM descr WHERE key = 101 AND e_id IN (SELECT e_id FROM kept) GROUP BY e_id),
+num AS (SELECT e_id, string_agg(regexp_replace(value, '[- ]', '', 'g'), '|' ORDER BY seq) AS isbn FROM descr WHERE key = 505 AND e_id IN (SELECT e_id FROM kept) GROUP BY e_id)
+SELECT md5, title, author, lower(coalesce(language, '')) AS language, lower(extension) AS extension, round(o_totalprice)::BIGINT AS filesize, coalesce(isbn, '') AS isbn, 'shop' AS source
+FROM kept_files JOIN orders ON o_orderkey = f_id JOIN link USING (f_id) JOIN kept USING (e_id) LEFT JOIN lang USING (e_id) LEFT JOIN num USING (e_id)""")
+def books(spark, sf_dir):
+    out = stage.books(_editions(spark, sf_dir), _descriptors(spark, sf_dir), _links(spark, sf_dir), _files(spark, sf_dir).where(F.col("libgen_topic").isin(*FILE_TOPICS)).withColumn("libgen_topic", F.lit("f")), "shop", TOPICS, FILE_EXT)
+    return out.select("md5", "title", "author", "language", "extension", "filesize", F.array_join("isbn", "|").alias("isbn"), "source")
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_shipdate, l_extendedprice FROM (
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_extendedprice DESC) AS r FROM lineitem) WHERE r = 1""")
+def insert_or_replace(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_extendedprice")
+    return stage.last_by_key(rows, ["l_orderkey", "l_linenumber"], ["l_shipdate", "l_extendedprice"])
+
+
+@query("SELECT 'l' AS topic, max(o_orderkey)::BIGINT AS max_id FROM orders UNION ALL SELECT 'f', max(o_custkey)::BIGINT FROM orders")
+def max_ids_per_topic(spark, sf_dir):
+    return stage.max_ids(table(spark, sf_dir, "orders"), {"l": "o_orderkey", "f": "o_custkey"})
+
+
+@query("SELECT arg_min(p_partkey, (length(p_name), p_partkey)) AS key FROM part WHERE contains(lower(p_name), 'bolt')")
+def resolve_key(spark, sf_dir):
+    return stage.resolve_key(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("name_en")), "Bolt")
+
+
+@query(f"WITH {EDITIONS_SQL}, {FILES_SQL} SELECT 'editions' AS \"table\", count(*) AS rows FROM kept UNION ALL SELECT 'files', count(*) FROM kept_files")
+def stage_counts(spark, sf_dir):
+    return stage.stage_counts(editions=stage.keep_editions(_editions(spark, sf_dir), TOPICS), files=stage.keep_files(_files(spark, sf_dir), FILE_TOPICS, FILE_EXT))
+
+
+# ------------------------------------------------- maintenance and changes
+
+
+@query("""SELECT doc_id, lang, source, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
+UNION ALL SELECT doc_id, 'xx', 'fixed', quality::BIGINT FROM labels WHERE toxic = 0""")
+def upsert_delete(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    labels = table(spark, sf_dir, "labels")
+    new = labels.where("toxic = 0").select("doc_id", F.lit("xx").alias("lang"), F.lit("fixed").alias("source"), F.col("quality").cast("long").alias("n_chars"))
+    return maintain.apply_changes(docs, labels.select("doc_id"), new, "doc_id").select(F.col("doc_id").cast("long"), "lang", "source", "n_chars")
+
+
+@query("SELECT doc_id, source, n_chars FROM documents WHERE source <> 'src3' UNION ALL SELECT doc_id, 'src3', 0 FROM labels")
+def replace_source(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    return maintain.replace_source(docs, table(spark, sf_dir, "labels").select("doc_id", F.lit("src3").alias("source"), F.lit(0).cast("long").alias("n_chars")), "src3")
+
+
+@query(f"""WITH {FILES_SQL} SELECT CASE WHEN broken = 'Y' OR lower(extension) NOT IN ('epub', 'pdf', 'mobi', 'txt') THEN 'removal' WHEN f_id IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') THEN 'unchanged' ELSE 'new' END AS change, count(*) AS files
+FROM files GROUP BY ALL""")
+def classify_changes(spark, sf_dir):
+    known = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.md5(F.col("l_orderkey").cast("string")).alias("md5"))
+    return incremental.classify(_files(spark, sf_dir), known, FILE_EXT).groupBy("change").agg(F.count("*").alias("files"))
+
+
+@query("""WITH i AS (SELECT o_orderstatus AS topic, o_orderkey * o_orderkey // 100 AS id FROM orders),
+s AS (SELECT topic, id // 1000 AS k, count(*) AS rows, max(id) AS max_id FROM i GROUP BY ALL),
+e AS (SELECT *, k - coalesce(lag(k) OVER (PARTITION BY topic ORDER BY k), -1) - 1 AS empty FROM s),
+c AS (SELECT *, max((empty >= 4)::INT) OVER (PARTITION BY topic ORDER BY k ROWS UNBOUNDED PRECEDING) AS cut FROM e)
+SELECT topic, (k * 1000)::BIGINT AS window_start, rows, (max_id + 1)::BIGINT AS next_id FROM c WHERE cut = 0""")
+def keyset_windows(spark, sf_dir):
+    ids = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("topic"), F.floor(F.col("o_orderkey") * F.col("o_orderkey") / 100).alias("id"))
+    return incremental.windows(ids, 1000)
+
+
+@query("""SELECT user_id, event_type, value, day FROM (SELECT user_id, event_type, value, CAST(ts AS DATE) AS day,
+  row_number() OVER (PARTITION BY user_id ORDER BY CAST(ts AS DATE) DESC, event_id DESC) AS r FROM events) WHERE r = 1""")
+def day_replay(spark, sf_dir):
+    changes = table(spark, sf_dir, "events").select("user_id", "event_type", "value", "event_id", F.to_date("ts").alias("day"))
+    return incremental.replay(changes, "day", "user_id", ["event_id"]).select("user_id", "event_type", "value", "day")
+
+
+@query("""WITH p AS (SELECT o_orderstatus AS mirror, strftime(o_orderdate, '%Y-%m-%d') AS snapshot_date, l_linenumber::BIGINT AS part FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
+s AS (SELECT mirror, snapshot_date, max(part) AS volumes, count(DISTINCT part) AS seen, min(part) AS least FROM p GROUP BY ALL)
+SELECT mirror, max(snapshot_date) AS snapshot_date, arg_max(volumes, snapshot_date) AS volumes FROM s WHERE least = 1 AND seen = volumes GROUP BY mirror""")
+def snapshot_discovery(spark, sf_dir):
+    from lectern.sources import discovery
+
+    orders, items = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    name = F.concat(F.lit("dump_"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(".part"), F.lpad(F.col("l_linenumber").cast("string"), 2, "0"), F.lit(".rar"))
+    return discovery.newest(items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_orderstatus").alias("mirror"), name.alias("name")))
+
+
+# --------------------------------------------------------------- scalars
+
+
+@query("SELECT event_id, (props::JSON->>'k')::BIGINT AS k FROM events")
+def json_related_ids(spark, sf_dir):
+    from lectern.sources import api_pages
+
+    pages = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit('{"7": {"links": {"a": '), F.regexp_replace("props", '"k"', '"e_id"'), F.lit("}}}")).alias("body"))
+    rows = pages.select("event_id", F.explode(F.map_values(F.from_json("body", api_pages.RECORDS))).alias("record"))
+    return rows.select("event_id", api_pages.related_ids(F.col("record"), "links", "e_id")[0].alias("k"))
+
+
+@query(r"""SELECT page_id, regexp_extract(url, '^[^;&]*') AS author,
+  rtrim(CASE WHEN n = '' THEN 'Unknown' ELSE n END) AS name FROM (
+  SELECT page_id, url, left(regexp_replace(trim(regexp_replace(regexp_replace(url, '[[:cntrl:]/\\:*?"<>|]', ' ', 'g'), '\s+', ' ', 'g')), '^[.\s]+|[.\s]+$', '', 'g'), 30) AS n FROM pages)""")
+def path_sanitize(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.primary_author(F.col("url")).alias("author"), T.sanitize(F.col("url"), 30).alias("name"))
+
+
+@query(r"""SELECT p_partkey, CASE WHEN n = 0 THEN '' WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN (CASE WHEN n / 1024 < 10 THEN printf('%.1f', floor(n / 1024 * 10 + 0.5) / 10) ELSE floor(n / 1024 + 0.5)::BIGINT::VARCHAR END) || ' KB'
+  ELSE (CASE WHEN n / 1048576 < 10 THEN printf('%.1f', floor(n / 1048576 * 10 + 0.5) / 10) ELSE floor(n / 1048576 + 0.5)::BIGINT::VARCHAR END) || ' MB' END AS size,
+  upper(left(split_part(p_name, ' ', 1), 1)) || upper(left(split_part(p_name, ' ', 2), 1)) AS initials
+FROM (SELECT *, p_partkey * p_partkey * p_size AS n FROM part)""")
+def byte_size_initials(spark, sf_dir):
+    n = F.col("p_partkey") * F.col("p_partkey") * F.col("p_size")
+    return table(spark, sf_dir, "part").select("p_partkey", T.byte_size(n).alias("size"), T.initials(F.col("p_name")).alias("initials"))
+
+
+@query("SELECT o_orderkey, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE))::INT AS day, strftime(CAST(o_orderdate AS DATE) - 1, '%Y-%m-%d') AS start FROM orders")
+def date_days_roundtrip(spark, sf_dir):
+    day = T.day_number(F.to_date("o_orderdate"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", day.alias("day"), T.day_text(day - 1).alias("start"))
+
+
+# --------------------------------------------------------------- sources
+
+
+@query("SELECT c_custkey::VARCHAR AS c_custkey, c_name || chr(10) || '''' || c_mktsegment AS c_name, c_nationkey::VARCHAR AS c_nationkey FROM customer")
+def sqldump_scan(spark, sf_dir):
+    """Customers written as a text dump and read back."""
+    from lectern.sources import sqldump
+
+    path = _folder(spark, "dump")
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.concat("c_name", F.lit("\n'"), "c_mktsegment").alias("c_name"), "c_nationkey")
+    sqldump.write_dump(rows, "customer", path)
+    return sqldump.read_dump(spark, path, "customer")
+
+
+@query("SELECT l_orderkey, l_partkey, l_linenumber::BIGINT AS l_linenumber FROM lineitem WHERE l_returnflag <> 'R'")
+def fixed_table_scan(spark, sf_dir):
+    """Line items written as fixed-width records, returned ones marked deleted, and read back."""
+    from lectern.sources import binary
+
+    def little(c, size):
+        return F.unhex(F.regexp_replace(F.reverse(F.lpad(F.hex(c), size * 2, "0")), "(.)(.)", "$2$1"))
+
+    path = _folder(spark, "fixed")
+    flag = F.when(F.col("l_returnflag") == "R", F.unhex(F.lit("00"))).otherwise(F.unhex(F.lit("01")))
+    record = F.concat(flag, little(F.col("l_orderkey"), 8), little(F.col("l_partkey"), 8), little(F.col("l_linenumber"), 4)).cast("string")
+    table(spark, sf_dir, "lineitem").select(record.alias("value")).write.option("lineSep", "Z").text(path)
+    columns = [binary.ColumnDef("l_orderkey", 1, 8, 8), binary.ColumnDef("l_partkey", 9, 8, 8), binary.ColumnDef("l_linenumber", 17, 4, 3)]
+    return binary.read_fixed(spark, path, columns, binary.Layout(False, 0, 22))
+
+
+@query("""SELECT user_id, event_type, value FROM (SELECT user_id, event_type, value,
+  row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1""")
+def stream_upsert(spark, sf_dir):
+    """Events as a stream of upserts, batch by batch, into a versioned table."""
+    store = maintain.Store(spark, _folder(spark, "store"))
+    source = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
+
+    def apply(batch, _):
+        new = stage.last_by_key(batch.select("user_id", "event_id", "event_type", "value"), ["user_id"], ["event_id"])
+        books = store.read()
+        both = new if books is None else stage.last_by_key(books.unionByName(new), ["user_id"], ["event_id"])
+        store.publish(both)
+
+    incremental.upsert_stream(source, apply, _folder(spark, "checkpoint")).awaitTermination()
+    return store.read().select("user_id", "event_type", "value")
+
+
+def _folder(spark: SparkSession, tag: str) -> str:
+    from lectern.scratch import scratch_path
+
+    return scratch_path(spark, tag)
