@@ -32,8 +32,8 @@ BUCKETS = 16_384
 LANGUAGES = 64
 #: Trigrams overlap, so a text's log-likelihood counts by this share, up to so many trigrams.
 TEMPER, ENOUGH = 0.3, 2_000
-#: Pseudo-counts that a level of the hierarchy lends the one below.
-LENT = 5.0
+#: Pseudo-counts: that a level of the hierarchy lends the one below, and of declarations and addresses that are right.
+LENT, AGREE = 5.0, 5.0
 BROADCAST_HOSTS = 100_000
 COUNTRY = {"uk": "en", "us": "en", "au": "en", "at": "de", "ch": "de", "mx": "es", "ar": "es"}
 
@@ -85,7 +85,8 @@ def text_model(docs: DataFrame) -> TextModel:
 
 
 def visible(html: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", " "), "<[^>]*>", " ")
+    bare = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", " "), "<[^>]*>", " ")
+    return F.trim(F.regexp_replace(bare, r"\s+", " "))
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:
@@ -146,7 +147,7 @@ def identify(rows: DataFrame, model: TextModel) -> DataFrame:
         """log P(this declaration | language), from soft counts; at most one row a language and one for none."""
         w = scored.groupBy("table", column).agg(*sums)
         of = scored.groupBy("table").agg(*[F.sum(F.col("p")[k]).alias(f"t{k}") for k in range(n)])
-        return F.broadcast(w.join(F.broadcast(of), "table").select("table", column, F.array(*[F.log((F.col(f"s{k}") + 0.5) / (F.col(f"t{k}") + 0.5 * (n + 1))) for k in range(n)]).alias(f"log_{column}")))
+        return F.broadcast(w.join(F.broadcast(of), "table").select("table", column, F.array(*[F.log((F.col(f"s{k}") + 0.5 + F.when(F.col(column) == langs[k], AGREE).otherwise(0)) / (F.col(f"t{k}") + AGREE + 0.5 * (n + 1))) for k in range(n)]).alias(f"log_{column}")))
 
     fused = scored.join(priors, ["table", "domain", "host"]).join(reliability("declared"), ["table", "declared"]).join(reliability("suffix"), ["table", "suffix"])
     logs = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.get("ll", k) + F.log(F.get("prior", k)) + F.get("log_declared", k) + F.get("log_suffix", k))
