@@ -14,11 +14,12 @@ from lectern.streaming import incremental
 #: Results that are ranked before the rest is appended in the order of relevance.
 RERANK = 24
 FUZZY_FIELDS = ("title", "author", "series")
+#: Columns of the five tables; a dump's own names of ``topic`` and ``main_id`` begin with its prefix.
 COLUMNS = {
-    "editions": ["e_id", "libgen_topic", "visible", "title", "author", "series_name", "publisher", "year"], "editions_add_descr": ["e_add_id", "e_id", "key", "value"],
-    "editions_to_files": ["f_id", "e_id"], "files": ["f_id", "libgen_id", "fiction_id", "libgen_topic", "extension", "visible", "broken", "md5", "filesize", "pages"], "elem_descr": ["key", "name_en"],
+    "editions": ["e_id", "topic", "visible", "title", "author", "series_name", "publisher", "year"], "editions_add_descr": ["e_add_id", "e_id", "key", "value"],
+    "editions_to_files": ["f_id", "e_id"], "files": ["f_id", "main_id", "fiction_id", "topic", "extension", "visible", "broken", "md5", "filesize", "pages"], "elem_descr": ["key", "name_en"],
 }
-_NUMBERS = {"e_id", "e_add_id", "key", "f_id", "libgen_id", "fiction_id", "filesize", "pages"}
+_NUMBERS = {"e_id", "e_add_id", "key", "f_id", "main_id", "fiction_id", "filesize", "pages"}
 
 
 class Catalogue:
@@ -89,37 +90,39 @@ class Catalogue:
         old = self.store.read()
         self.store.publish(new if old is None else maintain.replace_source(old, new, source))
         state = self.store.load_state()
-        ids = {r["topic"]: r["max_id"] + 1 for r in stage.max_ids(typed["files"], {"l": "libgen_id", "f": "fiction_id"}).collect() if not self.topics or r["topic"] in self.topics}
+        ids = {r["topic"]: r["max_id"] + 1 for r in stage.max_ids(typed["files"], {"l": "main_id", "f": "fiction_id"}).collect() if not self.topics or r["topic"] in self.topics}
         state.setdefault("next_file_ids", {}).update(ids)
         state.setdefault("sources", {})[source] = {"bootstrapped": True}
         self.store.save_state(state)
         return state
 
-    def import_dump(self, path: str, source: str) -> dict:
-        """Imports a text dump that holds the five tables."""
-        return self.import_tables({n: sqldump.read_dump(self.spark, path, n, c) for n, c in COLUMNS.items() if n != "elem_descr"}, source)
+    def import_dump(self, path: str, source: str, prefix: str = "") -> dict:
+        """Imports a text dump that holds the tables. prefix: what its columns *topic and, for main_id, *id begin with."""
+        own = {"topic": f"{prefix}topic", "main_id": f"{prefix}id"} if prefix else {}
+        tables = {n: sqldump.read_dump(self.spark, path, n, [own.get(c, c) for c in columns]).toDF(*columns) for n, columns in COLUMNS.items() if n != "elem_descr"}
+        return self.import_tables(tables, source)
 
-    def changed_books(self, file_pages: DataFrame, edition_pages: DataFrame, sources: dict[str, str]) -> tuple[DataFrame, DataFrame]:
-        """(removals, upserts) of pages of changed files and of their editions. sources: topic to source."""
+    def changed_books(self, file_pages: DataFrame, edition_pages: DataFrame, sources: dict[str, str], prefix: str = "") -> tuple[DataFrame, DataFrame]:
+        """(removals, upserts) of pages of changed files and of their editions. sources: topic to source; prefix: of the topic field."""
         r = F.col("record")
-        files = api_pages.records(file_pages).select(*[api_pages.text(r, c).alias(c) for c in ("md5", "extension", "visible", "broken", "libgen_topic")], *[api_pages.number(r, c).alias(c) for c in ("filesize", "pages")], api_pages.related_ids(r, "editions", "e_id").alias("edition_ids"))
-        files = files.where(F.col("libgen_topic").isin(*sources))
+        files = api_pages.records(file_pages).select(*[api_pages.text(r, c).alias(c) for c in ("md5", "extension", "visible", "broken")], api_pages.text(r, f"{prefix}topic").alias("topic"), *[api_pages.number(r, c).alias(c) for c in ("filesize", "pages")], api_pages.related_ids(r, "editions", "e_id").alias("edition_ids"))
+        files = files.where(F.col("topic").isin(*sources))
         known = self.store.read()
         known = known.select("md5") if known is not None else self.spark.createDataFrame([], "md5 string")
         changes = incremental.classify(files, known, self.extensions)
         new = changes.where("change = 'new'").withColumn("file", F.col("md5"))
         editions = api_pages.records(edition_pages).select(F.col("id").try_cast("long").alias("e_id"), *[api_pages.text(r, c).alias(c) for c in ("visible", "title", "author", "series_name", "publisher", "year")], api_pages.descriptors(r, stage.LANGUAGE_KEY).alias("languages"), api_pages.descriptors(r, stage.ISBN_KEY).alias("numbers"))
         of = new.join(incremental.lowest_eligible(new, editions), "file").join(editions.drop("visible"), "e_id", "left")
-        source = F.element_at(F.create_map(*[F.lit(x) for kv in sources.items() for x in kv]), F.col("libgen_topic"))
+        source = F.element_at(F.create_map(*[F.lit(x) for kv in sources.items() for x in kv]), F.col("topic"))
         upserts = of.where("title is not null").select(
             "md5", "title", "author", F.col("series_name").alias("series"), "publisher", "year", F.lower(F.coalesce(F.get("languages", F.lit(0)), F.lit(""))).alias("language"), F.lower("extension").alias("extension"),
             "filesize", "pages", F.transform("numbers", lambda x: F.regexp_replace(x, "[- ]", "")).alias("isbn"), source.alias("source"))
         removals = changes.where("change = 'removal'").select("md5").union(of.where("title is null").select("md5"))
         return removals, upserts
 
-    def refresh(self, file_pages: DataFrame, edition_pages: DataFrame, sources: dict[str, str], today: datetime.date | None = None) -> dict:
+    def refresh(self, file_pages: DataFrame, edition_pages: DataFrame, sources: dict[str, str], today: datetime.date | None = None, prefix: str = "") -> dict:
         """Applies pages of changes and moves the day cursor to today, which is asked again next time."""
-        removals, upserts = self.changed_books(file_pages, edition_pages, sources)
+        removals, upserts = self.changed_books(file_pages, edition_pages, sources, prefix)
         old = self.store.read()
         self.store.publish(maintain.apply_changes(old, removals, upserts, "md5") if old is not None else upserts)
         state = self.store.load_state()

@@ -23,12 +23,12 @@ def limited(value: Column, most: int = VALUE_BYTES) -> Column:
 
 
 def keep_editions(editions: DataFrame, topics: tuple[str, ...] = ()) -> DataFrame:
-    return editions.where((clean(F.col("visible")) == "") & wanted(clean(F.col("libgen_topic")), topics) & (clean(F.col("title")) != ""))
+    return editions.where((clean(F.col("visible")) == "") & wanted(clean(F.col("topic")), topics) & (clean(F.col("title")) != ""))
 
 
 def keep_files(files: DataFrame, topics: tuple[str, ...] = (), extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
     return files.where(
-        wanted(clean(F.col("libgen_topic")), topics) & F.lower(clean(F.col("extension"))).isin(*extensions) & (clean(F.col("visible")) == "")
+        wanted(clean(F.col("topic")), topics) & F.lower(clean(F.col("extension"))).isin(*extensions) & (clean(F.col("visible")) == "")
         & (F.coalesce("broken", F.lit("")) != "Y") & (F.octet_length(clean(F.col("md5"))) == 32))
 
 
@@ -78,7 +78,7 @@ def books(editions: DataFrame, descriptors: DataFrame, links: DataFrame, files:
     language = first_descriptor(described.where(F.col("key") == language_key), "e_id", "seq").withColumnRenamed("value", "language")
     numbers = joined_descriptors(described.where(F.col("key") == isbn_key), "e_id", "seq").withColumnRenamed("value", "isbn")
     linked = keep_files(files, topics, extensions).join(lowest_link(links, kept), "f_id")
-    of = linked.join(kept.drop("libgen_topic", "visible"), "e_id").join(language, "e_id", "left").join(numbers, "e_id", "left")
+    of = linked.join(kept.drop("topic", "visible"), "e_id").join(language, "e_id", "left").join(numbers, "e_id", "left")
     return of.select(
         F.lower(clean(F.col("md5"))).alias("md5"), *[clean(F.col(c)).alias(n) for c, n in (("title", "title"), ("author", "author"), ("series_name", "series"), ("publisher", "publisher"), ("year", "year"))],
         F.lower(clean(F.col("language"))).alias("language"), F.lower(clean(F.col("extension"))).alias("extension"),

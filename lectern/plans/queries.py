@@ -234,14 +234,14 @@ def model_calibrate(spark, sf_dir):
 
 TOPIC = "CASE p_type WHEN 'ECONOMY' THEN 'f' WHEN 'SMALL' THEN 'l' WHEN 'PROMO' THEN 'a' ELSE 's' END"
 EDITIONS_SQL = f"""
-editions AS (SELECT p_partkey AS e_id, {TOPIC} AS libgen_topic, CASE WHEN p_size = 1 THEN 'no' ELSE '' END AS visible, p_name AS title, p_brand AS author FROM part),
-kept AS (SELECT * FROM editions WHERE visible = '' AND libgen_topic IN ('f', 'l', 's') AND title <> '')
+editions AS (SELECT p_partkey AS e_id, {TOPIC} AS topic, CASE WHEN p_size = 1 THEN 'no' ELSE '' END AS visible, p_name AS title, p_brand AS author FROM part),
+kept AS (SELECT * FROM editions WHERE visible = '' AND topic IN ('f', 'l', 's') AND title <> '')
 """
 FILES_SQL = """
-files AS (SELECT o_orderkey AS f_id, CASE o_orderstatus WHEN 'P' THEN 'a' ELSE lower(o_orderstatus) END AS libgen_topic,
+files AS (SELECT o_orderkey AS f_id, CASE o_orderstatus WHEN 'P' THEN 'a' ELSE lower(o_orderstatus) END AS topic,
   ['epub', 'pdf', 'zip', 'mobi', 'TXT'][substr(o_orderpriority, 1, 1)::INT] AS extension, '' AS visible, CASE WHEN o_orderkey % 11 = 0 THEN 'Y' ELSE 'N' END AS broken,
   md5(o_orderkey::VARCHAR) AS md5, o_totalprice::BIGINT AS filesize FROM orders),
-kept_files AS (SELECT * FROM files WHERE libgen_topic IN ('f', 'o') AND lower(extension) IN ('epub', 'pdf', 'mobi', 'txt') AND broken <> 'Y')
+kept_files AS (SELECT * FROM files WHERE topic IN ('f', 'o') AND lower(extension) IN ('epub', 'pdf', 'mobi', 'txt') AND broken <> 'Y')
 """
 DESCR_SQL = "descr AS (SELECT user_id AS e_id, CASE event_type WHEN 'view' THEN 101 WHEN 'click' THEN 505 ELSE 305 END AS key, props AS value, event_id AS seq FROM events)"
 TOPICS, FILE_TOPICS, FILE_EXT = ("f", "l", "s"), ("f", "o"), ("epub", "pdf", "mobi", "txt")
@@ -250,14 +250,14 @@ TOPICS, FILE_TOPICS, FILE_EXT = ("f", "l", "s"), ("f", "o"), ("epub", "pdf", "mo
 def _editions(spark, sf_dir) -> DataFrame:
     kind = F.col("p_type")
     return table(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("e_id"), F.when(kind == "ECONOMY", "f").when(kind == "SMALL", "l").when(kind == "PROMO", "a").otherwise("s").alias("libgen_topic"),
+        F.col("p_partkey").alias("e_id"), F.when(kind == "ECONOMY", "f").when(kind == "SMALL", "l").when(kind == "PROMO", "a").otherwise("s").alias("topic"),
         F.when(F.col("p_size") == 1, "no").otherwise("").alias("visible"), F.col("p_name").alias("title"), F.col("p_brand").alias("author"), F.col("p_type").alias("series_name"), F.lit("").alias("publisher"), F.lit("1999").alias("year"))
 
 
 def _files(spark, sf_dir) -> DataFrame:
     status = F.col("o_orderstatus")
     return table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("f_id"), F.when(status == "P", "a").otherwise(F.lower(status)).alias("libgen_topic"),
+        F.col("o_orderkey").alias("f_id"), F.when(status == "P", "a").otherwise(F.lower(status)).alias("topic"),
         F.element_at(F.array(*map(F.lit, ("epub", "pdf", "zip", "mobi", "TXT"))), F.substring("o_orderpriority", 1, 1).cast("int")).alias("extension"), F.lit("").alias("visible"),
         F.when(F.col("o_orderkey") % 11 == 0, "Y").otherwise("N").alias("broken"), F.md5(F.col("o_orderkey").cast("string")).alias("md5"), F.round("o_totalprice").cast("long").alias("filesize"), F.lit(0).alias("pages"))
 
@@ -271,14 +271,14 @@ def _descriptors(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("e_id"), F.when(kind == "view", 101).when(kind == "click", 505).otherwise(305).alias("key"), F.col("props").alias("value"), F.col("event_id").alias("seq"))
 
 
-@query(f"WITH {EDITIONS_SQL} SELECT e_id, libgen_topic, title FROM kept")
+@query(f"WITH {EDITIONS_SQL} SELECT e_id, topic, title FROM kept")
 def stage_filter_editions(spark, sf_dir):
-    return stage.keep_editions(_editions(spark, sf_dir), TOPICS).select("e_id", "libgen_topic", "title")
+    return stage.keep_editions(_editions(spark, sf_dir), TOPICS).select("e_id", "topic", "title")
 
 
-@query(f"WITH {FILES_SQL} SELECT f_id, libgen_topic, extension, md5 FROM kept_files")
+@query(f"WITH {FILES_SQL} SELECT f_id, topic, extension, md5 FROM kept_files")
 def stage_filter_files(spark, sf_dir):
-    return stage.keep_files(_files(spark, sf_dir), FILE_TOPICS, FILE_EXT).select("f_id", "libgen_topic", "extension", "md5")
+    return stage.keep_files(_files(spark, sf_dir), FILE_TOPICS, FILE_EXT).select("f_id", "topic", "extension", "md5")
 
 
 @query(f"WITH {EDITIONS_SQL} SELECT l_orderkey AS f_id, l_partkey AS e_id FROM lineitem WHERE l_partkey IN (SELECT e_id FROM kept)")
@@ -308,7 +308,7 @@ num AS (SELECT e_id, string_agg(regexp_replace(value, '[- ]', '', 'g'), '|' ORDE
 SELECT md5, title, author, lower(coalesce(language, '')) AS language, lower(extension) AS extension, round(o_totalprice)::BIGINT AS filesize, coalesce(isbn, '') AS isbn, 'shop' AS source
 FROM kept_files JOIN orders ON o_orderkey = f_id JOIN link USING (f_id) JOIN kept USING (e_id) LEFT JOIN lang USING (e_id) LEFT JOIN num USING (e_id)""")
 def books(spark, sf_dir):
-    out = stage.books(_editions(spark, sf_dir), _descriptors(spark, sf_dir), _links(spark, sf_dir), _files(spark, sf_dir).where(F.col("libgen_topic").isin(*FILE_TOPICS)).withColumn("libgen_topic", F.lit("f")), "shop", TOPICS, FILE_EXT)
+    out = stage.books(_editions(spark, sf_dir), _descriptors(spark, sf_dir), _links(spark, sf_dir), _files(spark, sf_dir).where(F.col("topic").isin(*FILE_TOPICS)).withColumn("topic", F.lit("f")), "shop", TOPICS, FILE_EXT)
     return out.select("md5", "title", "author", "language", "extension", "filesize", F.array_join("isbn", "|").alias("isbn"), "source")
 
 

@@ -102,7 +102,7 @@ def quoted(c: Column) -> Column:
 
 def write_dump(df: DataFrame, table: str, path: str, rows: int = 25) -> None:
     """Writes a dump: a folder with the definition in one file and the rows, so many a statement, in others."""
-    ddl = "\n".join([f"CREATE TABLE `{table}` (", *[f"  `{c}` text," for c in df.columns], ") ENGINE=MyISAM;"])
+    ddl = "\n".join([f"CREATE TABLE `{table}` (", *[f"  `{c}` text," for c in df.columns], ");"])
     df.sparkSession.range(1, numPartitions=1).select(F.lit(ddl).alias("value")).write.option("lineSep", "\n").text(path)
 
     def run(batches):

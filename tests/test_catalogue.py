@@ -11,6 +11,10 @@ from lectern.sources import sqldump
 MD5 = [c * 32 for c in "abcdef"]
 
 
+PREFIX = "shop_"
+OWN = {"topic": f"{PREFIX}topic", "main_id": f"{PREFIX}id"}
+
+
 def dump(spark, path):
     tables = {
         "editions": [("1", "f", "", "The Native Archive", "Test Author", "Series", "Publisher", "2026"), ("2", "l", "", "Über den Wald", "Müller; Kant", "", "", "1999"), ("3", "a", "", "Article", "X", "", "", ""), ("4", "f", "no", "Hidden", "X", "", "", "")],
@@ -19,7 +23,7 @@ def dump(spark, path):
         "files": [("10", "0", "77", "f", "epub", "", "N", MD5[0], "12345", "321"), ("11", "5", "0", "l", "PDF", "", "N", MD5[1].upper(), "9", "9"), ("12", "0", "0", "a", "pdf", "", "N", MD5[2], "9", "9"), ("13", "0", "0", "f", "epub", "", "N", MD5[3], "9", "9"), ("14", "0", "90", "f", "epub", "", "Y", MD5[4], "9", "9")],
     }
     for i, (name, rows) in enumerate(tables.items()):
-        sqldump.write_dump(spark.createDataFrame(rows, ", ".join(f"{c} string" for c in COLUMNS[name])), name, f"{path}/{i}", 2)
+        sqldump.write_dump(spark.createDataFrame(rows, ", ".join(f"{OWN.get(c, c)} string" for c in COLUMNS[name])), name, f"{path}/{i}", 2)
     return f"{path}/*"
 
 
@@ -27,7 +31,7 @@ def dump(spark, path):
 def catalogue(spark, tmp_path_factory):
     path = tmp_path_factory.mktemp("catalogue")
     c = Catalogue(spark, f"file://{path}/store")
-    c.import_dump(dump(spark, path / "dump"), "main")
+    c.import_dump(dump(spark, path / "dump"), "main", PREFIX)
     return c
 
 
@@ -51,16 +55,16 @@ def test_search(catalogue):
 
 def test_refresh(spark, tmp_path):
     c = Catalogue(spark, f"file://{tmp_path}/store")
-    c.import_dump(dump(spark, tmp_path / "dump"), "main")
-    file = lambda md5, **k: {"md5": md5, "extension": "epub", "visible": "", "broken": "", "libgen_topic": "f", "filesize": "5", "pages": 1} | k
+    c.import_dump(dump(spark, tmp_path / "dump"), "main", PREFIX)
+    file = lambda md5, **k: {"md5": md5, "extension": "epub", "visible": "", "broken": "", f"{PREFIX}topic": "f", "filesize": "5", "pages": 1} | k
     files = {
         "1": file(MD5[0]), "2": file(MD5[1], broken="Y"), "3": file(MD5[2], editions={"a": {"e_id": "100"}, "b": {"e_id": "20"}, "c": {"e_id": 9}}),
-        "4": file(MD5[3], editions={"a": {"e_id": "9"}}), "5": file(MD5[4], libgen_topic="m"), "6": file("short"),
+        "4": file(MD5[3], editions={"a": {"e_id": "9"}}), "5": file(MD5[4], shop_topic="m"), "6": file("short"),
     }
     editions = {"9": {"title": "T", "visible": "no"}, "20": {"title": "Twenty", "visible": "", "add": {"1": {"key": "101", "value": "Dutch"}}}, "100": {"title": "Hundred", "visible": ""}}
     page = lambda x: spark.createDataFrame([(json.dumps(x),), ("[]",)], "body string")
     for _ in range(2):
-        c.refresh(page(files), page(editions), {"f": "main"}, datetime.date(2024, 5, 9))
+        c.refresh(page(files), page(editions), {"f": "main"}, datetime.date(2024, 5, 9), PREFIX)
         got = {r["md5"]: r for r in c.books().collect()}
         assert set(got) == {MD5[0], MD5[2]} and got[MD5[2]]["title"] == "Twenty" and got[MD5[2]]["language"] == "dutch" and got[MD5[0]]["filesize"] == 12345
     assert [d.day for d in c.days_due(datetime.date(2024, 5, 10))] == [9, 10]

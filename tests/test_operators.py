@@ -55,13 +55,13 @@ def test_log_sum_exp(spark):
 
 
 def catalogue(spark):
-    editions = spark.createDataFrame([(1, "f", "", " Blank hidden ", "A"), (2, "f", "no", "hidden", "B"), (3, "a", "", "article", "C"), (4, "f", "", "  ", "D"), (5, "l", None, "kept", "E")], "e_id long, libgen_topic string, visible string, title string, author string")
+    editions = spark.createDataFrame([(1, "f", "", " Blank hidden ", "A"), (2, "f", "no", "hidden", "B"), (3, "a", "", "article", "C"), (4, "f", "", "  ", "D"), (5, "l", None, "kept", "E")], "e_id long, topic string, visible string, title string, author string")
     editions = editions.withColumns({c: F.lit("") for c in ("series_name", "publisher", "year")})
     descr = spark.createDataFrame([(1, 101, " English ", 1), (1, 101, "French", 2), (1, 505, "978-0 1", 3), (1, 505, "-", 4), (5, 101, "x" * 65, 5), (5, 305, "note", 6)], "e_id long, key long, value string, seq long")
     links = spark.createDataFrame([(10, 2), (10, 5), (10, 1), (11, 3), (12, 1)], "f_id long, e_id long")
     md5 = "0123456789ABCDEF0123456789ABCDEF"
     files = spark.createDataFrame([(10, "f", "EPUB", "", "N", md5, 5, 7), (11, "f", "epub", "", "N", md5, 1, 1), (12, "f", "epub", "", "Y", md5, 1, 1), (13, "f", "zip", "", "N", md5, 1, 1), (14, "f", "epub", "", "N", "short", 1, 1)],
-                                  "f_id long, libgen_topic string, extension string, visible string, broken string, md5 string, filesize long, pages long")
+                                  "f_id long, topic string, extension string, visible string, broken string, md5 string, filesize long, pages long")
     return editions, descr, links, files
 
 
