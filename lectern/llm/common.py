@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.scratch import scratch_path
+
 #: A word is a maximal run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -27,37 +28,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-_own_root: dict[str, str] = {}
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; only where none is named, one of our own.
-
-    In local mode that is a fresh temporary folder, else a folder in the
-    warehouse, which all executors of a cluster reach.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_root:
-        master = spark.sparkContext.master
-        if master.startswith("local") and not master.startswith("local-cluster"):
-            _own_root[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
-        else:
-            _own_root[app] = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    return _own_root[app]
-
-
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A new path below the shared folder, removed when the driver's JVM ends."""
-    path = f"{scratch_root(spark)}/lectern-{uuid.uuid4().hex}/{tag}"
-    jvm = spark._jvm
-    parent = jvm.org.apache.hadoop.fs.Path(path).getParent()
-    fs = parent.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(parent)
-    fs.deleteOnExit(parent)
-    return path
+def power_of_two(n: float, most: int) -> int:
+    """The greatest power of two up to n and ``most``, at least 1."""
+    k = 1
+    while k * 2 <= n and k < most:
+        k *= 2
+    return k
 
 
 def saved(df: DataFrame, tag: str) -> DataFrame:
@@ -71,14 +47,6 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_scratch(spark: SparkSession, df: DataFrame) -> None:
-    """Frees the files of a saved table that no later plan reads."""
-    for f in df.inputFiles()[:1]:
-        jvm = spark._jvm
-        parent = jvm.org.apache.hadoop.fs.Path(f).getParent()
-        parent.getFileSystem(spark._jsc.hadoopConfiguration()).delete(parent, True)
-
-
 _shipped: set[str] = set()
 
 

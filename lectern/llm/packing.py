@@ -26,8 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, ship
-from .sharding import _power_of_two
+from .common import power_of_two, saved, ship
 
 CAPACITY = 2048
 END_ID = 0
@@ -236,7 +235,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, wit
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     pieces = saved(docs.select("doc_id", "text").mapInArrow(_pieces(path or tokenizer_path(), capacity, with_ids), schema), "pieces")
     # a frequent length is counted in so many parts
-    parts = _power_of_two(pieces.count() / 512, 4096)
+    parts = power_of_two(pieces.count() / 512, 4096)
     part = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)).cast("int")
     pieces = pieces.withColumn("part", part)
     cells = saved(pieces.groupBy("length", "part").agg(F.count("*").alias("n")), "lengths")

@@ -16,20 +16,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, shuffle_partitions
+from .common import power_of_two, saved, shuffle_partitions
 
 SHARDS = 16
 #: Capacities tried at once in a round of the search; rows of the summary that brackets it.
 TRIED, BLOCKS = 128, 65_536
 
 
-def _power_of_two(n: float, most: int) -> int:
-    k = 1
-    while k * 2 <= n and k < most:
-        k *= 2
-    return k
-
-
 def bracket(summary: list[tuple[int, int, int]], width: int, total: int, largest: int, shards: int) -> tuple[int, int]:
     """(infeasible, feasible) capacities from the least and greatest end in each of the ``width`` wide blocks."""
     blocks, ends_before = {k: (least, most) for k, least, most in summary}, {}
@@ -102,7 +95,7 @@ def shard_bytes(docs: DataFrame, n_shards: int = SHARDS, keep: tuple[str, ...] =
     """doc_id, the columns in ``keep`` and size, text_crc32, shard and slot, prefixed with ``_shard_``."""
     spark = docs.sparkSession
     n = docs.count()
-    buckets, subs = _power_of_two(n / 128, 65536), _power_of_two(n / 1024, 65536)
+    buckets, subs = power_of_two(n / 128, 65536), power_of_two(n / 1024, 65536)
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = saved(docs.select(
         "doc_id", *keep, (F.octet_length(text) + 1).cast("long").alias("_shard_size"), F.crc32(text).alias("_shard_crc"), F.unhex(F.md5(text)).alias("_shard_g"),
