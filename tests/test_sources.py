@@ -9,14 +9,14 @@ from lectern.sources import api_pages, binary, discovery, sqldump
 
 DUMP = r"""CREATE TABLE `skip` (
   `a` int,
-) ENGINE=MyISAM;
+);
 INSERT INTO `skip` VALUES (1),(2);
 CREATE TABLE `t` (
   `id` int NOT NULL,
   `name` varchar(20),
   `x` decimal(5,1),
   PRIMARY KEY (`id`)
-) ENGINE=MyISAM;
+);
 INSERT INTO `t` VALUES (1,'it\'s, ok',NULL),(2,'a''b\\',-3.5);
 INSERT INTO `t` VALUES (3,'\0\n\r\t\b\Z\q',null);
 """
