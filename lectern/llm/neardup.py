@@ -7,10 +7,12 @@ are one class from the start, so a group of copies costs one row per band.
 
 Links are confirmed on whole sets. No bucket emits all its pairs: its members
 are tested against hubs, one round after another, best member first, and a
-member drops out once it belongs with the hub. What the hubs leave open between
-different components is tested pair by pair, after two exact exclusions: set
-sizes too far apart, and sets of which too many shingles occur in no other
-candidate, which bounds the overlap from above. The bounds lose no link.
+member drops out once it belongs with the hub. Before that, sets of which too
+many shingles occur in no other candidate are left out, as is a pair of sets too
+far apart in size; both bound the overlap from above and lose no link. Buckets
+that the hubs leave in several components meet once more, in blocks of bounded
+size, where tasks count the overlaps of all members and emit links that join
+components only, fewer than there are members.
 
 Defined results: null and empty texts have an empty set and link with nothing;
 a text with fewer words than a shingle is one shingle; rows that repeat an id
@@ -30,8 +32,8 @@ from .common import saved, ship
 #: Signature of 96 values from 48 permutations in 24 bands of 4: a pair at similarity 0.8 is missed with 3 in a million.
 PERMUTATIONS, BAND = 48, 4
 SHINGLE, PERCENT = 4, 80
-#: Hubs of each bucket that are tested before the rest goes pair by pair.
-HUB_ROUNDS = 3
+#: Hubs of each bucket that are tested before the rest meets in blocks of so many members.
+HUB_ROUNDS, BLOCK = 2, 512
 #: Ids of candidates are broadcast up to this count (16 MB).
 BROADCAST_IDS = 1_000_000
 
@@ -97,6 +99,60 @@ def _sets(n: int):
     return run
 
 
+def _linked(percent: int):
+    """Links between members of different components in each (key, g1, g2), at most one fewer than components."""
+
+    def links(rows: list[tuple]) -> list[tuple]:
+        across = rows[0][1] != rows[0][2]
+        left = [r for r in rows if not across or r[3] == r[1]]
+        right = [r for r in rows if r[3] == r[2]] if across else left
+        if not left or not right:
+            return []
+        sizes = np.array([len(r[6]) for r in left])
+        values = np.concatenate([r[6] for r in left])
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], np.repeat(np.arange(len(left)), sizes)[order]
+        joined: dict = {}
+
+        def root(x):
+            while joined.get(x, x) != x:
+                x = joined[x]
+            return x
+
+        out = []
+        for r in right:
+            lo, hi = np.searchsorted(values, r[6]), np.searchsorted(values, r[6], "right")
+            width = hi - lo
+            at = np.arange(width.sum()) + np.repeat(lo - np.concatenate([[0], np.cumsum(width)[:-1]]), width)
+            common = np.bincount(owner[at], minlength=len(left))
+            for k in np.flatnonzero(100 * common >= percent * (sizes + len(r[6]) - common)):
+                x, y = root(left[k][5]), root(r[5])
+                if x != y:
+                    joined[max(x, y)] = min(x, y)
+                    out.append((min(left[k][4], r[4]), max(left[k][4], r[4])))
+        return out
+
+    def run(batches):
+        group: list[tuple] = []
+        out: list[tuple] = []
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field("cid").type
+            shingles = batch.column("shingles")
+            flat, at = shingles.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.asarray(shingles.offsets) - shingles.offsets[0].as_py()
+            columns = [batch.column(c).to_pylist() for c in ("key", "g1", "g2", "own", "cid", "root")]
+            for i, row in enumerate(zip(*columns, strict=True)):
+                if group and group[0][:3] != row[:3]:
+                    out += links(group)
+                    group = []
+                group.append((*row, flat[at[i] : at[i + 1]]))
+        out += links(group) if group else []
+        if kind is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k in (0, 1)], ["a", "b"])
+
+    return run
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose whole sets are similar enough."""
     a, b = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("cid").alias("b"), F.col("shingles").alias("sb"))
@@ -107,7 +163,12 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     """(cid, root): the least id that links reach, by large-star and small-star steps until nothing moves."""
+    def state(stars: DataFrame) -> tuple:
+        h = F.xxhash64("u", "v")
+        return tuple(stars.agg(F.count("*"), F.bit_xor(h), F.sum(h.bitwiseAND(0xFFFFFFFF))).first())
+
     edges = saved(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
+    before = state(edges)
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v"), F.col("u")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -115,14 +176,14 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.select("u", F.col("m").alias("v")).union(small.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
-        new = saved(small, "stars")
-        changed = new.exceptAll(edges).limit(1).count() or edges.exceptAll(new).limit(1).count()
-        edges = new
-        if not changed:
+        edges = saved(small, "stars")
+        after = state(edges)
+        if after == before:
             return edges.select(F.col("u").alias("cid"), F.col("v").alias("root"))
+        before = after
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, hub_rounds: int = HUB_ROUNDS, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     ship(spark)
@@ -133,38 +194,47 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     members = saved(scan.select("doc_id", "n", "h1", "h2").join(classes, ["n", "h1", "h2"], "left").select("doc_id", "n", F.coalesce("cid", "doc_id").alias("cid")), "members")
     heads = scan.where("n > 0").join(classes.select("cid", "n", "h1", "h2"), ["n", "h1", "h2"]).where("doc_id = cid").select("cid", "n", F.posexplode("bands").alias("band", "key"))
     heads = saved(heads.dropDuplicates(["cid", "key"]).select("cid", "n", "key"), "bands")
-    shared = heads.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    shared = heads.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     bucketed = saved(heads.join(shared, "key"), "buckets")
 
     # Whole sets of the candidates, and how many shingles no other candidate has.
-    ids = saved(bucketed.select("cid").distinct(), "candidates")
+    ids = saved(bucketed.groupBy("cid").agg(F.sum("c").alias("met")), "candidates")
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     sets = saved(slim.join(ids, slim["doc_id"] == ids["cid"], "left_semi").mapInArrow(_sets(shingle), f"cid {id_type}, shingles array<long>").dropDuplicates(["cid"]), "sets")
     alone = sets.select("cid", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("cid").alias("cid")).where("c = 1").groupBy("cid").agg(F.count("*").alias("alone"))
-    bucketed = bucketed.join(alone, "cid", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0))).where(F.col("common") * 100 >= F.col("n") * percent).drop("alone")
-    # The most central members come first.
-    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc(F.col("common") / F.col("n")), F.desc("n"), "cid"))
+    bucketed = bucketed.drop("c").join(ids, "cid").join(alone, "cid", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0))).where(F.col("common") * 100 >= F.col("n") * percent).drop("alone")
+    # The most central members, which meet the most others, come first: a text that many were copied from.
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("met"), "cid"))
     ranked = saved(bucketed.withColumn("place", place), "ranked")
 
     least = F.least(F.col("common"), F.col("hub_common"))
     possible = (F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent) & (least * 100 >= (F.col("n") + F.col("hub_n") - least) * percent)
     links, roots = None, None
-    for turn in [*range(1, hub_rounds + 1), None]:
-        at = ranked
-        if roots is not None:
-            at = ranked.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-        else:
-            at = at.withColumn("root", F.col("cid"))
-        hub = at.select("key", F.col("cid").alias("hub"), F.col("n").alias("hub_n"), F.col("common").alias("hub_common"), F.col("root").alias("hub_root"), F.col("place").alias("hub_place"))
-        hub = hub.where(F.col("hub_place") == turn if turn else F.col("hub_place") > hub_rounds)
-        pairs = at.join(hub, "key").where((F.col("place") > F.col("hub_place")) & (F.col("root") != F.col("hub_root")) & possible)
+
+    def rooted() -> DataFrame:
+        return ranked.withColumn("root", F.col("cid")) if roots is None else ranked.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+
+    for turn in range(1, hub_rounds + 1):
+        at = rooted()
+        hub = at.where(F.col("place") == turn).select("key", F.col("cid").alias("hub"), F.col("n").alias("hub_n"), F.col("common").alias("hub_common"), F.col("root").alias("hub_root"))
+        pairs = at.join(hub, "key").where((F.col("place") > turn) & (F.col("root") != F.col("hub_root")) & possible)
         pairs = saved(pairs.select(F.least("hub", "cid").alias("a"), F.greatest("hub", "cid").alias("b")).distinct(), "pairs")
         if pairs.isEmpty():
             continue
         found = saved(confirmed(pairs, sets, percent), "confirmed")
         links = found if links is None else links.union(found)
         roots = components(spark, links)
+    # Buckets whose members are still apart: their sets meet block by block.
+    at = saved(rooted().select("key", "cid", "root"), "rooted")
+    apart = at.groupBy("key").agg(F.count("*").alias("c"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key", F.ceil(F.col("c") / block).cast("int").alias("blocks"))
+    open_ = at.join(apart, "key").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    open_ = open_.select("key", "own", "cid", "root", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    open_ = open_.select("key", F.least("own", "other").alias("g1"), F.greatest("own", "other").alias("g2"), "own", "cid", "root").join(sets, "cid")
+    met = open_.repartition("key", "g1", "g2").sortWithinPartitions("key", "g1", "g2").mapInArrow(_linked(percent), f"a {id_type}, b {id_type}")
+    found = saved(met.distinct(), "confirmed")
+    if not found.isEmpty():
+        roots = components(spark, found if links is None else links.union(found))
     if roots is None:
         return members.select("doc_id", F.col("n").alias("n_shingles"), F.col("cid").alias("component_id"))
     return members.join(roots, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "cid").alias("component_id"))
@@ -183,3 +253,18 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
 
 def op5(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+i AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, least(len(w), 1)) + 1)) AS i FROM d),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s FROM i),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) m ON m.a = d.doc_id
+"""
