@@ -21,5 +21,6 @@ QUERIES = {
 ORACLES = {
     "op1_mix_sources": mixing.ORACLE_SQL,
     "op4_warc": warc.ORACLE_SQL,
+    "op5_near_duplicates": neardup.ORACLE_SQL,
     "op6_chat_format": chat.ORACLE_SQL,
 }
