@@ -62,6 +62,11 @@ def _workload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), T.first_words(F.col("text")).alias("query"))
 
 
+def _whole_workload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark item's whole text is a query."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
 def _text() -> dict:
     return {"text": F.col("text")}
 
@@ -143,6 +148,40 @@ def search_filtered(spark, sf_dir):
     return search.cascade(table(spark, sf_dir, "documents"), _workload(spark, sf_dir), _text(), where=search.in_list(F.col("lang"), " EN, de,, "))
 
 
+# The same searches with whole texts as queries; each term meets the vocabulary once.
+WHOLE = TOKENS.split("qraw AS")[0] + r"""qraw AS (SELECT item_id AS query_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}]+')) AS t FROM benchmark),
+q AS""" + TOKENS.split("\nq AS")[1]
+NEAR_WHOLE = "SELECT DISTINCT term, token FROM (SELECT DISTINCT term FROM q) JOIN v ON abs(length(term) - length(token)) <= 1 AND damerau_levenshtein(term, token) <= 1"
+CASCADE_WHOLE = "v AS (SELECT DISTINCT token FROM tok),\nnear AS (" + NEAR_WHOLE + "),\ntf AS" + CASCADE.split("\ntf AS")[1]
+
+
+@query("WITH " + WHOLE + WEIGHT + SCORED.rstrip().rstrip(",") + TOP.format(rows="s WHERE found = n_terms"))
+def bm25_and_whole(spark, sf_dir):
+    return search.bm25(table(spark, sf_dir, "documents"), _whole_workload(spark, sf_dir), _text(), every_term=True)
+
+
+@query("WITH " + WHOLE + WEIGHT + SCORED.rstrip().rstrip(",") + TOP.format(rows="s"))
+def bm25_or_whole(spark, sf_dir):
+    return search.bm25(table(spark, sf_dir, "documents"), _whole_workload(spark, sf_dir), _text(), every_term=False)
+
+
+@query("WITH " + WHOLE + "v AS (SELECT DISTINCT token FROM tok) " + NEAR_WHOLE)
+def fuzzy_terms_whole(spark, sf_dir):
+    terms = search.query_terms(_whole_workload(spark, sf_dir))
+    vocabulary = search.postings(table(spark, sf_dir, "documents"), _text()).select("token").distinct()
+    return search.fuzzy_terms(terms, vocabulary)
+
+
+@query("WITH " + WHOLE + CASCADE_WHOLE)
+def search_cascade_whole(spark, sf_dir):
+    return search.cascade(table(spark, sf_dir, "documents"), _whole_workload(spark, sf_dir), _text())
+
+
+@query("WITH documents AS (SELECT * FROM documents WHERE lower(lang) IN ('en', 'de'))," + WHOLE + CASCADE_WHOLE)
+def search_filtered_whole(spark, sf_dir):
+    return search.cascade(table(spark, sf_dir, "documents"), _whole_workload(spark, sf_dir), _text(), where=search.in_list(F.col("lang"), " EN, de,, "))
+
+
 @query("SELECT l_returnflag, count(*) AS requests, count(p_partkey) AS known FROM lineitem LEFT JOIN part ON p_partkey = l_partkey GROUP BY l_returnflag")
 def lookup_key(spark, sf_dir):
     books = table(spark, sf_dir, "part").select(F.md5(F.col("p_partkey").cast("string")).alias("md5"))
