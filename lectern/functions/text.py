@@ -2,22 +2,52 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Tokens of so many bytes or more are dropped before they are folded.
 TOKEN_BYTES = 40
-_ACCENTED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ"
-_PLAIN = "aaaaaaceeeeiiiinoooooouuuuyy"
-_LIGATURES = {"æ": "ae", "œ": "oe", "ß": "ss"}
 _FORBIDDEN = r'[\p{Cntrl}/\\:*?"<>|]'
 
 
+#: Latin letters, from Latin-1 to the ends of the extended, phonetic and presentation blocks, and digits of other shapes.
+_BLOCKS = ((0xAA, 0x24F), (0x250, 0x2AF), (0x1D00, 0x1DBF), (0x1E00, 0x1EFF), (0x2070, 0x209C), (0x2460, 0x24FF), (0x2C60, 0x2C7F), (0xA720, 0xA7FF), (0xFB00, 0xFB06), (0xFF10, 0xFF5A))
+#: Letters whose names don't tell what they fold to.
+_OTHERS = {"ß": "ss", "þ": "th", "ð": "d", "ı": "i", "ĸ": "q", "ŋ": "n", "ſ": "s", "ƿ": "w", "ə": "a", "ɛ": "e", "ɔ": "o", "ɑ": "a", "ɩ": "i", "ʃ": "s", "ʒ": "z", "ʊ": "u", "ʋ": "v", "ɣ": "g", "ȸ": "db", "ȹ": "qp", "ỻ": "ll", "ỽ": "v"}
+_NAMED = re.compile(r"LATIN SMALL (?:LETTER|LIGATURE) (?:TURNED |REVERSED |OPEN |DOTLESS |SCRIPT |LONG )?([A-Z]{1,2})(?: (?:WITH|PRECEDED BY) .*)?$")
+
+
+def _plain(c: str) -> str:
+    """What a lower-case character folds to; itself if it is no letter or digit of Latin shape."""
+    whole = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).lower()
+    named = _NAMED.match(unicodedata.name(c, ""))
+    base = "".join(_OTHERS.get(x) or ((m := _NAMED.match(unicodedata.name(x, ""))) and m[1].lower()) or x for x in whole)
+    return _OTHERS.get(c) or next((x for x in (base, named and named[1].lower()) if x and x.isascii() and x.isalnum()), c)
+
+
+def _tables() -> tuple[str, str, dict[str, str]]:
+    """Letters and what each becomes, and those that become several."""
+    found = {c: _plain(c) for lo, hi in _BLOCKS for c in map(chr, range(lo, hi + 1)) if c.isalnum() and c.lower() == c and not c.isascii()}
+    one = {c: x for c, x in found.items() if len(x) == 1 and x != c}
+    return "".join(one), "".join(one.values()), {c: x for c, x in found.items() if len(x) > 1}
+
+
+_ACCENTED, _PLAIN, _EXPANDED = _tables()
+#: A capital with a dot leaves the dot as a mark when it is made small; marks have no counterpart and are removed.
+_MARKS = "".join(map(chr, range(0x300, 0x370)))
+
+
 def fold(token: Column) -> Column:
-    out = F.translate(F.lower(token), _ACCENTED, _PLAIN)
-    for k, v in _LIGATURES.items():
-        out = F.replace(out, F.lit(k), F.lit(v))
-    return out
+    low = F.lower(token)
+    out = F.translate(low, _ACCENTED + _MARKS, _PLAIN)
+    full = out
+    for k, v in _EXPANDED.items():
+        full = F.replace(full, F.lit(k), F.lit(v))
+    expands = out.rlike("[" + "".join(_EXPANDED) + "]")
+    return F.when(F.octet_length(low) == F.char_length(low), low).when(expands, full).otherwise(out)
 
 
 def analyze(text: Column) -> Column:
