@@ -28,7 +28,7 @@ from . import kernel as K
 from .common import saved, ship
 
 BUCKETS = 16_384
-#: Languages that are told apart at most, the most frequent ones.
+#: Languages that one pass over the texts scores. Every language that occurs is told apart.
 LANGUAGES = 64
 #: Trigrams overlap, so a text's log-likelihood counts by this share, up to so many trigrams.
 TEMPER, ENOUGH = 0.3, 2_000
@@ -63,8 +63,25 @@ def _trained(batches):
 
 
 class TextModel:
-    def __init__(self, langs: list[str], logs: np.ndarray):
-        self.langs, self.logs = langs, logs  # a row of bucket log-probabilities per language
+    """Bucket counts of every language, sparse until a task makes a group's table of them."""
+
+    def __init__(self, langs: list[str], counts: list[tuple[np.ndarray, np.ndarray]]):
+        self.langs, self.counts = langs, counts  # (buckets, counts) per language
+        self._logs: np.ndarray | None = None
+
+    def groups(self) -> list[TextModel]:
+        """Models of a bounded number of languages, in order."""
+        return [TextModel(self.langs[k : k + LANGUAGES], self.counts[k : k + LANGUAGES]) for k in range(0, len(self.langs), LANGUAGES)]
+
+    @property
+    def logs(self) -> np.ndarray:
+        """A row of bucket log-probabilities per language."""
+        if self._logs is None:
+            table = np.full((len(self.langs), BUCKETS), 0.5)
+            for k, (at, n) in enumerate(self.counts):
+                table[k, at] += n
+            self._logs = np.log(table / table.sum(1, keepdims=True))
+        return self._logs
 
     def likelihoods(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         code, text = trigrams(data, at)
@@ -77,11 +94,13 @@ def text_model(docs: DataFrame) -> TextModel:
     """Counts over all documents with a language."""
     ship(docs.sparkSession)
     counts = saved(docs.where("lang is not null").select("lang", "text").mapInArrow(_trained, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "trigrams")
-    langs = sorted(r[0] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect())
-    table = np.full((len(langs), BUCKETS), 0.5)
-    for r in counts.where(F.col("lang").isin(langs)).toLocalIterator():  # at most LANGUAGES x BUCKETS rows
-        table[langs.index(r[0]), r[1]] += r[2]
-    return TextModel(langs, np.log(table / table.sum(1, keepdims=True)))
+    found: dict[str, tuple[list, list]] = {}
+    for r in counts.toLocalIterator():  # at most BUCKETS rows a language
+        at, n = found.setdefault(r[0], ([], []))
+        at.append(r[1])
+        n.append(r[2])
+    langs = sorted(found)
+    return TextModel(langs, [(np.array(found[x][0], np.int32), np.array(found[x][1], np.int64)) for x in langs])
 
 
 def visible(html: Column) -> Column:
@@ -112,13 +131,26 @@ def identify(rows: DataFrame, model: TextModel) -> DataFrame:
     ship(spark)
     kept = ["table", "id", "host", "domain", "declared", "suffix"]
 
-    def run(batches):
-        for batch in batches:
-            for i, j, data, at in K.chunks(batch.column("text")):
-                x = model.likelihoods(data, at)
-                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(i, j - i) for c in kept], pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * n), pa.array(x.ravel()))], [*kept, "ll"])
+    def scoring(group: TextModel, given: bool, carried: list[str]):
+        """Adds the log-likelihoods of a group of languages to those that the row has."""
 
-    scored = rows.select(*kept, "text").mapInArrow(run, "table string, id long, host string, domain string, declared string, suffix string, ll array<double>")
+        def run(batches):
+            for batch in batches:
+                for i, j, data, at in K.chunks(batch.column("text")):
+                    x = group.likelihoods(data, at)
+                    if given:
+                        x = np.concatenate([batch.column("ll").slice(i, j - i).flatten().to_numpy().reshape(j - i, -1), x], 1)
+                    ll = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+                    yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(i, j - i) for c in carried], ll], [*carried, "ll"])
+
+        return run
+
+    scored = rows.select(*kept, "text")
+    groups = model.groups()
+    for k, group in enumerate(groups):
+        carried = [*kept, "text"] if k + 1 < len(groups) else kept
+        schema = ", ".join(f"{c} {'long' if c == 'id' else 'string'}" for c in carried)
+        scored = scored.mapInArrow(scoring(group, k > 0, carried), f"{schema}, ll array<double>")
 
     def posterior(logs: Column) -> Column:
         p = F.transform(logs, lambda x: F.exp(x - F.array_max(logs)))
@@ -127,27 +159,30 @@ def identify(rows: DataFrame, model: TextModel) -> DataFrame:
     known = F.array(*[F.lit(x) for x in langs]).cast("array<string>")
     heard = lambda c: F.when(F.array_contains(known, F.col(c)), F.col(c)).otherwise("")
     scored = saved(scored.withColumns({"p": posterior(F.col("ll")), "host": F.coalesce("host", F.lit("")), "domain": F.coalesce("domain", F.lit("")), "declared": heard("declared"), "suffix": heard("suffix")}), "likelihoods")
-    sums = [F.sum(F.col("p")[k]).alias(f"s{k}") for k in range(n)]
-
-    def smoothed(own: DataFrame, above: list[Column]) -> list[Column]:
-        total = sum((F.col(f"s{k}") for k in range(n)), F.lit(LENT))
-        return [((F.col(f"s{k}") + LENT * above[k]) / total).alias(f"q{k}") for k in range(n)]
-
-    every = scored.groupBy("table").agg(*sums)
-    every = every.select("table", *smoothed(every, [F.lit(1 / max(1, n))] * n))
-    hosts = saved(scored.groupBy("table", "domain", "host").agg(*sums), "hosts")
-    domains = hosts.groupBy("table", "domain").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(n)]).join(F.broadcast(every), "table")  # two tables
-    domains = domains.select("table", "domain", *smoothed(domains, [F.col(f"q{k}") for k in range(n)]))
+    # a sum a language, as one array
+    sums = F.array(*[F.sum(F.col("p")[k]) for k in range(n)])
+    total = lambda x, first: F.aggregate(x, F.lit(first), lambda a, b: a + b)
+
+    def smoothed(own: Column, above: Column) -> Column:
+        return F.zip_with(own, above, lambda s, q: (s + LENT * q) / total(own, LENT))
+
+    every = scored.groupBy("table").agg(sums.alias("s"))
+    every = every.select("table", smoothed(F.col("s"), F.array_repeat(F.lit(1 / max(1, n)), n)).alias("q"))
+    hosts = saved(scored.groupBy("table", "domain", "host").agg(sums.alias("s")), "hosts")
+    domains = hosts.groupBy("table", "domain").agg(F.array(*[F.sum(F.col("s")[k]) for k in range(n)]).alias("t")).join(F.broadcast(every), "table")  # two tables
+    domains = domains.select("table", "domain", smoothed(F.col("t"), F.col("q")).alias("q"))
     priors = hosts.join(domains, ["table", "domain"])
-    priors = saved(priors.select("table", "domain", "host", F.array(*smoothed(priors, [F.col(f"q{k}") for k in range(n)])).alias("prior")), "priors")
-    if priors.count() <= BROADCAST_HOSTS:
+    priors = saved(priors.select("table", "domain", "host", smoothed(F.col("s"), F.col("q")).alias("prior")), "priors")
+    if priors.count() * max(1, n) <= BROADCAST_HOSTS * LANGUAGES:
         priors = F.broadcast(priors)
 
     def reliability(column: str) -> DataFrame:
-        """log P(this declaration | language), from soft counts; at most one row a language and one for none."""
-        w = scored.groupBy("table", column).agg(*sums)
-        of = scored.groupBy("table").agg(*[F.sum(F.col("p")[k]).alias(f"t{k}") for k in range(n)])
-        return F.broadcast(w.join(F.broadcast(of), "table").select("table", column, F.array(*[F.log((F.col(f"s{k}") + 0.5 + F.when(F.col(column) == langs[k], AGREE).otherwise(0)) / (F.col(f"t{k}") + AGREE + 0.5 * (n + 1))) for k in range(n)]).alias(f"log_{column}")))
+        """log P(this declaration | language), from soft counts; at most one row a code of two letters or top level domain and one for none."""
+        w = scored.groupBy("table", column).agg(sums.alias("s"))
+        of = scored.groupBy("table").agg(sums.alias("t"))
+        right = F.transform(known, lambda x: F.when(F.col(column) == x, AGREE).otherwise(0.0))
+        logs = F.zip_with(F.zip_with(F.col("s"), right, lambda s, r: s + 0.5 + r), F.col("t"), lambda s, t: F.log(s / (t + AGREE + 0.5 * (n + 1))))
+        return F.broadcast(w.join(F.broadcast(of), "table").select("table", column, logs.alias(f"log_{column}")))
 
     fused = scored.join(priors, ["table", "domain", "host"]).join(reliability("declared"), ["table", "declared"]).join(reliability("suffix"), ["table", "suffix"])
     logs = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.get("ll", k) + F.log(F.get("prior", k)) + F.get("log_declared", k) + F.get("log_suffix", k))
