@@ -4,8 +4,9 @@ Each language has two references, summed over all documents: shares of
 character classes, and shares of its most common words (word hashes in 65,536
 buckets). A document fails if the Jensen-Shannon distance of its own shares to
 its language's reference is too large. Short texts are noisy, so each test has
-a least length. A language with few documents, or none given, is compared with
-the sum of all languages.
+a least length. References are drawn towards the sum of all languages by
+pseudo-counts, so that a rare language has one of its own too. A text without
+a language is compared with all references, and the nearest counts.
 
 Defined results: null text is empty and has no words; short texts fail the base
 rules; equal rows get equal verdicts; an empty table gives no rows; other
@@ -26,8 +27,8 @@ BUCKETS, COMMON = 65_536, 48
 #: Largest distances that pass, and the words a text needs to be tested.
 CHAR_LIMIT, WORD_LIMIT = 0.32, 0.44
 CHAR_WORDS, WORD_WORDS = 50, 50
-#: Documents that a language needs for a reference of its own.
-LANGUAGE_DOCS = 50
+#: Pseudo-counts from the sum of all languages: characters and words. Fewer than the shortest tested text has, so that no language is too rare.
+LENT_CHARS, LENT_WORDS = 50, 10
 SYMBOLS = b"#*$%&|<>"
 
 CLASSES = 9
@@ -111,25 +112,31 @@ def references(docs: DataFrame) -> dict:
     """Per language and for all (key ""): shares of classes, common buckets, their shares and the share of all other words."""
     ship(docs.sparkSession)
     counts = docs.select("lang", "text").mapInArrow(_histograms, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
-    # null and rare languages take part in the sum of all only
-    every = counts.union(counts.groupBy("slot").agg(F.sum("n").alias("n")).select(F.lit("").alias("lang"), "slot", "n")).where("lang is not null")
+    # texts without a language take part in the sum of all only
+    counts = counts.withColumn("all", F.sum("n").over(Window.partitionBy("slot")))  # a row a language
+    every = counts.where("lang is not null").union(counts.groupBy("slot").agg(F.sum("n").alias("n")).select(F.lit("").alias("lang"), "slot", "n", F.col("n").alias("all")))
     w = Window.partitionBy("lang")  # at most 65,546 rows a language
     words = F.col("slot") >= CLASSES
+    every = every.groupBy("lang", "slot").agg(F.max("n").alias("n"), F.max("all").alias("all"))  # a language named "" is the sum
     every = every.withColumns({
-        "docs": F.max(F.when(F.col("slot") == -1, F.col("n"))).over(w), "words": F.sum(F.when(words, F.col("n"))).over(w),
-        "rank": F.row_number().over(w.orderBy(words.desc(), F.desc("n"), "slot"))}).where((F.col("lang") == "") | (F.col("docs") >= LANGUAGE_DOCS))
+        "words": F.sum(F.when(words, F.col("n"))).over(w), "rank": F.row_number().over(w.orderBy(words.desc(), F.desc("n"), "slot"))})
     out: dict = {}
     for r in every.where(~words | (F.col("rank") <= COMMON)).collect():  # some sixty rows a language
         x = out.setdefault(r["lang"], {"classes": np.zeros(CLASSES), "common": [], "words": r["words"] or 0})
         if r["slot"] >= CLASSES:
-            x["common"].append((r["slot"] - CLASSES, r["n"]))
+            x["common"].append((r["slot"] - CLASSES, r["n"], r["all"]))
         elif r["slot"] >= 0:
             x["classes"][r["slot"]] = r["n"]
+    total = out.get("", {"classes": np.zeros(CLASSES), "words": 0})
+    all_classes, all_words = total["classes"] / max(1, total["classes"].sum()), max(1, total["words"])
     for x in out.values():
+        x["classes"] = x["classes"] + LENT_CHARS * all_classes
         x["classes"] /= max(1, x["classes"].sum())
         x["common"].sort()
-        n = np.array([c for _, c in x["common"]] + [x["words"] - sum(c for _, c in x["common"])], float)
-        x["buckets"], x["shares"] = np.array([b for b, _ in x["common"]], np.int64), n / max(1, n.sum())
+        n = np.array([c for _, c, _ in x["common"]] + [x["words"] - sum(c for _, c, _ in x["common"])], float)
+        lent = np.array([c for _, _, c in x["common"]], float) / all_words
+        n += LENT_WORDS * np.append(lent, max(0.0, 1 - lent.sum()))
+        x["buckets"], x["shares"] = np.array([b for b, _, _ in x["common"]], np.int64), n / max(1, n.sum())
     return out
 
 
@@ -153,16 +160,26 @@ def judged(refs: dict, batch: pa.RecordBatch):
         owner = K.owners(words)
         langs = batch.column("lang").slice(i, j - i).to_pylist()
         keys = np.array([x if x in refs else "" for x in langs], dtype=object)
-        chars, common = np.zeros(j - i), np.zeros(j - i)
-        for key in set(keys) & set(refs):
-            own = keys == key
+        chars, common, nearest = np.zeros(j - i), np.zeros(j - i), np.full(j - i, np.inf)
+        anyhow = np.flatnonzero(keys == "")
+        for key in refs if len(anyhow) else set(keys) & set(refs):
+            own = np.union1d(np.flatnonzero(keys == key), anyhow)
+            if not len(own):
+                continue
             ref = refs[key]
             k = len(ref["buckets"])
             slot = np.full(BUCKETS, k)
             slot[ref["buckets"]] = np.arange(k)
-            chars[own] = distance(classes[own], ref["classes"])
-            counts = np.bincount(owner * (k + 1) + slot[buckets], minlength=(j - i) * (k + 1)).reshape(j - i, k + 1)
-            common[own] = distance(counts[own], ref["shares"])
+            place = np.full(j - i, -1)
+            place[own] = np.arange(len(own))
+            mine = place[owner] >= 0
+            counts = np.bincount(place[owner[mine]] * (k + 1) + slot[buckets[mine]], minlength=len(own) * (k + 1)).reshape(len(own), k + 1)
+            c, d = distance(classes[own], ref["classes"]), distance(counts, ref["shares"])
+            # the nearest reference is the one whose limits are kept best
+            far = np.maximum(c / CHAR_LIMIT, d / WORD_LIMIT)
+            near = far < nearest[own]
+            at = own[near]
+            chars[at], common[at], nearest[at] = c[near], d[near], far[near]
         out["base_failed"] = (out["n_words"] < 50) | (100 * out["n_repeat_words"] > 50 * out["n_words"])
         out["char_distance"], out["word_distance"] = chars, common
         out["kept"] = ~out["base_failed"] & ((out["n_words"] < CHAR_WORDS) | (chars <= CHAR_LIMIT)) & ((out["n_words"] < WORD_WORDS) | (common <= WORD_LIMIT))
