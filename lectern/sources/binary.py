@@ -2,7 +2,7 @@
 
 Fixed-width tables are read in splits of whole records, and columns are decoded
 by expressions. Tables of linked blocks are read one file a task: each block is
-a row, and the blocks of a record are joined by following their pointers with
+a row, and the blocks of a record are joined by doubling their pointers with
 equi-joins on the offset. Definitions and index headers are a few kilobytes,
 parsed on the driver.
 """
@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.scratch import scratch_path
+
 INTEGERS, ENUM, SET, CHAR = (1, 2, 3, 8, 9, 244), 247, 248, 254
 TEXTS = (15, 249, 250, 251, 252, 253, 254)
 
@@ -163,22 +165,45 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, "file string, at long, first boolean, record_size long, payload binary, next long")
 
 
-def read_linked(spark: SparkSession, path: str, most_parts: int = 64) -> DataFrame:
-    """file, at, record: the records of a table of linked blocks, their parts joined by pointer."""
-    blocks = read_blocks(spark, path).persist()
-    rest = blocks.where(~F.col("first")).select("file", F.col("at").alias("next"), F.col("payload").alias("more"), F.col("next").alias("then"))
-    done, open_ = None, blocks.where("first").select("file", "at", "record_size", "payload", "next")
-    for _ in range(most_parts):
-        ready = open_.where(F.octet_length("payload") >= F.col("record_size"))
-        done = ready if done is None else done.union(ready)
-        open_ = open_.where(F.octet_length("payload") < F.col("record_size")).join(rest, ["file", "next"], "left")
-        broken = open_.where("more is null").limit(1).collect()
-        if broken:
-            raise TableError(f"a missing continuation at {broken[0]['next']}")
-        open_ = open_.select("file", "at", "record_size", F.concat("payload", "more").alias("payload"), F.col("then").alias("next"))
-        if open_.isEmpty():
+def read_linked(spark: SparkSession, path: str) -> DataFrame:
+    """file, at, record: the records of a table of linked blocks, their parts joined by pointer.
+
+    Pointers are doubled until the longest record is covered, then every record
+    is divided into its blocks, half by half; both take the logarithm of the
+    most parts in steps. Each part adds a byte at least, so this ends."""
+
+    def saved(df: DataFrame, tag: str) -> DataFrame:
+        where = scratch_path(spark, tag)
+        df.write.parquet(where)
+        return spark.read.schema(df.schema).parquet(where)
+
+    blocks = saved(read_blocks(spark, path), "blocks")
+    whole = blocks.where("first").where(F.octet_length("payload") >= F.col("record_size")).select("file", "at", F.col("payload").alias("record"))
+    open_ = saved(blocks.where("first").where(F.octet_length("payload") < F.col("record_size")).select("file", F.col("at").alias("head"), "record_size"), "open")
+    if open_.isEmpty():
+        return whole
+    # step: where 2^i blocks from a block on end, null if a block is missing before, and their bytes
+    step = blocks.select("file", F.col("at"), F.col("next").alias("to"), F.octet_length("payload").cast("long").alias("bytes"))
+    rest = blocks.where(~F.col("first")).select("file", F.col("at").alias("to"))
+    step = saved(step.join(rest, ["file", "to"], "left_semi").unionByName(step.join(rest, ["file", "to"], "left_anti").withColumn("to", F.lit(None).cast("long"))), "step")
+    steps = [step]
+    while True:
+        reached = open_.join(steps[-1].withColumnRenamed("at", "head"), ["file", "head"])
+        short = reached.where("bytes < record_size")
+        if short.where("to is not null").isEmpty():
             break
-    return done.select("file", "at", F.substring("payload", 1, 2**31 - 1).alias("record"))
+        a, b = steps[-1], steps[-1].select("file", F.col("at").alias("to"), F.col("to").alias("then"), F.col("bytes").alias("more"))
+        steps.append(saved(a.join(b, ["file", "to"], "left").select("file", "at", F.col("then").alias("to"), (F.col("bytes") + F.coalesce("more", F.lit(0))).alias("bytes")), "step"))
+    broken = short.limit(1).collect()
+    if broken:
+        raise TableError(f"a missing continuation of the record at {broken[0]['head']}")
+    parts = open_.select("file", "head", "record_size", F.col("head").alias("at"), F.lit(0).cast("long").alias("offset"))
+    for step in reversed(steps[:-1]):
+        onward = parts.join(step, ["file", "at"]).where(F.col("to").isNotNull() & (F.col("offset") + F.col("bytes") < F.col("record_size")))
+        parts = saved(parts.unionByName(onward.select("file", "head", "record_size", F.col("to").alias("at"), (F.col("offset") + F.col("bytes")).alias("offset"))), "parts")
+    placed = parts.join(blocks.select("file", "at", "payload"), ["file", "at"]).groupBy("file", "head").agg(F.sort_array(F.collect_list(F.struct("offset", "payload"))).alias("parts"))
+    joined = F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["payload"])), ""))
+    return whole.unionByName(placed.select("file", F.col("head").alias("at"), joined.alias("record")))
 
 
 def check_rows(df: DataFrame, layout: Layout) -> DataFrame:
