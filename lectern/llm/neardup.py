@@ -51,6 +51,13 @@ def shingle_sets(column, n: int):
         yield i, j, *K.distinct(h, owner, j - i)
 
 
+def band_value(b: int, k: int) -> int:
+    """The place in the signature of value k of band b: each is used once, and those of a band come from different permutations."""
+    bands = 2 * PERMUTATIONS // BAND
+    # two least values, then two greatest ones of the permutations that the next band takes the least of
+    return ((b + k // 2) % bands + k % 2 * bands) * 2 + k // 2
+
+
 def minmax_bands(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Band values, a row per set; sets must not be empty."""
     signature = np.empty((2 * PERMUTATIONS, len(at) - 1), np.uint64)
@@ -62,8 +69,7 @@ def minmax_bands(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     for b in range(bands):
         x = np.full(len(at) - 1, b, np.uint64)
         for k in range(BAND):
-            # the values of a band come from different permutations
-            x = K.mix64(x * _ODD[0] + signature[(b * BAND // 2 + k * bands) % PERMUTATIONS * 2 + (k + b) % 2])
+            x = K.mix64(x * _ODD[0] + signature[band_value(b, k)])
         out[:, b] = x
     return out
 
