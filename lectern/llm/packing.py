@@ -4,11 +4,12 @@ Pieces matter only by length, so packing is planned on the histogram of lengths
 (at most ``capacity`` numbers, however many documents). The configuration
 linear program - how often to use each way to fill a sequence, so that every
 length is covered - is solved by multiplicative weights: a length's price falls
-as its coverage grows, and the dearest configuration under the prices is found
-by a knapsack dynamic program. Usages are rounded down and the rest is packed by
-best fit decreasing. Plain best fit decreasing of everything is the yardstick;
-the plan with fewer sequences is used. Pieces take their places by their rank
-among pieces of equal length.
+as its coverage grows, and the dearest configurations under the prices are found
+by a knapsack dynamic program, one for each length that isn't covered yet. The
+prices also bound from below how many sequences any packing has. Usages are
+rounded, what is left is solved as a program again, and the last rest is packed
+by best fit decreasing. Pieces take their places by their rank among pieces of
+equal length.
 
 Defined results: null text is empty and has the end token only; equal rows are
 packed separately; an empty table gives no rows; other columns are ignored.
@@ -17,6 +18,7 @@ packed separately; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import json
+import math
 import re
 import zlib
 from array import array
@@ -30,8 +32,12 @@ from .common import power_of_two, saved, ship
 
 CAPACITY = 2048
 END_ID = 0
-#: Rounds of multiplicative weights, and how sharply prices fall with coverage.
-ROUNDS, SHARPNESS = 400, 3.0
+#: Rounds of multiplicative weights, how sharply prices fall with coverage, and how far below the dearest a used configuration may be.
+ROUNDS, SHARPNESS, NEAR = 30, 3.0, 0.01
+#: How much of a length is covered in a round: its share of so many lengths, at least the smallest step.
+MANY, SMALLEST_STEP = 1_000, 0.05
+#: Programs solved one after the other, each over what the last one's rounding left, and how close to the bound no other rounding is tried.
+PHASES, CLOSE = 3, 1e-4
 #: Words remembered by a worker, and the longest that is.
 REMEMBERED, WORD_LENGTH = 200_000, 40
 
@@ -61,7 +67,8 @@ class WordEncoder:
     tests hold the ids against the file's own tokenizer. The tokenizer never joins
     what a single space between two other characters divides, so such a text's ids
     are those of its space-led words in a row. Texts with other white space at a
-    space are encoded whole.
+    space are encoded whole. A text that holds a special token's name is left to
+    the file's own tokenizer, which reads the name as that token.
     """
 
     whole = re.compile(r" (?=\s|\Z)")
@@ -72,6 +79,8 @@ class WordEncoder:
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
         special = {t["content"] for t in file.get("added_tokens", [])}
+        self.path, self.own = path, None
+        self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
         byte = _bytes_by_character()
         ranks = {bytes(byte[c] for c in token): i for token, i in file["model"]["vocab"].items() if token not in special}
         self.encoder = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -81,7 +90,19 @@ class WordEncoder:
         encode = self.encoder.encode_ordinary
         return [array("I", encode(t)).tobytes() for t in texts]
 
+    def by_file(self, text: str) -> bytes:
+        from tokenizers import Tokenizer
+
+        self.own = self.own or Tokenizer.from_file(self.path)
+        return array("I", self.own.encode(text, add_special_tokens=False).ids).tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
+        named = [k for k, t in enumerate(texts) if self.special and self.special.search(t)]
+        if named:
+            out = self.encode([t for t in texts if not self.special.search(t)])
+            for k in named:
+                out.insert(k, self.by_file(texts[k]))
+            return out
         if len(self.words) > REMEMBERED:
             self.words = {}
         split = [None if self.whole.search(t) else t.replace(" ", "\0 ").split("\0") if "\0" not in t else None for t in texts]
@@ -128,27 +149,95 @@ def _pieces(path: str, capacity: int, with_ids: bool):
     return run
 
 
-def dearest(prices: np.ndarray, capacity: int) -> dict[int, int]:
-    """The configuration with the highest total price (unbounded knapsack). prices[s]: of length s."""
-    best, last = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    for c in range(1, capacity + 1):
-        gain = prices[1 : c + 1] + best[c - 1 :: -1][:c]
-        s = int(np.argmax(gain)) + 1
-        if gain[s - 1] > best[c - 1]:
-            best[c], last[c] = gain[s - 1], s
-        else:
-            best[c] = best[c - 1]
-    out: dict[int, int] = {}
-    c = capacity
-    while c > 0:
-        if last[c]:
-            out[int(last[c])] = out.get(int(last[c]), 0) + 1
-            c -= int(last[c])
-        else:
-            c -= 1
+def knapsack(sizes: np.ndarray, most: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, list, list]:
+    """Bounded knapsack: the highest total price in each room up to ``capacity``, its steps and which rooms took each."""
+    best, steps, took = np.zeros(capacity + 1), [], []
+    for i, (s, m, p) in enumerate(zip(sizes.tolist(), most.tolist(), prices.tolist(), strict=True)):
+        m, k = int(min(m, capacity // s)), 1
+        while m > 0:  # 1, 2, 4, ... and the rest, so that every number up to m can be made
+            x = min(k, m)
+            m, k, w = m - x, 2 * k, x * s
+            gain = best[: capacity + 1 - w] + x * p
+            better = gain > best[w:] + 1e-12
+            taken = np.zeros(capacity + 1, bool)
+            taken[w:] = better
+            best[w:][better] = gain[better]
+            steps.append((i, x, w))
+            took.append(taken)
+    return best, steps, took
+
+
+def filled(steps: list, took: list, room: np.ndarray) -> list[dict[int, int]]:
+    """The dearest configurations of several rooms: how many of which size."""
+    room, out = room.copy(), [{} for _ in room]
+    for (i, x, w), taken in zip(reversed(steps), reversed(took), strict=True):
+        for h in np.flatnonzero(taken[room]):
+            out[h][i] = out[h].get(i, 0) + x
+            room[h] -= w
     return out
 
 
+class Relaxation:
+    """An approximate solution of the configuration program of a histogram.
+
+    usage: configurations (places in ``sizes`` and their numbers) and how often
+    each is used; bound: the greatest value of the dual program that the prices
+    gave, so that no packing has fewer sequences; prices: those of that bound.
+    """
+
+    def __init__(self, counts: dict[int, int], capacity: int, rounds: int = ROUNDS):
+        self.sizes, self.capacity = np.array(sorted(counts, reverse=True), np.int64), capacity
+        n = np.array([counts[s] for s in self.sizes.tolist()], float)
+        self.usage: dict[tuple, float] = {}
+        self.bound, self.prices, self.best = 0.0, self.sizes / capacity, 1.0
+        covered = np.zeros(len(n))
+        # few lengths are covered in small steps, many in large ones, with about as much work
+        most = min(1.0, max(SMALLEST_STEP, len(n) / MANY))
+        for _ in range(math.ceil(rounds / most) if len(n) else 0):
+            todo = np.flatnonzero(covered < 1 - 1e-9)
+            if not len(todo):
+                break
+            # what a token costs falls as the coverage of its length grows
+            prices = self.sizes * np.exp(-SHARPNESS * np.minimum(covered - covered.min(), 50))
+            prices[covered >= 1 - 1e-9] = 0
+            prices /= prices.max()
+            best, steps, took = knapsack(self.sizes, n, prices, capacity)
+            if (bound := float((prices * n).sum() / best[capacity])) > self.bound:
+                self.bound, self.prices, self.best = bound, prices, float(best[capacity])
+            # of one table: for each length that isn't covered, the dearest configuration that holds it
+            near = todo[prices[todo] + best[capacity - self.sizes[todo]] >= (1 - NEAR) * best[capacity]]
+            near = near[np.argsort(covered[near], kind="stable")]
+            gained = np.zeros(len(n))
+            for i, config in zip(near.tolist(), filled(steps, took, capacity - self.sizes[near]), strict=True):
+                config[i] = config.get(i, 0) + 1
+                if any(m > n[j] for j, m in config.items()):
+                    continue
+                step = min(min(1 - covered[j], most - gained[j]) * n[j] / m for j, m in config.items())
+                if step > 1e-9:
+                    key = tuple(sorted(config.items()))
+                    self.usage[key] = self.usage.get(key, 0.0) + step
+                    for j, m in key:
+                        covered[j] += step * m / n[j]
+                        gained[j] += step * m / n[j]
+
+    def waste(self, key: tuple) -> float:
+        """How far a configuration's price is below the dearest one's."""
+        return 1 - sum(self.prices[j] * m for j, m in key) / self.best
+
+    def rounded(self, left: dict[int, int], up: bool, waste: float) -> list[tuple[int, dict[int, int]]]:
+        """Whole usages, the dearest configurations first, taken out of ``left``; up: at least one of each."""
+        out = []
+        for key, x in sorted(self.usage.items(), key=lambda kv: (self.waste(kv[0]), -kv[1], kv[0])):
+            if self.waste(key) > waste + 1e-9:
+                break
+            k = min(max(int(x), int(up)), *(left.get(int(self.sizes[j]), 0) // m for j, m in key))
+            if k:
+                out.append((k, {int(self.sizes[j]): m for j, m in key}))
+                for j, m in key:
+                    left[int(self.sizes[j])] -= k * m
+        return out
+
+
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
     """Best fit decreasing on a histogram: (how often, configuration)."""
     free: dict[int, list[list]] = {}
@@ -182,37 +271,41 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int,
     return full + [(k, config) for groups in free.values() for k, config in groups]
 
 
+def planned(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> tuple[list[tuple[int, dict[int, int]]], int, float]:
+    """(how often to use which configuration so that the histogram is packed exactly, sequences that come from the program, its bound).
+
+    The program is solved and rounded, and what is left is a smaller program of
+    its own, ``PHASES`` times; best fit decreasing packs the last rest. The same
+    solution may be rounded up or down, with or without wasteful configurations:
+    the rounding with the fewest sequences counts.
+    """
+    whole = counts.get(capacity, 0)
+    rest = {s: k for s, k in counts.items() if k and s != capacity}
+    full = [(whole, {capacity: 1})] if whole else []
+    first = Relaxation(rest, capacity, rounds)
+    bound = first.bound + whole
+    found: list[tuple[int, int, list]] = []
+    for up, waste in ((True, 0.0), (True, NEAR), (False, 0.0), (False, NEAR)):
+        left, used, program = dict(rest), [], first
+        for phase in range(PHASES):
+            if phase:
+                program = Relaxation(left, capacity, rounds)
+            taken = program.rounded(left, up, waste)
+            left = {s: k for s, k in left.items() if k}
+            used = used + taken
+            plan = used + best_fit(left, capacity)
+            found.append((sum(k for k, _ in plan), -sum(k for k, _ in used), plan))
+            if not taken or not left:
+                break
+        if min(found, key=lambda f: f[:2])[0] + whole <= math.ceil(bound * (1 + CLOSE)):
+            break
+    n, used, plan = min(found, key=lambda f: f[:2])
+    return full + plan, -used, bound
+
+
 def configurations(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[int, dict[int, int]]]:
     """How often to use which configuration so that the histogram is packed exactly."""
-    plain = best_fit(counts, capacity)
-    n = np.zeros(capacity + 1)
-    for s, k in counts.items():
-        n[s] = k
-    left = dict(counts)
-    used: list[tuple[int, dict[int, int]]] = []
-    if k := left.pop(capacity, 0):
-        used.append((k, {capacity: 1}))
-        n[capacity] = 0
-    area = sum(s * k for s, k in left.items()) / capacity
-    if area:
-        covered, usage, known = np.zeros(capacity + 1), {}, np.flatnonzero(n)
-        for _ in range(rounds):
-            prices = np.zeros(capacity + 1)
-            prices[known] = np.exp(-SHARPNESS * (covered[known] - covered[known].min())) / n[known]
-            config = dearest(prices, capacity)
-            # one round's share of the sequences, at most a half of any length's demand
-            step = min(2 * area / rounds, *(max(1.0, n[s] / m / 2) for s, m in config.items()))
-            usage[key] = usage.get(key := tuple(sorted(config.items())), 0.0) + step
-            for s, m in config.items():
-                covered[s] += step * m / n[s]
-        for key, x in sorted(usage.items(), key=lambda kv: -sum(s * m for s, m in kv[0])):
-            k = min(int(x), *(left[s] // m for s, m in key))
-            if k and sum(s * m for s, m in key) * 100 >= 99 * capacity:
-                used.append((k, dict(key)))
-                for s, m in key:
-                    left[s] -= k * m
-    used += best_fit({s: k for s, k in left.items() if k}, capacity)
-    return min(used, plain, key=lambda plan: sum(k for k, _ in plan))
+    return planned(counts, capacity, rounds)[0]
 
 
 def places(plan: list[tuple[int, dict[int, int]]]) -> np.ndarray:
