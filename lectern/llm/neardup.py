@@ -7,7 +7,8 @@ are one class from the start, so a group of copies costs one row per band.
 
 Links are confirmed on whole sets. No bucket emits all its pairs: its members
 are tested against hubs, one round after another, best member first, and a
-member drops out once it belongs with the hub. Before that, sets of which too
+member drops out once it belongs with the hub; a bucket with one component left
+drops out whole. Before that, sets of which too
 many shingles occur in no other candidate are left out, as is a pair of sets too
 far apart in size; both bound the overlap from above and lose no link. Buckets
 that the hubs leave in several components meet once more, in blocks of bounded
@@ -16,14 +17,17 @@ components only, fewer than there are members.
 
 Defined results: null and empty texts have an empty set and link with nothing;
 a text with fewer words than a shingle is one shingle; rows that repeat an id
-are a group of copies; an empty table gives no rows.
+are a group of copies; rows without an id take no part in links, but go with the
+rows whose set is the same; ties between hubs go to the least id; an empty table
+gives no rows; other columns are ignored. A document's own set is held whole by
+one task, however long its text is.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel as K
@@ -32,8 +36,10 @@ from .common import saved, ship
 #: Signature of 96 values from 48 permutations in 24 bands of 4: a pair at similarity 0.8 is missed with 3 in a million.
 PERMUTATIONS, BAND = 48, 4
 SHINGLE, PERCENT = 4, 80
-#: Hubs of each bucket that are tested before the rest meets in blocks of so many members.
-HUB_ROUNDS, BLOCK = 2, 512
+#: Most hubs of each bucket that are tested before the rest meets in blocks of so many members and, about, so many shingles.
+HUB_ROUNDS, BLOCK, BLOCK_SHINGLES = 6, 512, 4_000_000
+#: After so many hubs the blocks begin, once they send out no more copies of sets than so many times the classes.
+LEAST_ROUNDS, COPIES = 2, 1
 #: Ids of candidates are broadcast up to this count (16 MB).
 BROADCAST_IDS = 1_000_000
 
@@ -196,53 +202,65 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     slim = docs.select("doc_id", "text")
     id_type = dict(slim.dtypes)["doc_id"]
     scan = saved(slim.mapInArrow(_signatures(shingle), f"doc_id {id_type}, n long, h1 long, h2 long, bands array<long>"), "signatures")
-    classes = scan.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("cid"))
-    members = saved(scan.select("doc_id", "n", "h1", "h2").join(classes, ["n", "h1", "h2"], "left").select("doc_id", "n", F.coalesce("cid", "doc_id").alias("cid")), "members")
-    heads = scan.where("n > 0").join(classes.select("cid", "n", "h1", "h2"), ["n", "h1", "h2"]).where("doc_id = cid").select("cid", "n", F.posexplode("bands").alias("band", "key"))
-    heads = saved(heads.dropDuplicates(["cid", "key"]).select("cid", "n", "key"), "bands")
-    shared = heads.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    bucketed = saved(heads.join(shared, "key"), "buckets")
+    # Equal sets are one class; tables that are written before they are joined let adaptive execution split hot keys.
+    classes = saved(scan.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("cid"), F.min_by("bands", "doc_id").alias("bands")), "classes")
+    members = saved(scan.select("doc_id", "n", "h1", "h2").join(classes.drop("bands"), ["n", "h1", "h2"], "left").select("doc_id", "n", F.coalesce("cid", "doc_id").alias("cid")), "members")
+    # an id with several texts stands for all their classes
+    heads = saved(classes.where("cid is not null").groupBy("cid").agg(F.min("n").alias("n"), F.count("*").alias("texts"), F.array_distinct(F.flatten(F.collect_list("bands"))).alias("bands")), "heads")
+    each = heads.select("cid", "n", F.explode("bands").alias("key"))
+    shared = saved(each.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "shared")
+    bucketed = saved(each.join(shared, "key"), "buckets")
 
     # Whole sets of the candidates, and how many shingles no other candidate has.
     ids = saved(bucketed.groupBy("cid").agg(F.sum("c").alias("met")), "candidates")
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    sets = saved(slim.join(ids, slim["doc_id"] == ids["cid"], "left_semi").mapInArrow(_sets(shingle), f"cid {id_type}, shingles array<long>").dropDuplicates(["cid"]), "sets")
+    sets = slim.join(ids, slim["doc_id"] == ids["cid"], "left_semi").mapInArrow(_sets(shingle), f"cid {id_type}, shingles array<long>")
+    if not scan.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").isEmpty():
+        sets = sets.dropDuplicates(["cid"])
+    sets = saved(sets, "sets")
     alone = sets.select("cid", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("cid").alias("cid")).where("c = 1").groupBy("cid").agg(F.count("*").alias("alone"))
-    bucketed = bucketed.drop("c").join(ids, "cid").join(alone, "cid", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0))).where(F.col("common") * 100 >= F.col("n") * percent).drop("alone")
-    # The most central members, which meet the most others, come first: a text that many were copied from.
-    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("met"), "cid"))
-    ranked = saved(bucketed.withColumn("place", place), "ranked")
+    bucketed = bucketed.drop("c").join(ids, "cid").join(alone, "cid", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0)))
+    bucketed = saved(bucketed.where(F.col("common") * 100 >= F.col("n") * percent).drop("alone"), "members-of-buckets")
 
     least = F.least(F.col("common"), F.col("hub_common"))
     possible = (F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent) & (least * 100 >= (F.col("n") + F.col("hub_n") - least) * percent)
-    links, roots = None, None
-
-    def rooted() -> DataFrame:
-        return ranked.withColumn("root", F.col("cid")) if roots is None else ranked.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-
+    links, rows, hubs = None, bucketed.withColumn("root", F.col("cid")), None
     for turn in range(1, hub_rounds + 1):
-        at = rooted()
-        hub = at.where(F.col("place") == turn).select("key", F.col("cid").alias("hub"), F.col("n").alias("hub_n"), F.col("common").alias("hub_common"), F.col("root").alias("hub_root"))
-        pairs = at.join(hub, "key").where((F.col("place") > turn) & (F.col("root") != F.col("hub_root")) & possible)
+        # The most central member, which meets the most others, comes first: a text that many were copied from.
+        # Later hubs come from other components than the last one's, if there are any.
+        free = rows if hubs is None else rows.join(hubs.select("key", F.col("hub").alias("cid")).withColumn("used", F.lit(True)), ["key", "cid"], "left_anti")
+        late = F.lit(False) if hubs is None else F.coalesce(F.col("root") == F.col("last_root"), F.lit(False))
+        if hubs is not None:
+            free = free.join(last, "key", "left")
+        best = free.groupBy("key").agg(F.min(F.struct(late.alias("late"), (-F.col("met")).alias("far"), F.col("cid").alias("hub"), F.col("n").alias("hub_n"), F.col("common").alias("hub_common"), F.col("root").alias("hub_root"))).alias("h"))
+        best = saved(best.select("key", "h.hub", "h.hub_n", "h.hub_common", "h.hub_root"), "hubs")
+        hubs = best.select("key", "hub") if hubs is None else hubs.union(best.select("key", "hub"))
+        pairs = rows.join(best, "key").where((F.col("cid") != F.col("hub")) & (F.col("root") != F.col("hub_root")) & possible)
         pairs = saved(pairs.select(F.least("hub", "cid").alias("a"), F.greatest("hub", "cid").alias("b")).distinct(), "pairs")
-        if pairs.isEmpty():
-            continue
-        found = saved(confirmed(pairs, sets, percent), "confirmed")
-        links = found if links is None else links.union(found)
-        roots = components(spark, links)
-    # Buckets whose members are still apart: their sets meet block by block.
-    at = saved(rooted().select("key", "cid", "root"), "rooted")
-    apart = at.groupBy("key").agg(F.count("*").alias("c"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key", F.ceil(F.col("c") / block).cast("int").alias("blocks"))
-    open_ = at.join(apart, "key").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+        if not pairs.isEmpty():
+            found = saved(confirmed(pairs, sets, percent), "confirmed")
+            links = found if links is None else links.union(found)
+            roots = components(spark, links)
+            rows = bucketed.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+        # Only buckets whose members are still apart go on.
+        rows = saved(rows, "rooted")
+        apart = rows.groupBy("key").agg(F.count("*").alias("c"), F.sum("n").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+        apart = saved(apart.select("key", F.ceil(F.greatest(F.col("c") / block, F.col("size") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "apart")
+        rows = rows.join(apart.select("key"), "key", "left_semi")
+        copies = rows.join(apart, "key").agg(F.coalesce(F.sum("blocks"), F.lit(0))).first()[0]
+        if not copies or turn >= LEAST_ROUNDS and copies <= COPIES * heads.count():
+            break
+        ends = rows.select("key", "cid", "root").join(best.select("key", F.col("hub").alias("cid")), ["key", "cid"])
+        last = saved(ends.select("key", F.col("root").alias("last_root")), "last")
+    # The sets of what is left meet block by block.
+    open_ = rows.join(apart, "key").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     open_ = open_.select("key", "own", "cid", "root", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     open_ = open_.select("key", F.least("own", "other").alias("g1"), F.greatest("own", "other").alias("g2"), "own", "cid", "root").join(sets, "cid")
     met = open_.repartition("key", "g1", "g2").sortWithinPartitions("key", "g1", "g2").mapInArrow(_linked(percent), f"a {id_type}, b {id_type}")
     found = saved(met.distinct(), "confirmed")
-    if not found.isEmpty():
-        roots = components(spark, found if links is None else links.union(found))
-    if roots is None:
-        return members.select("doc_id", F.col("n").alias("n_shingles"), F.col("cid").alias("component_id"))
+    links = found if links is None else links.union(found)
+    roots = components(spark, links)
     return members.join(roots, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "cid").alias("component_id"))
 
 
