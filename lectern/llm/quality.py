@@ -9,8 +9,11 @@ pseudo-counts, so that a rare language has one of its own too. A text without
 a language is compared with all references, and the nearest counts.
 
 Defined results: null text is empty and has no words; short texts fail the base
-rules; equal rows get equal verdicts; an empty table gives no rows; other
-columns of the input are ignored.
+rules; texts that pass them but are too short for a test pass that test; a
+language named '' is one like any other, a null one is none; words with equal
+counts rank by bucket; equal rows get equal verdicts; an empty table gives no
+rows; other columns of the input are ignored by the scores and kept by the
+filter; a text is handled whole, however long.
 """
 
 from __future__ import annotations
@@ -21,14 +24,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import ship
+from .common import saved, ship
 
 BUCKETS, COMMON = 65_536, 48
-#: Largest distances that pass, and the words a text needs to be tested.
+#: Largest distances that pass.
 CHAR_LIMIT, WORD_LIMIT = 0.32, 0.44
-CHAR_WORDS, WORD_WORDS = 50, 50
+#: Least lengths: characters in words for the first test, words for the second. Below, good texts come near the limits by chance.
+LEAST_CHARS, LEAST_WORDS = 200, 60
 #: Pseudo-counts from the sum of all languages: characters and words. Fewer than the shortest tested text has, so that no language is too rare.
 LENT_CHARS, LENT_WORDS = 50, 10
+#: Languages whose references fit into a task (a few kilobytes each); more are an error, none is left out.
+LANGUAGES = 5_000
 SYMBOLS = b"#*$%&|<>"
 
 CLASSES = 9
@@ -87,47 +93,74 @@ def base_counts(t: K.Texts) -> dict[str, np.ndarray]:
     return out
 
 
+#: (language, slot) counts that a task holds before it sends them on; each is some 16 bytes.
+HELD = 1_000_000
+
+
 def _histograms(batches):
-    total: dict[str | None, list] = {}
+    """Counts by language and slot: class k is slot k, word bucket b slot CLASSES + b. Sums stay sparse, whatever the languages."""
+    width = CLASSES + BUCKETS
+    names: dict[str | None, int] = {}
+    code, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    waiting: list[np.ndarray] = []
+    weights: list[np.ndarray] = []
+
+    def settled():
+        nonlocal code, n
+        code, at = np.unique(np.concatenate([code, *waiting]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([n, *weights]), len(code)).astype(np.int64)
+        waiting.clear(), weights.clear()
+
+    def told():
+        nonlocal code, n
+        langs = np.array(list(names), dtype=object)
+        out = pa.RecordBatch.from_arrays([pa.array(langs[code // width].tolist(), pa.string()), pa.array((code % width).astype(np.int32)), pa.array(n)], ["lang", "slot", "n"])
+        names.clear()
+        code, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return out
+
     for batch in batches:
         for i, j, data, at in K.chunks(batch.column("text")):
-            langs = np.array(batch.column("lang").slice(i, j - i).to_pylist(), dtype=object)
+            lang = np.array([names.setdefault(x, len(names)) for x in batch.column("lang").slice(i, j - i).to_pylist()], np.int64)
             classes = class_counts(K.Texts(data, at))
             buckets, words = word_buckets(data, at)
-            owner = K.owners(words)
-            for lang in set(langs):
-                own = np.array([x == lang for x in langs])
-                x = total.setdefault(lang, [0, np.zeros(CLASSES, np.int64), np.zeros(BUCKETS, np.int64)])
-                x[0] += int(own.sum())
-                x[1] += classes[own].sum(0)
-                x[2] += np.bincount(buckets[own[owner]], minlength=BUCKETS)
-    for lang, (n, classes, buckets) in total.items():
-        at = np.flatnonzero(buckets)
-        values = np.concatenate([[n], classes, buckets[at]])
-        slots = np.concatenate([[-1], np.arange(CLASSES), CLASSES + at])
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(slots), pa.string()), pa.array(slots.astype(np.int32)), pa.array(values)], ["lang", "slot", "n"])
+            text, kind = np.nonzero(classes)
+            waiting += [lang[text] * width + kind, lang[K.owners(words)] * width + CLASSES + buckets]
+            weights += [classes[text, kind], np.ones(len(buckets), np.int64)]
+            if sum(map(len, waiting)) > HELD:
+                settled()
+                if len(code) > HELD:
+                    yield told()
+    settled()
+    if len(code):
+        yield told()
 
 
 def references(docs: DataFrame) -> dict:
-    """Per language and for all (key ""): shares of classes, common buckets, their shares and the share of all other words."""
+    """Per language and for all (key None): shares of classes, common buckets, their shares and the share of all other words."""
     ship(docs.sparkSession)
-    counts = docs.select("lang", "text").mapInArrow(_histograms, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
+    # one pass over the texts; at most 65,545 rows a language
+    counts = saved(docs.select("lang", "text").mapInArrow(_histograms, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")), "histograms")
+    langs = counts.where("lang is not null").select("lang").distinct().count()
+    if langs > LANGUAGES:
+        raise ValueError(f"{langs} languages, {LANGUAGES} at most: is lang the column of languages?")
+    sums = counts.groupBy("slot").agg(F.sum("n").alias("all"))
+    every = counts.where("lang is not null").join(F.broadcast(sums), "slot").select(F.lit(False).alias("whole"), "lang", "slot", "n", "all")  # at most 65,545 sums
     # texts without a language take part in the sum of all only
-    counts = counts.withColumn("all", F.sum("n").over(Window.partitionBy("slot")))  # a row a language
-    every = counts.where("lang is not null").union(counts.groupBy("slot").agg(F.sum("n").alias("n")).select(F.lit("").alias("lang"), "slot", "n", F.col("n").alias("all")))
-    w = Window.partitionBy("lang")  # at most 65,546 rows a language
+    every = every.union(sums.select(F.lit(True), F.lit(None).cast("string"), "slot", "all", "all"))
+    w = Window.partitionBy("whole", "lang")  # at most 65,545 rows a language
     words = F.col("slot") >= CLASSES
-    every = every.groupBy("lang", "slot").agg(F.max("n").alias("n"), F.max("all").alias("all"))  # a language named "" is the sum
     every = every.withColumns({
         "words": F.sum(F.when(words, F.col("n"))).over(w), "rank": F.row_number().over(w.orderBy(words.desc(), F.desc("n"), "slot"))})
-    out: dict = {}
+    out: dict = {None: {"classes": np.zeros(CLASSES), "common": [], "words": 0}}
     for r in every.where(~words | (F.col("rank") <= COMMON)).collect():  # some sixty rows a language
-        x = out.setdefault(r["lang"], {"classes": np.zeros(CLASSES), "common": [], "words": r["words"] or 0})
+        x = out.setdefault(r["lang"], {"classes": np.zeros(CLASSES), "common": [], "words": 0})
+        x["words"] = r["words"] or 0
         if r["slot"] >= CLASSES:
             x["common"].append((r["slot"] - CLASSES, r["n"], r["all"]))
-        elif r["slot"] >= 0:
+        else:
             x["classes"][r["slot"]] = r["n"]
-    total = out.get("", {"classes": np.zeros(CLASSES), "words": 0})
+    total = out[None]
     all_classes, all_words = total["classes"] / max(1, total["classes"].sum()), max(1, total["words"])
     for x in out.values():
         x["classes"] = x["classes"] + LENT_CHARS * all_classes
@@ -159,21 +192,23 @@ def judged(refs: dict, batch: pa.RecordBatch):
         buckets, words = word_buckets(data, at)
         owner = K.owners(words)
         langs = batch.column("lang").slice(i, j - i).to_pylist()
-        keys = np.array([x if x in refs else "" for x in langs], dtype=object)
+        keys = [x if x in refs else None for x in langs]
+        of = {key: [] for key in keys}
+        for k, key in enumerate(keys):
+            of[key].append(k)
         chars, common, nearest = np.zeros(j - i), np.zeros(j - i), np.full(j - i, np.inf)
-        anyhow = np.flatnonzero(keys == "")
-        for key in refs if len(anyhow) else set(keys) & set(refs):
-            own = np.union1d(np.flatnonzero(keys == key), anyhow)
-            if not len(own):
-                continue
+        anyhow = of.pop(None, [])
+        for key in refs if anyhow else of:
+            own = np.sort(np.array([*of.get(key, []), *anyhow]))
             ref = refs[key]
             k = len(ref["buckets"])
-            slot = np.full(BUCKETS, k)
-            slot[ref["buckets"]] = np.arange(k)
             place = np.full(j - i, -1)
             place[own] = np.arange(len(own))
             mine = place[owner] >= 0
-            counts = np.bincount(place[owner[mine]] * (k + 1) + slot[buckets[mine]], minlength=len(own) * (k + 1)).reshape(len(own), k + 1)
+            seen = buckets[mine]
+            slot = np.searchsorted(ref["buckets"], seen)
+            slot[np.append(ref["buckets"], -1)[slot] != seen] = k
+            counts = np.bincount(place[owner[mine]] * (k + 1) + slot, minlength=len(own) * (k + 1)).reshape(len(own), k + 1)
             c, d = distance(classes[own], ref["classes"]), distance(counts, ref["shares"])
             # the nearest reference is the one whose limits are kept best
             far = np.maximum(c / CHAR_LIMIT, d / WORD_LIMIT)
@@ -182,7 +217,7 @@ def judged(refs: dict, batch: pa.RecordBatch):
             chars[at], common[at], nearest[at] = c[near], d[near], far[near]
         out["base_failed"] = (out["n_words"] < 50) | (100 * out["n_repeat_words"] > 50 * out["n_words"])
         out["char_distance"], out["word_distance"] = chars, common
-        out["kept"] = ~out["base_failed"] & ((out["n_words"] < CHAR_WORDS) | (chars <= CHAR_LIMIT)) & ((out["n_words"] < WORD_WORDS) | (common <= WORD_LIMIT))
+        out["kept"] = ~out["base_failed"] & ((out["word_chars"] < LEAST_CHARS) | (chars <= CHAR_LIMIT)) & ((out["n_words"] < LEAST_WORDS) | (common <= WORD_LIMIT))
         yield i, j, out
 
 
