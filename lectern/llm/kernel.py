@@ -140,3 +140,44 @@ def distinct(h: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.n
 
 def lists(values: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.view(np.int64)))
+
+
+#: (name, slot) sums that a task holds before it sends them on; each is some 16 bytes.
+HELD = 1_000_000
+
+
+class Sums:
+    """Sums by name and slot, sparse however many names occur; ``full`` says when to send them on."""
+
+    def __init__(self, width: int, columns: tuple[str, str, str]):
+        self.width, self.columns = width, columns
+        self._empty()
+
+    def _empty(self) -> None:
+        self.names: dict[str | None, int] = {}
+        self.code, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, names: list[str | None], member: np.ndarray, slot: np.ndarray, n: np.ndarray | None = None) -> None:
+        """Adds n (1 each if not given) to the slots of the names of the members."""
+        number = np.array([self.names.setdefault(x, len(self.names)) for x in names], np.int64)
+        self.waiting.append((number[member] * self.width + slot, np.ones(len(slot), np.int64) if n is None else n))
+
+    @property
+    def full(self) -> bool:
+        if sum(len(c) for c, _ in self.waiting) > HELD:
+            self._settle()
+        return len(self.code) > HELD
+
+    def _settle(self) -> None:
+        self.code, at = np.unique(np.concatenate([self.code, *[c for c, _ in self.waiting]]), return_inverse=True)
+        self.n = np.bincount(at, np.concatenate([self.n, *[n for _, n in self.waiting]]), len(self.code)).astype(np.int64)
+        self.waiting = []
+
+    def told(self) -> pa.RecordBatch:
+        """(name, slot, sum) of what was added since the last time."""
+        self._settle()
+        names = pa.array(list(self.names), pa.string()).take(pa.array(self.code // self.width))
+        out = pa.RecordBatch.from_arrays([names, pa.array((self.code % self.width).astype(np.int32)), pa.array(self.n)], list(self.columns))
+        self._empty()
+        return out

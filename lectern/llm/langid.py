@@ -2,8 +2,9 @@
 
 Evidence on each text: the likelihood of its byte trigrams under each language
 (trained on all documents whose language is given), the language that the
-markup declares, the one that the address suggests (a path segment or the top
-level domain), and a prior of its host. Host priors are smoothed in a hierarchy
+markup declares, the address's suffix (a path segment of two letters, else the
+top level domain, whatever it is: what it says of languages is learned), and a
+prior of its host. Host priors are smoothed in a hierarchy
 - host, registered domain, everything - from grouped sums of the text-only
 posteriors; so are the reliabilities of declarations and addresses. All of it is
 added up as logarithms.
@@ -14,7 +15,8 @@ text is what remains of the html without scripts, styles and tags.
 Defined results: null or empty text has flat likelihoods, so the other evidence
 decides; a null host counts with all null hosts; ties go to the first language
 in order; without training texts no row gets a language; equal rows get equal
-results; empty tables give no rows; other columns are ignored.
+results; ids that are no numbers read as null; empty tables give no rows; other
+columns are ignored; a text is handled whole, however long.
 """
 
 from __future__ import annotations
@@ -30,7 +32,8 @@ from .common import saved, ship
 BUCKETS = 16_384
 #: Languages that one pass over the texts scores. Every language that occurs is told apart.
 LANGUAGES = 64
-#: Trigrams overlap, so a text's log-likelihood counts by this share, up to so many trigrams.
+#: Trigrams overlap, so a text's log-likelihood counts by this share. It is a mean over the text from so many trigrams on:
+#: a longer text says no more about its language, and what its markup and host say must not drown in it.
 TEMPER, ENOUGH = 0.3, 2_000
 #: Pseudo-counts: that a level of the hierarchy lends the one below, and of declarations and addresses that are right.
 LENT, AGREE = 5.0, 5.0
@@ -50,16 +53,14 @@ def trigrams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _trained(batches):
-    sums: dict[str, np.ndarray] = {}
+    sums = K.Sums(BUCKETS, ("lang", "bucket", "n"))
     for batch in batches:
         for i, j, data, at in K.chunks(batch.column("text")):
             code, text = trigrams(data, at)
-            langs = np.array(batch.column("lang").slice(i, j - i).to_pylist(), dtype=object)
-            for lang in set(langs):
-                sums[lang] = sums.get(lang, 0) + np.bincount(code[(langs == lang)[text]], minlength=BUCKETS)
-    for lang, x in sums.items():
-        at = np.flatnonzero(x)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(x[at])], ["lang", "bucket", "n"])
+            sums.add(batch.column("lang").slice(i, j - i).to_pylist(), text, code)
+            if sums.full:
+                yield sums.told()
+    yield sums.told()
 
 
 class TextModel:
@@ -93,7 +94,7 @@ class TextModel:
 def text_model(docs: DataFrame) -> TextModel:
     """Counts over all documents with a language."""
     ship(docs.sparkSession)
-    counts = saved(docs.where("lang is not null").select("lang", "text").mapInArrow(_trained, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "trigrams")
+    counts = saved(docs.where("lang is not null").select("lang", "text").mapInArrow(_trained, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "trigrams")
     found: dict[str, tuple[list, list]] = {}
     for r in counts.toLocalIterator():  # at most BUCKETS rows a language
         at, n = found.setdefault(r[0], ([], []))
@@ -115,13 +116,13 @@ def page_evidence(pages: DataFrame) -> DataFrame:
     for k, v in COUNTRY.items():
         top = F.when(top == k, v).otherwise(top)
     return pages.select(
-        F.lit("pages").alias("table"), F.col("page_id").cast("long").alias("id"), host.alias("host"), F.substring_index(host, ".", -2).alias("domain"),
+        F.lit("pages").alias("table"), F.col("page_id").try_cast("long").alias("id"), host.alias("host"), F.substring_index(host, ".", -2).alias("domain"),
         F.lower(F.regexp_extract("html", r"(?i)<html\b[^>]*\blang\s*=\s*[\"']?([A-Za-z]{2})", 1)).alias("declared"), F.when(path != "", path).otherwise(top).alias("suffix"), visible(F.col("html")).alias("text"))
 
 
 def document_evidence(docs: DataFrame) -> DataFrame:
     none = F.lit("")
-    return docs.select(F.lit("documents").alias("table"), F.col("doc_id").cast("long").alias("id"), F.col("source").alias("host"), none.alias("domain"), none.alias("declared"), none.alias("suffix"), "text")
+    return docs.select(F.lit("documents").alias("table"), F.col("doc_id").try_cast("long").alias("id"), F.col("source").alias("host"), none.alias("domain"), none.alias("declared"), none.alias("suffix"), "text")
 
 
 def identify(rows: DataFrame, model: TextModel) -> DataFrame:
@@ -158,7 +159,7 @@ def identify(rows: DataFrame, model: TextModel) -> DataFrame:
 
     known = F.array(*[F.lit(x) for x in langs]).cast("array<string>")
     heard = lambda c: F.when(F.array_contains(known, F.col(c)), F.col(c)).otherwise("")
-    scored = saved(scored.withColumns({"p": posterior(F.col("ll")), "host": F.coalesce("host", F.lit("")), "domain": F.coalesce("domain", F.lit("")), "declared": heard("declared"), "suffix": heard("suffix")}), "likelihoods")
+    scored = saved(scored.withColumns({"p": posterior(F.col("ll")), "host": F.coalesce("host", F.lit("")), "domain": F.coalesce("domain", F.lit("")), "declared": heard("declared"), "suffix": F.coalesce("suffix", F.lit(""))}), "likelihoods")
     # a sum a language, as one array
     sums = F.array(*[F.sum(F.col("p")[k]) for k in range(n)])
     total = lambda x, first: F.aggregate(x, F.lit(first), lambda a, b: a + b)
@@ -176,13 +177,18 @@ def identify(rows: DataFrame, model: TextModel) -> DataFrame:
     if priors.count() * max(1, n) <= BROADCAST_HOSTS * LANGUAGES:
         priors = F.broadcast(priors)
 
+    totals = saved(scored.groupBy("table").agg(sums.alias("t"), F.count("*").alias("rows")), "totals")  # two tables
+    right = lambda c: F.transform(known, lambda x: F.when(F.col(c) == x, AGREE).otherwise(0.0))
+
     def reliability(column: str) -> DataFrame:
-        """log P(this declaration | language), from soft counts; at most one row a code of two letters or top level domain and one for none."""
-        w = scored.groupBy("table", column).agg(sums.alias("s"))
-        of = scored.groupBy("table").agg(sums.alias("t"))
-        right = F.transform(known, lambda x: F.when(F.col(column) == x, AGREE).otherwise(0.0))
-        logs = F.zip_with(F.zip_with(F.col("s"), right, lambda s, r: s + 0.5 + r), F.col("t"), lambda s, t: F.log(s / (t + AGREE + 0.5 * (n + 1))))
-        return F.broadcast(w.join(F.broadcast(of), "table").select("table", column, logs.alias(f"log_{column}")))
+        """log P(what is in the column | language), from soft counts and the belief that a language's own name is right."""
+        seen = scored.groupBy("table", column).agg(sums.alias("s"), F.count("*").alias("c")).join(F.broadcast(totals), "table")
+        if column == "declared":  # a language that occurs, or none
+            logs = F.zip_with(F.zip_with(F.col("s"), right(column), lambda s, r: s + 0.5 + r), F.col("t"), lambda s, t: F.log(s / (t + AGREE + 0.5 * (n + 1))))
+        else:  # any suffix; unseen with a language, it counts by its share of all rows
+            logs = F.zip_with(F.zip_with(F.col("s"), right(column), lambda s, r: s + r + F.col("c") / F.col("rows")), F.col("t"), lambda s, t: F.log(s / (t + AGREE + 1)))
+        told = saved(seen.select("table", column, logs.alias(f"log_{column}")), column)
+        return F.broadcast(told) if told.count() * max(1, n) <= BROADCAST_HOSTS * LANGUAGES else told
 
     fused = scored.join(priors, ["table", "domain", "host"]).join(reliability("declared"), ["table", "declared"]).join(reliability("suffix"), ["table", "suffix"])
     logs = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.get("ll", k) + F.log(F.get("prior", k)) + F.get("log_declared", k) + F.get("log_suffix", k))
@@ -204,4 +210,4 @@ def op7(docs: DataFrame, pages: DataFrame) -> DataFrame:
     found = identified(docs, pages)
     return found.select(
         "table", F.when(F.col("table") == "documents", F.col("id")).alias("doc_id"), F.when(F.col("table") == "pages", F.col("id")).alias("page_id"),
-        "lang", F.round("confidence", 6).alias("confidence"), "text_lang", F.lit(True).alias("kept"))
+        "lang", F.round("confidence", 6).alias("confidence"), "text_lang")

@@ -93,47 +93,20 @@ def base_counts(t: K.Texts) -> dict[str, np.ndarray]:
     return out
 
 
-#: (language, slot) counts that a task holds before it sends them on; each is some 16 bytes.
-HELD = 1_000_000
-
-
 def _histograms(batches):
-    """Counts by language and slot: class k is slot k, word bucket b slot CLASSES + b. Sums stay sparse, whatever the languages."""
-    width = CLASSES + BUCKETS
-    names: dict[str | None, int] = {}
-    code, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    waiting: list[np.ndarray] = []
-    weights: list[np.ndarray] = []
-
-    def settled():
-        nonlocal code, n
-        code, at = np.unique(np.concatenate([code, *waiting]), return_inverse=True)
-        n = np.bincount(at, np.concatenate([n, *weights]), len(code)).astype(np.int64)
-        waiting.clear(), weights.clear()
-
-    def told():
-        nonlocal code, n
-        langs = np.array(list(names), dtype=object)
-        out = pa.RecordBatch.from_arrays([pa.array(langs[code // width].tolist(), pa.string()), pa.array((code % width).astype(np.int32)), pa.array(n)], ["lang", "slot", "n"])
-        names.clear()
-        code, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return out
-
+    """Counts by language and slot: class k is slot k, word bucket b slot CLASSES + b."""
+    sums = K.Sums(CLASSES + BUCKETS, ("lang", "slot", "n"))
     for batch in batches:
         for i, j, data, at in K.chunks(batch.column("text")):
-            lang = np.array([names.setdefault(x, len(names)) for x in batch.column("lang").slice(i, j - i).to_pylist()], np.int64)
+            langs = batch.column("lang").slice(i, j - i).to_pylist()
             classes = class_counts(K.Texts(data, at))
             buckets, words = word_buckets(data, at)
             text, kind = np.nonzero(classes)
-            waiting += [lang[text] * width + kind, lang[K.owners(words)] * width + CLASSES + buckets]
-            weights += [classes[text, kind], np.ones(len(buckets), np.int64)]
-            if sum(map(len, waiting)) > HELD:
-                settled()
-                if len(code) > HELD:
-                    yield told()
-    settled()
-    if len(code):
-        yield told()
+            sums.add(langs, text, kind, classes[text, kind])
+            sums.add(langs, K.owners(words), CLASSES + buckets)
+            if sums.full:
+                yield sums.told()
+    yield sums.told()
 
 
 def references(docs: DataFrame) -> dict:

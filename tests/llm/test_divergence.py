@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from test_corpus import WORD, brute
 
-from lectern.llm import quality
+from lectern.llm import kernel, quality
 
 DOC = "doc_id long, text string, lang string"
 
@@ -113,7 +113,7 @@ def test_sums_are_sent_on_in_parts(spark, monkeypatch):
     import pyarrow as pa
 
     batch = pa.RecordBatch.from_pydict({"lang": ["en", "de"] * 50, "text": [f"w{i}" for i in range(100)]})
-    monkeypatch.setattr(quality, "HELD", 10)
+    monkeypatch.setattr(kernel, "HELD", 10)
     parts = list(quality._histograms(iter([batch, batch])))
     assert len(parts) > 1 and sum(p.column("n").to_pylist()[k] for p in parts for k in range(p.num_rows) if p.column("slot").to_pylist()[k] >= quality.CLASSES) == 200
     assert set(whole) == {None, "en"}
