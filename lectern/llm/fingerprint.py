@@ -4,8 +4,11 @@ A text's paragraphs - lines, the long ones divided every three words - are
 hashed into a set. Each element adds its digest and a check sum to three cells.
 Subtracting two sketches leaves the elements in which the texts differ; peeling
 cells that hold a single element recovers them, and if some are left over, the
-sketches are made again four times as large. What was recovered tells how alike
-two texts are: 1 - differing / all elements of both.
+sketches are made again four times as large. The first sketches that are
+subtracted are the published fingerprints; what was recovered tells how alike
+two texts are: 1 - differing / all elements of both. A fingerprint of 36 cells
+alone tells some 25 differing elements, so that beyond them likeness rests on
+larger sketches made from the texts.
 
 For the next document in the order of ids, documents are dealt by ranges of ids
 whose bounds are ids that occur, so that the first document of each range, which
@@ -13,8 +16,9 @@ the last of the range before needs, is known beforehand and goes to both.
 
 Defined results: null text is empty; two texts without words are alike (1.0);
 rows of equal ids stand in the order of a hash of their text; null ids come
-first; a single document is its own next; an empty table gives no rows; other
-columns are ignored.
+first; a single document is its own next; an empty table gives no rows; ids may
+be of any type that can be ordered; other columns are ignored; a text is handled
+whole, however long.
 """
 
 from __future__ import annotations
@@ -26,6 +30,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import kernel as K
 from .common import ship, shuffle_partitions
@@ -75,10 +81,10 @@ def sketches(h: np.ndarray, owner: np.ndarray, n: int, cells: int, sign: np.ndar
     return out
 
 
-def peeled(table, n: int, cells: int) -> tuple[np.ndarray, np.ndarray]:
-    """(elements recovered, whether all were) of n subtracted sketches."""
+def peeled(table, n: int, cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sketch, digest and sign of each element recovered, whether all were) of n subtracted sketches."""
     count, digest, check = table
-    got = np.zeros(n, np.int64)
+    found = [(np.zeros(0, np.int64), np.zeros(0, K.U), np.zeros(0, np.int64))]
     at = np.flatnonzero(np.abs(count) == 1)
     while len(at):
         sign = count[at]
@@ -92,12 +98,12 @@ def peeled(table, n: int, cells: int) -> tuple[np.ndarray, np.ndarray]:
         owner, key, sign = owner[new], key[new], sign[new]
         if not len(key):
             break
-        got += np.bincount(owner, minlength=n)
+        found.append((owner, key, sign))
         sketches(key, owner, n, cells, -sign, table)
         touched = np.unique(np.concatenate(_cells(key, owner, cells)))
         at = touched[np.abs(count[touched]) == 1]
     left = (count != 0) | (digest != 0) | (check != 0)
-    return got, ~left.reshape(n, cells).any(1)
+    return *(np.concatenate(x) for x in zip(*found, strict=True)), ~left.reshape(n, cells).any(1)
 
 
 def _ranges(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,12 +113,15 @@ def _ranges(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return member, np.repeat(np.arange(len(rows)), size)
 
 
-def likeness(a: tuple, a_rows: np.ndarray, b: tuple, b_rows: np.ndarray) -> np.ndarray:
-    """How alike pairs of sets (digests, offsets) are, by subtracting and peeling sketches of growing size."""
+def compared(a: tuple, a_rows: np.ndarray, b: tuple, b_rows: np.ndarray, first: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(likeness of pairs of sets, then pair, digest and sign of each element in which they differ).
+
+    Sets are (digests, offsets). Their sketches are subtracted and peeled, in growing size. first: the fingerprints of
+    all sets of a and of b, as ``sketches`` makes them, which are what is subtracted first."""
     (ha, at_a), (hb, at_b) = a, b
     size_a, size_b = at_a[a_rows + 1] - at_a[a_rows], at_b[b_rows + 1] - at_b[b_rows]
     total = size_a + size_b
-    differ = np.zeros(len(a_rows), np.int64)
+    found = [(np.zeros(0, np.int64), np.zeros(0, K.U), np.zeros(0, np.int64))]
     todo, cells = np.arange(len(a_rows)), CELLS
     while len(todo):
         # so many differing elements that peeling can't end wait for a larger size
@@ -120,38 +129,55 @@ def likeness(a: tuple, a_rows: np.ndarray, b: tuple, b_rows: np.ndarray) -> np.n
         failed = [np.setdiff1d(todo, tried)]
         for i in range(0, len(tried), max(1, 200_000 // cells)):
             own = tried[i : i + max(1, 200_000 // cells)]
-            ia, oa = _ranges(at_a, a_rows[own])
-            ib, ob = _ranges(at_b, b_rows[own])
-            table = sketches(hb[ib], ob, len(own), cells, -1, sketches(ha[ia], oa, len(own), cells))
-            got, whole = peeled(table, len(own), cells)
-            differ[own[whole]] = got[whole]
+            if first and cells == CELLS:
+                table = tuple((x.reshape(-1, cells)[a_rows[own]] - y.reshape(-1, cells)[b_rows[own]]).ravel() for x, y in zip(*first, strict=True))
+            else:
+                ia, oa = _ranges(at_a, a_rows[own])
+                ib, ob = _ranges(at_b, b_rows[own])
+                table = sketches(hb[ib], ob, len(own), cells, -1, sketches(ha[ia], oa, len(own), cells))
+            owner, key, sign, whole = peeled(table, len(own), cells)
+            sure = whole[owner]
+            found.append((own[owner[sure]], key[sure], sign[sure]))
             failed.append(own[~whole])
         todo, cells = np.concatenate(failed), cells * GROWTH
         for i in todo[cells > 400 * total[todo] + 400_000]:  # a digest collision
             x, y = ha[at_a[a_rows[i]] : at_a[a_rows[i] + 1]], hb[at_b[b_rows[i]] : at_b[b_rows[i] + 1]]
-            differ[i] = len(np.setxor1d(x, y))
+            for key, sign in ((np.setdiff1d(x, y), 1), (np.setdiff1d(y, x), -1)):
+                found.append((np.full(len(key), i), key, np.full(len(key), sign)))
             todo = todo[todo != i]
-    return np.where(total > 0, 1 - differ / np.maximum(total, 1), 1.0)
+    pair, key, sign = (np.concatenate(x) for x in zip(*found, strict=True))
+    differ = np.bincount(pair, minlength=len(a_rows))
+    return np.where(total > 0, 1 - differ / np.maximum(total, 1), 1.0), pair, key, sign
+
+
+def likeness(a: tuple, a_rows: np.ndarray, b: tuple, b_rows: np.ndarray, first: tuple | None = None) -> np.ndarray:
+    return compared(a, a_rows, b, b_rows, first)[0]
 
 
-def encoded(sets: tuple, n: int) -> list[str]:
-    """Each set's fingerprint: its sketch as base64 of counts, digest sums and check sums."""
-    h, at = sets
-    count, digest, check = sketches(h, K.owners(at), n, CELLS)
-    count, digest, check = count.astype("<i4").reshape(n, -1), digest.astype("<u8").reshape(n, -1), (check & K.U(0xFFFFFFFF)).astype("<u4").reshape(n, -1)
+def encoded(table: tuple, n: int) -> list[str]:
+    """Each fingerprint: its sketch as base64 of counts, digest sums and check sums."""
+    count, digest, check = table
+    count, digest, check = count.astype("<i4").reshape(-1, CELLS), digest.astype("<u8").reshape(-1, CELLS), (check & K.U(0xFFFFFFFF)).astype("<u4").reshape(-1, CELLS)
     return [base64.b64encode(count[i].tobytes() + digest[i].tobytes() + check[i].tobytes()).decode() for i in range(n)]
 
 
-def _fingerprinted(ids: list, texts: list[str], following: list[str]) -> dict:
+def _fingerprinted(ids: list, texts: list[str], following: list[str], with_digests: bool) -> dict:
     edited = [t[: len(t) - len(t) // 4] + x[: len(t) // 4] for t, x in zip(texts, following, strict=True)]
     n = len(texts)
     own, changed = paragraph_sets([*texts, following[-1]]), paragraph_sets(edited)
+    own_sketch, changed_sketch = (sketches(h, K.owners(at), len(at) - 1, CELLS) for h, at in (own, changed))
     rows = np.arange(n)
-    only = (own[0], own[1][:-1])
-    return {
+    near, pair, key, sign = compared(own, rows, changed, rows, (own_sketch, changed_sketch))
+    out = {
         "doc_id": ids, "n_chars": [len(t) for t in texts], "edited_sha256": [hashlib.sha256(e.encode()).hexdigest() for e in edited],
-        "fingerprint": encoded((own[0][: own[1][n]], only[1]), n), "edited_fingerprint": encoded(changed, n),
-        "near_edited": likeness(own, rows, changed, rows), "near_next": likeness(own, rows, own, rows + 1)}
+        "fingerprint": encoded(own_sketch, n), "edited_fingerprint": encoded(changed_sketch, n),
+        "near_edited": near, "near_next": likeness(own, rows, own, rows + 1, (own_sketch, own_sketch))}
+    if with_digests:
+        for name, of in (("gone", 1), ("came", -1)):
+            mine = np.flatnonzero(sign == of)
+            mine = mine[np.lexsort((key[mine], pair[mine]))]
+            out[name] = K.lists(key[mine], np.searchsorted(pair[mine], np.arange(n + 1)))
+    return out
 
 
 FIELDS = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -160,6 +186,8 @@ RUN = 1_000_000
 
 
 def _run(schema: pa.Schema):
+    with_digests = "gone" in schema.names
+
     def run(batches):
         waiting: list[tuple] = []  # in order, of one range; the last one's successor isn't known yet
         size = 0
@@ -167,7 +195,7 @@ def _run(schema: pa.Schema):
         def flush(keep: int):
             nonlocal waiting, size
             if len(waiting) > 1:
-                out = _fingerprinted([w[1] for w in waiting[:-1]], [w[2] for w in waiting[:-1]], [w[2] for w in waiting[1:]])
+                out = _fingerprinted([w[1] for w in waiting[:-1]], [w[2] for w in waiting[:-1]], [w[2] for w in waiting[1:]], with_digests)
                 yield pa.RecordBatch.from_pydict(out, schema)
             waiting = waiting[-1:] if keep else []
             size = 0
@@ -188,26 +216,35 @@ def _run(schema: pa.Schema):
     return run
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """The fingerprint of every text, of its edited text, and their likeness."""
+def fingerprints(docs: DataFrame, with_digests: bool = False) -> DataFrame:
+    """The fingerprint of every text, of its edited text, and their likeness; with_digests: and the paragraph digests
+    that peeling recovers, ``gone`` (only in the text) and ``came`` (only in the edited text)."""
     spark = docs.sparkSession
     ship(spark)
-    kind = dict(docs.dtypes)["doc_id"]
+    kind = docs.schema["doc_id"].dataType
     ranges = 4 * shuffle_partitions(spark)
-    known = docs.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], 10_000).alias("bounds"), F.min("doc_id").alias("least"), F.max(F.col("doc_id").isNull()).alias("nulls")).first()
-    bounds = sorted({*(known["bounds"] or [])} - {known["least"]})
     rows = docs.select("doc_id", "text")
-    literal = F.array(*[F.lit(b) for b in bounds]).cast(f"array<{kind}>")
-    at = F.size(F.filter(literal, lambda b: b <= F.col("doc_id"))) if bounds else F.lit(0)
-    at = F.when(F.col("doc_id").isNull(), 0).otherwise(at)
-    first = F.col("doc_id").isNull() if known["nulls"] else F.col("doc_id") == F.lit(known["least"])
-    carried = F.when(first, F.lit(len(bounds))).when(F.array_contains(literal, F.col("doc_id")), at - 1)
-    dealt = rows.withColumn("at", F.filter(F.array(at, F.coalesce(carried, F.lit(-1))), lambda x: x >= 0)).select("doc_id", "text", F.posexplode("at").alias("carried", "range"))
+    # The first id of each range, a row a range, and whether ids are null, which come before all others.
+    ids = rows.select("doc_id").where("doc_id is not null").repartitionByRange(ranges, "doc_id").withColumn("part", F.spark_partition_id())
+    firsts = sorted(r[1] for r in ids.groupBy("part").agg(F.min("doc_id")).collect())
+    nulls = not rows.where("doc_id is null").isEmpty()
+    least, bounds = firsts[:1], firsts[1:]
+    at = carried = F.lit(0)
+    if firsts:
+        # how many bounds are up to the id, by halves
+        known = F.array(*[F.lit(b) for b in bounds]).cast(T.ArrayType(kind))
+        steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))]).cast("array<int>")
+        at = F.aggregate(steps, F.lit(0), lambda low, s: F.when(F.coalesce(F.get(known, low + s - 1) <= F.col("doc_id"), F.lit(False)), low + s).otherwise(low)) if bounds else F.lit(0)
+        first = F.col("doc_id").isNull() if nulls else F.col("doc_id") == F.lit(least[0]).cast(kind)
+        # a range's first document is also the next one of the last document in the range before
+        carried = F.when(first, F.lit(len(bounds))).when(F.get(known, at - 1) == F.col("doc_id"), at - 1)
+    dealt = rows.withColumn("own", F.when(F.col("doc_id").isNull(), 0).otherwise(at)).withColumn("at", F.filter(F.array("own", F.coalesce(carried, F.lit(-1))), lambda x: x >= 0)).select("doc_id", "text", F.posexplode("at").alias("carried", "range"))
     dealt = dealt.select("range", F.col("carried") == 1, "doc_id", "text", F.xxhash64("text").alias("tie")).toDF("range", "carried", "doc_id", "text", "tie")
     dealt = dealt.repartition(max(1, ranges // 4), "range").sortWithinPartitions("range", "carried", "doc_id", "tie").drop("tie")
-    schema = f"doc_id {kind}, {FIELDS}"
-    arrow = pa.schema([("doc_id", {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]), *[(n, {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[t]) for n, t in (f.split() for f in FIELDS.split(", "))]])
-    return dealt.mapInArrow(_run(arrow), schema)
+    fields = FIELDS + ", gone array<long>, came array<long>" * with_digests
+    types = {"long": pa.int64(), "string": pa.string(), "double": pa.float64(), "array<long>": pa.list_(pa.int64())}
+    arrow = pa.schema([("doc_id", to_arrow_type(kind)), *[(n, types[t]) for n, t in (f.split() for f in fields.split(", "))]])
+    return dealt.mapInArrow(_run(arrow), f"doc_id {kind.simpleString()}, {fields}")
 
 
 def op3(docs: DataFrame) -> DataFrame:

@@ -92,6 +92,22 @@ def test_fingerprint_edges(spark, odd):
     assert one["near_next"] == 1.0
 
 
+def test_recovered_digests_and_other_ids(spark, docs):
+    """Peeling gives back the paragraphs in which versions differ; ids may be strings."""
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.limit(120).collect())
+    table = spark.createDataFrame([(f"{i:09d}", t) for i, t in rows], "doc_id string, text string").repartition(5)
+    got = {r["doc_id"]: r for r in fingerprint.fingerprints(table, with_digests=True).collect()}
+
+    def digests(parts):
+        return {int(x) for p in parts for x in fingerprint.paragraph_sets([p])[0].view(np.int64)}
+
+    for k, (i, text) in enumerate(rows):
+        cut = len(text) // 4
+        a, b = parts_of(text), parts_of(text[: len(text) - cut] + rows[(k + 1) % len(rows)][1][:cut])
+        r = got[f"{i:09d}"]
+        assert set(r["gone"]) == digests(a - b) and set(r["came"]) == digests(b - a) and len(r["gone"]) == len(a - b)
+
+
 def test_peeling_recovers_differences():
     rng = np.random.default_rng(3)
     a = np.unique(rng.integers(0, 2**63, 3000).astype(np.uint64))
