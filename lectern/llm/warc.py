@@ -12,7 +12,8 @@ Payloads that a magic cuts in pieces are read again and put together.
 Defined results: null html is an empty payload; a null id or address leaves its
 header out and reads back as null; rows that repeat an id each get a record, and
 if it is the greatest of its group each is a response; a broken chain keeps what
-it reached; an empty table gives no rows; other columns are ignored.
+it reached; an empty table gives no rows; other columns are ignored; a payload is
+one record however long it is.
 """
 
 from __future__ import annotations
@@ -41,36 +42,58 @@ _LENGTH = re.compile(rb"\r\nContent-Length: (\d{1,18})(?=\r\n)", re.I)
 _FIELDS = {name: re.compile(rb"\r\n" + name.encode() + rb": ([^\r\n]*)") for name in ("WARC-Page-ID", "WARC-Refers-To-Page", "WARC-Payload-Digest")}
 
 
-def record(page_id: Column, url: Column, payload: Column, digest: Column, refers_to: Column) -> Column:
-    """A record as a string, without its end mark."""
-    one_line = F.replace(F.replace(url, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+def one_line(url: Column) -> Column:
+    return F.replace(F.replace(url, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+
+
+def urn(name: Column) -> Column:
+    uuid = F.concat_ws("-", *[F.substr(name, F.lit(a), F.lit(n)) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    return F.concat(F.lit("<urn:uuid:"), uuid, F.lit(">"))
+
+
+def file_header(row: Column) -> Column:
+    """The record that opens a file and says what wrote it."""
+    about = "software: lectern\r\nformat: WARC File Format 1.1\r\n"
+    return F.concat(
+        F.lit(f"{MAGIC}WARC-Type: warcinfo\r\nWARC-Record-ID: "), urn(F.md5(F.concat_ws("|", F.lit("warcinfo"), row.cast("string")))),
+        F.lit(f"\r\nWARC-Date: {DATE}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(about)}\r\n\r\n{about}"))
+
+
+def record(row: Column, page_id: Column, url: Column, payload: Column, digest: Column, refers_to: Column, refers_url: Column) -> Column:
+    """A record as a string, without its end mark. row: a number of its own, for its id."""
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(payload).cast("string"), F.lit("\r\n\r\n"))
     block = F.when(refers_to.isNull(), F.concat(http, payload)).otherwise(http)
-    name = F.md5(F.concat_ws("|", page_id.cast("string"), digest))
-    uuid = F.concat_ws("-", *[F.substr(name, F.lit(a), F.lit(n)) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    name = F.md5(F.concat_ws("|", page_id.cast("string"), digest, row.cast("string")))
 
     def field(title: str, value: Column) -> Column:
         return F.coalesce(F.concat(F.lit(f"{title}: "), value, F.lit("\r\n")), F.lit(""))
 
     return F.concat(
-        F.lit(MAGIC), field("WARC-Type", F.when(refers_to.isNull(), "response").otherwise("revisit")), field("WARC-Record-ID", F.concat(F.lit("<urn:uuid:"), uuid, F.lit(">"))),
-        field("WARC-Date", F.lit(DATE)), field("WARC-Target-URI", one_line), field("WARC-Page-ID", page_id.cast("string")), field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), digest)),
-        field("WARC-Profile", F.when(refers_to.isNotNull(), PROFILE)), field("WARC-Refers-To-Page", refers_to.cast("string")),
+        F.lit(MAGIC), field("WARC-Type", F.when(refers_to.isNull(), "response").otherwise("revisit")), field("WARC-Record-ID", urn(name)),
+        field("WARC-Date", F.lit(DATE)), field("WARC-Target-URI", one_line(url)), field("WARC-Page-ID", page_id.cast("string")), field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), digest)),
+        field("WARC-Profile", F.when(refers_to.isNotNull(), PROFILE)), field("WARC-Refers-To-Target-URI", F.when(refers_to.isNotNull(), one_line(refers_url))),
+        field("WARC-Refers-To-Date", F.when(refers_to.isNotNull(), DATE)), field("WARC-Refers-To-Page", refers_to.cast("string")),
         field("Content-Type", F.lit("application/http;msgtype=response")), field("Content-Length", F.octet_length(block).cast("string")), F.lit("\r\n"), block)
 
 
 def write_warc(pages: DataFrame, path: str) -> None:
-    """Writes (page_id, url, html) as archives; one of equal large payloads is a response, the others revisit it."""
+    """Writes (page_id, url, html) as archives; one of equal large payloads is a response, the others revisit it.
+
+    Payloads are hashed twice, once to find repeated ones and once for their record: the hashing costs less than to write
+    and read them in between."""
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", "url", payload.alias("payload"), F.sha1(payload).alias("digest"))
     large = F.octet_length(payload) >= REVISIT_BYTES
     repeated = saved(
-        pages.where(large).select("page_id", F.sha1(payload).alias("digest")).groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select("digest", "last"),
+        pages.where(large).select("page_id", "url", F.sha1(payload).alias("digest")).groupBy("digest").agg(F.max("page_id").alias("last"), F.max_by("url", "page_id").alias("last_url"), F.count("*").alias("n")).where("n > 1").select("digest", "last", "last_url"),
         "repeated")
     if repeated.count() <= BROADCAST_ROWS:
         repeated = F.broadcast(repeated)  # else a shuffle join, whose hot digests adaptive execution splits
     refers = F.when(F.col("last") > F.col("page_id"), F.col("last"))
-    rows.join(repeated, "digest", "left").select(record(F.col("page_id"), F.col("url"), F.col("payload"), F.col("digest"), refers).alias("value")).write.option("lineSep", END).text(path)
+    joined = rows.join(repeated, "digest", "left").withColumn("row", F.monotonically_increasing_id())
+    one = record(F.col("row"), F.col("page_id"), F.col("url"), F.col("payload"), F.col("digest"), refers, F.col("last_url"))
+    opens = F.col("row").bitwiseAND((1 << 33) - 1) == 0  # the first row of a task, which writes a file
+    joined.select(F.when(opens, F.concat(file_header(F.col("row")), F.lit(END), one)).otherwise(one).alias("value")).write.option("lineSep", END).text(path)
 
 
 def _parsed(piece: bytes) -> tuple[int, int] | None:
@@ -88,6 +111,8 @@ def _described(piece: bytes, head: int, whole: bool) -> dict:
     """What a record's header and, if it is whole, its payload say."""
     top = b"\r\n" + piece[:head]
     out = {k: _text(p.search(top)) for k, p in _FIELDS.items()}
+    if b"\r\nWARC-Type: warcinfo\r\n" in top:
+        return out | {"record_type": "warcinfo"}
     http = piece.find(b"\r\n\r\n", head) + 4
     inner = _LENGTH.search(piece, head, http) if http > 3 else None
     revisit = b"\r\nWARC-Type: revisit\r\n" in top
@@ -171,6 +196,7 @@ def _joined(group: pa.Table) -> pa.Table:
     return pa.Table.from_pylist([{"file": rows[0]["file"], "block": rows[0]["block"], "pos": rows[0]["pos"]} | _described(piece, head, True)], JOINED)
 
 
+PLACES = pa.schema([("file", pa.string()), ("piece_block", pa.int64()), ("piece_pos", pa.int64()), ("piece", pa.binary())])
 JOINED = pa.schema([("file", pa.string()), ("block", pa.int64()), ("pos", pa.int64()), *[f for f in SCHEMA if f.name in ("page_id", "record_type", "refers_to", "payload_bytes", "payload_digest")]])
 JOINED_DDL = "file string, block long, pos long, page_id string, record_type string, refers_to string, payload_bytes long, payload_digest string"
 
@@ -201,23 +227,45 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     marked = nodes.join(entry, ["file", "at"], "left").select(*columns, F.coalesce("entry", F.lit(False)).alias("entry"))
     records = saved(marked.groupBy("file", "block").applyInArrow(_walked, CANDIDATE.replace(", exit long", "").replace("whole boolean", "whole boolean, base long")), "records")
     told = ["page_id", "record_type", "refers_to", "payload_bytes", "payload_digest"]
-    cut = records.where("not whole").select("file", "block", "pos", "span", (F.col("base") + F.col("pos")).alias("start"))
+    records = records.where("record_type <> 'warcinfo'")
+    cut = records.where("not whole").select("file", "block", "pos", "span", (F.col("base") + F.col("pos")).alias("start"), (F.col("base") + F.col("pos") + F.col("span")).alias("stop"))
     if cut.isEmpty():
         return records.select(*told)
 
+    # The splits that a cut record reaches: its own and those up to the one that holds its last byte, found in one
+    # pass over a file's splits and record ends in order.
+    by_block = Window.partitionBy("file").orderBy("block")
+    splits = base.withColumn("number", F.row_number().over(by_block))
+    ends = splits.select("file", F.col("base").alias("place"), F.col("number").alias("last"), *[F.lit(None).cast("long").alias(c) for c in ("block", "pos", "span", "start", "stop")])
+    ends = ends.union(cut.select("file", F.col("stop") - 1, F.lit(None).cast("int"), "block", "pos", "span", "start", "stop"))
+    upto = Window.partitionBy("file").orderBy("place", F.col("last").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    ends = ends.withColumn("last", F.last("last", True).over(upto)).where("block is not null").join(splits.select("file", "block", F.col("number").alias("first")), ["file", "block"])
+    reached = ends.select("file", "block", "pos", "span", "start", "stop", F.explode(F.sequence("first", "last")).alias("number"))
+    marks = saved(reached.join(splits.select("file", F.col("block").alias("piece_block"), "base", "number"), ["file", "number"]).select(
+        "file", "piece_block", F.greatest("start", "base").alias("place"), F.struct("block", "pos", "span", "stop").alias("mark")), "marks")
+    wanted = marks.select("file", F.col("piece_block").alias("block")).distinct()
+
     def places(batches):
+        # a thousand pieces or some megabytes at a time
+        held, size = {"file": [], "piece_block": [], "piece_pos": [], "piece": []}, 0
         for key, pos, piece in _pieces(batches):
-            yield pa.RecordBatch.from_pydict({"file": [key[0]], "piece_block": [key[1]], "piece_pos": [pos], "piece": [piece]}, pa.schema([("file", pa.string()), ("piece_block", pa.int64()), ("piece_pos", pa.int64()), ("piece", pa.binary())]))
-
-    # only splits that hold a part of a cut record are read again
-    lengths = found.where("pos is null").select("file", F.col("block").alias("piece_block"), F.col("span").alias("length"))
-    splits = lengths.join(base.withColumnRenamed("block", "piece_block"), ["file", "piece_block"]).join(cut.select("file", "start", (F.col("start") + F.col("span")).alias("stop"), "block", "pos", "span"), "file")
-    splits = saved(splits.where("start < base + length and stop > base").select("file", "piece_block", "base", "start", "stop", "block", "pos", "span"), "cut")
-    again = _scan(spark, path).join(splits.select("file", F.col("piece_block").alias("block")).distinct(), ["file", "block"], "left_semi") if splits.count() > BROADCAST_ROWS else _scan(spark, path).join(
-        F.broadcast(splits.select("file", F.col("piece_block").alias("block")).distinct()), ["file", "block"], "left_semi")
-    parts = again.mapInArrow(places, "file string, piece_block long, piece_pos long, piece binary").join(splits, ["file", "piece_block"])
-    parts = parts.where("base + piece_pos >= start and base + piece_pos < stop")
-    whole = parts.groupBy("file", "block", "pos").applyInArrow(_joined, JOINED_DDL)
+            for c, x in zip(held, (*key, pos, piece), strict=True):
+                held[c].append(x)
+            size += len(piece) + 4_000
+            if size > 4_000_000:
+                yield pa.RecordBatch.from_pydict(held, PLACES)
+                held, size = {c: [] for c in held}, 0
+        yield pa.RecordBatch.from_pydict(held, PLACES)
+
+    # Only those splits are read again. Records don't overlap, so a piece belongs to the last mark before it.
+    again = _scan(spark, path).join(wanted if wanted.count() > BROADCAST_ROWS else F.broadcast(wanted), ["file", "block"], "left_semi")
+    parts = again.mapInArrow(places, "file string, piece_block long, piece_pos long, piece binary").join(base.withColumnRenamed("block", "piece_block"), ["file", "piece_block"])
+    kind = marks.schema["mark"].dataType
+    parts = parts.select("file", "piece_block", "piece_pos", (F.col("base") + F.col("piece_pos")).alias("place"), F.lit(None).cast(kind).alias("mark"), "piece")
+    parts = parts.unionByName(marks.withColumns({"piece_pos": F.lit(None).cast("long"), "piece": F.lit(None).cast("binary")}))
+    before = Window.partitionBy("file", "piece_block").orderBy("place", F.col("piece_pos").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    parts = parts.withColumn("mark", F.last("mark", True).over(before)).where("piece is not null and place < mark.stop")
+    whole = parts.select("file", "piece_block", "piece_pos", "piece", "mark.block", "mark.pos", "mark.span").groupBy("file", "block", "pos").applyInArrow(_joined, JOINED_DDL)
     return records.where("whole").select(*told).union(whole.select(*told))
 
 
