@@ -75,30 +75,47 @@ def flattened(turns: DataFrame) -> DataFrame:
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, parts) to conv_id, formatted, loss_spans, attachments and expanded_tokens."""
+    """(conv_id, turn, role, parts) to conv_id, formatted, loss_spans, turn_spans, attachments and expanded_tokens.
+
+    turn_spans: the same loss mask turn by turn, spans counted from the turn's beginning."""
     flat = flattened(turns).withColumn("size", F.char_length("formatted"))
     order = ["turn", "role", "content"]
     # Places come from a running sum in the order of the turns, so that the
     # work stays linear in the length of a conversation.
     before = Window.partitionBy("conv_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = flat.withColumns({"start": F.sum("size").over(before) - F.col("size") + F.char_length("head"), "place": F.row_number().over(before)})
+    placed = flat.withColumns({"head_size": F.char_length("head"), "start": F.sum("size").over(before) - F.col("size") + F.char_length("head"), "place": F.row_number().over(before)})
     lengths = F.aggregate(
         "flat", F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:string,ref:string,tokens:bigint,at:int,size:int>>").alias("seen")),
         lambda acc, p: F.struct((acc["at"] + F.char_length(p["out"])).alias("at"), F.concat(acc["seen"], F.array(F.struct(p["kind"].alias("kind"), p["ref"].alias("ref"), p["tokens"].alias("tokens"), acc["at"].alias("at"), F.char_length(p["out"]).alias("size")))).alias("seen")),
         lambda acc: acc["seen"])
     placed = placed.withColumn("seen", lengths)
-    spans = F.when(F.col("role") == "assistant", F.transform(F.filter("seen", lambda p: p["kind"] == "text"), lambda p: F.struct((F.col("start") + p["at"]).cast("long").alias("start"), p["size"].cast("long").alias("length")))).otherwise(F.array().cast("array<struct<start:bigint,length:bigint>>"))
+    masked = F.when(F.col("role") == "assistant", F.filter("seen", lambda p: p["kind"] == "text")).otherwise(F.filter("seen", lambda p: F.lit(False)))
+
+    def spans(first: Column) -> Column:
+        return F.transform(masked, lambda p: F.struct((first + p["at"]).cast("long").alias("start"), p["size"].cast("long").alias("length")))
+
     attached = F.transform(F.filter("seen", lambda p: p["kind"] != "text"), lambda p: F.struct(p["kind"].alias("kind"), p["ref"].alias("ref"), p["tokens"].alias("tokens"), (F.col("start") + p["at"]).cast("long").alias("start")))
-    whole = placed.select("conv_id", F.struct("place", "formatted", spans.alias("spans"), attached.alias("attached")).alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
+    whole = placed.select("conv_id", F.struct("place", "formatted", spans(F.col("start")).alias("spans"), spans(F.col("head_size")).alias("own"), attached.alias("attached")).alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
     return whole.select(
-        "conv_id", F.array_join("ts.formatted", "").alias("formatted"), F.flatten("ts.spans").alias("loss_spans"), F.flatten("ts.attached").alias("attachments"),
+        "conv_id", F.array_join("ts.formatted", "").alias("formatted"), F.flatten("ts.spans").alias("loss_spans"), F.col("ts.own").alias("turn_spans"), F.flatten("ts.attached").alias("attachments"),
         F.aggregate(F.flatten("ts.attached"), F.lit(0).cast("long"), lambda n, p: n + p["tokens"]).alias("expanded_tokens"))
 
 
+def turns_of(formatted: Column) -> Column:
+    """The formatted turns without their end marks; a text can't hold a mark, so each ends a turn."""
+    pieces = F.split(formatted, r"<\|end\|>")
+    return F.slice(pieces, 1, F.size(pieces) - 1)
+
+
+def masked_text(formatted: Column, turn_spans: Column) -> Column:
+    """What stands under the loss mask, as it was before it was formatted. Each span is cut out of its own turn."""
+    cut = F.zip_with(turns_of(formatted), turn_spans, lambda turn, spans: F.transform(spans, lambda s: unescaped(F.substr(turn, (s["start"] + 1).cast("int"), s["length"].cast("int")))))
+    return F.array_join(F.flatten(cut), "")
+
+
 def parsed_turns(formatted: Column) -> Column:
     """The (role, text) structs that the formatted text was made of."""
-    pieces = F.split(formatted, r"<\|end\|>")
-    return F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda p: F.struct(
+    return F.transform(turns_of(formatted), lambda p: F.struct(
         unescaped(F.substring_index(F.substr(p, F.lit(len(TURN) + 1)), TEXT, 1)).alias("role"), unescaped(F.substr(p, F.locate(TEXT, p) + len(TEXT))).alias("text")))
 
 
@@ -109,7 +126,7 @@ def op6(conversations: DataFrame) -> DataFrame:
     out = format_conversations(turns.unionByName(probe).select("conv_id", "turn", "role", text_part(F.col("text")).alias("parts")))
     read = out.withColumns({
         "turns": parsed_turns(F.col("formatted")),
-        "loss": F.array_join(F.transform("loss_spans", lambda s: unescaped(F.substr(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int")))), ""),
+        "loss": masked_text(F.col("formatted"), F.col("turn_spans")),
     })
     joined = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
