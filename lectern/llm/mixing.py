@@ -41,26 +41,30 @@ def _queue_key(docs: DataFrame, digits: int) -> DataFrame:
 def source_targets(sizes: DataFrame, weights=WEIGHTS, max_repeats=MAX_REPEATS) -> DataFrame:
     """(source, _mix_source_size) to rank, weight and target of each source.
 
-    One row per source, aggregated before: only source totals meet in the one
-    task that ranks them by code point and levels the targets.
+    Sources are ranked by code point in ranges, so that any number of them will
+    do. Targets are levelled by rounds of sums: what sources that reach their
+    cap can't use raises the level of the others, until no more reach it.
     """
-    everywhere = Window.partitionBy()
-    ranked = sizes.withColumns({
-        "_mix_sid": F.row_number().over(everywhere.orderBy(F.col("source").asc_nulls_last())) - 1,
-        "_mix_cap": F.col("_mix_source_size") * max_repeats,
-    }).withColumn("_mix_weight", F.element_at(F.array(*[F.lit(w) for w in weights]), F.col("_mix_sid") % len(weights) + 1))
-    by_ratio = everywhere.orderBy(F.col("_mix_cap") / F.col("_mix_weight"), "_mix_sid")
-    levels = ranked.withColumns({
-        "_mix_n": F.row_number().over(by_ratio),
-        "_mix_level": (F.sum("_mix_source_size").over(everywhere) - F.sum("_mix_cap").over(by_ratio.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_mix_cap"))
-        / F.sum("_mix_weight").over(by_ratio.rowsBetween(0, Window.unboundedFollowing)),
-    })
-    fits = F.col("_mix_level") <= F.col("_mix_cap") / F.col("_mix_weight")
-    level = F.min_by("_mix_level", F.when(fits, F.col("_mix_n"))).over(everywhere)
-    return levels.select(
-        "source", "_mix_sid", "_mix_weight", "_mix_source_size",
-        F.least(F.col("_mix_cap").cast("double"), F.coalesce(level * F.col("_mix_weight"), F.col("_mix_cap").cast("double"))).alias("_mix_target"),
-    )
+    spark = sizes.sparkSession
+    order = F.col("source").asc_nulls_last()
+    ranged = saved(sizes.repartitionByRange(shuffle_partitions(spark), order).withColumn("_mix_part", F.spark_partition_id()), "mix-sources")
+    before = Window.partitionBy().orderBy("_mix_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    offsets = ranged.groupBy("_mix_part").agg(F.count("*").alias("n")).select("_mix_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_mix_first"))
+    rank = F.row_number().over(Window.partitionBy("_mix_part").orderBy(order)) - 1
+    ranked = ranged.withColumn("_mix_rank", rank).join(F.broadcast(offsets), "_mix_part").withColumn("_mix_sid", (F.col("_mix_rank") + F.col("_mix_first")).cast("long"))
+    ranked = saved(ranked.select(
+        "source", "_mix_sid", F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("_mix_sid") % len(weights) + 1).cast("int")).alias("_mix_weight"),
+        "_mix_source_size", (F.col("_mix_source_size") * max_repeats).alias("_mix_cap")), "mix-ranked")
+    ratio = F.col("_mix_cap") / F.col("_mix_weight")
+    total, level, capped = ranked.agg(F.sum("_mix_source_size")).first()[0], 0.0, -1
+    while True:
+        full = ratio < level
+        n, caps, shares = ranked.agg(F.count_if(full), F.coalesce(F.sum(F.when(full, F.col("_mix_cap"))), F.lit(0)), F.sum(F.when(~full, F.col("_mix_weight")))).first()
+        if n == capped or not shares:
+            break
+        level, capped = (total - caps) / shares, n
+    cap = F.col("_mix_cap").cast("double")
+    return ranked.select("source", "_mix_sid", "_mix_weight", "_mix_source_size", F.least(cap, F.lit(float(level)) * F.col("_mix_weight")).alias("_mix_target"))
 
 
 def mix_sources(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, keep: list[str] | None = None) -> DataFrame:
@@ -72,8 +76,11 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS
     # Cells are hash ranges of a queue: no task ever holds a hot source. Their
     # count follows the rows; the order of the queue doesn't depend on it.
     digits = min(4, max(0, int(math.log(max(docs.count() / 64, 1), 16))))
+    queue = _queue_key(docs, digits).select(*columns, *[c for c in ("source",) if c not in columns], "_mix_key", "_mix_cell", "_mix_order", "_mix_size", "_mix_tie")
+    if "text" not in columns:
+        queue = saved(queue, "mix-queue")  # texts are read once
     cells = saved(
-        _queue_key(docs.select("doc_id", "source", "text"), digits)
+        queue
         .groupBy("source", "_mix_cell").agg(F.sum("_mix_size").alias("_mix_cell_size"), F.count("*").alias("_mix_rows")),
         "mix-cells",
     )
@@ -87,7 +94,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS
         F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("_mix_key"), "_mix_cell", "_mix_before", "_mix_sid", "_mix_weight", "_mix_source_size", "_mix_target")
     within = Window.partitionBy("_mix_key", "_mix_cell").orderBy("_mix_order", "_mix_size", "_mix_tie").rowsBetween(Window.unboundedPreceding, 0)
     placed = saved(
-        _queue_key(docs, digits).select(*columns, "_mix_key", "_mix_cell", "_mix_order", "_mix_size", "_mix_tie")
+        queue.select(*columns, "_mix_key", "_mix_cell", "_mix_order", "_mix_size", "_mix_tie")
         .withColumn("_mix_upto", F.sum("_mix_size").over(within))
         .join(offsets, ["_mix_key", "_mix_cell"])
         .withColumn("_mix_upto", F.col("_mix_upto") + F.col("_mix_before"))
@@ -117,7 +124,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS
         first_out = over.where(F.col("upto") > known["budget"]).orderBy(*key).select(*key).first()
     taken = F.lit(0)
     for turn in range(max_repeats):
-        fits = F.lit(True) if first_out is None else F.struct(finish(F.lit(turn)), F.col("_mix_sid"), F.lit(turn)) < F.struct(*[F.lit(first_out[k]) for k in key])
+        fits = F.lit(True) if first_out is None else F.struct(finish(F.lit(turn)), F.col("_mix_sid"), F.lit(turn)) < F.struct(F.lit(first_out["finish"]), F.lit(first_out["_mix_sid"]).cast("long"), F.lit(first_out["turn"]))
         taken = taken + F.when(fits & (F.col("_mix_size") > 0), 1).otherwise(0)
     return placed.select(*columns, "_mix_size", "_mix_source_size", "_mix_target", taken.alias("_mix_copies"))
 
