@@ -36,10 +36,8 @@ from .common import saved, ship
 #: Signature of 96 values from 48 permutations in 24 bands of 4: a pair at similarity 0.8 is missed with 3 in a million.
 PERMUTATIONS, BAND = 48, 4
 SHINGLE, PERCENT = 4, 80
-#: Most hubs of each bucket that are tested before the rest meets in blocks of so many members and, about, so many shingles.
-HUB_ROUNDS, BLOCK, BLOCK_SHINGLES = 6, 512, 4_000_000
-#: After so many hubs the blocks begin, once they send out no more copies of sets than so many times the classes.
-LEAST_ROUNDS, COPIES = 2, 1
+#: Hubs of each bucket that are tested before the rest meets in blocks of so many members and, about, so many shingles.
+HUB_ROUNDS, BLOCK, BLOCK_SHINGLES = 2, 512, 4_000_000
 #: Ids of candidates are broadcast up to this count (16 MB).
 BROADCAST_IDS = 1_000_000
 
@@ -206,7 +204,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     classes = saved(scan.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("cid"), F.min_by("bands", "doc_id").alias("bands")), "classes")
     members = saved(scan.select("doc_id", "n", "h1", "h2").join(classes.drop("bands"), ["n", "h1", "h2"], "left").select("doc_id", "n", F.coalesce("cid", "doc_id").alias("cid")), "members")
     # an id with several texts stands for all their classes
-    heads = saved(classes.where("cid is not null").groupBy("cid").agg(F.min("n").alias("n"), F.count("*").alias("texts"), F.array_distinct(F.flatten(F.collect_list("bands"))).alias("bands")), "heads")
+    heads = saved(classes.where("cid is not null").groupBy("cid").agg(F.min("n").alias("n"), F.array_distinct(F.flatten(F.collect_list("bands"))).alias("bands")), "heads")
     each = heads.select("cid", "n", F.explode("bands").alias("key"))
     shared = saved(each.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "shared")
     bucketed = saved(each.join(shared, "key"), "buckets")
@@ -248,8 +246,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         apart = rows.groupBy("key").agg(F.count("*").alias("c"), F.sum("n").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
         apart = saved(apart.select("key", F.ceil(F.greatest(F.col("c") / block, F.col("size") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "apart")
         rows = rows.join(apart.select("key"), "key", "left_semi")
-        copies = rows.join(apart, "key").agg(F.coalesce(F.sum("blocks"), F.lit(0))).first()[0]
-        if not copies or turn >= LEAST_ROUNDS and copies <= COPIES * heads.count():
+        if turn == hub_rounds or apart.isEmpty():
             break
         ends = rows.select("key", "cid", "root").join(best.select("key", F.col("hub").alias("cid")), ["key", "cid"])
         last = saved(ends.select("key", F.col("root").alias("last_root")), "last")
