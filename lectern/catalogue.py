@@ -42,13 +42,13 @@ class Catalogue:
         if not q.strip():
             raise ValueError("an empty query")
         limit = search.clamp(limit)
-        books = self.books().where(search.in_list(F.col("extension"), ext) & search.in_list(F.col("language"), lang)).withColumn("doc_id", F.col("md5"))
+        books, wanted = self.books().withColumn("doc_id", F.col("md5")), search.in_list(F.col("extension"), ext) & search.in_list(F.col("language"), lang)
         if q.strip() == "*":
-            found = search.match_all(books, max(limit, RERANK))
+            found = search.match_all(books.where(wanted), max(limit, RERANK))
         else:
             queries = self.spark.range(1).select(F.lit(0).alias("query_id"), F.lit(q).alias("query"))
             fields = {"title": F.col("title"), "author": F.col("author"), "series": F.col("series"), "publisher": F.col("publisher"), "isbn": F.array_join("isbn", " ")}
-            found = search.cascade(books, queries, fields, search.BOOSTS, FUZZY_FIELDS, limit=max(limit, RERANK)).drop("query_id", "position")
+            found = search.cascade(books, queries, fields, search.BOOSTS, FUZZY_FIELDS, wanted, max(limit, RERANK)).drop("query_id", "position")
         hits = books.join(F.broadcast(found), "doc_id").withColumns({"bm25": F.col("score"), "query_id": F.lit(0)}).drop("score")  # at most 100 rows
         hits = search.dedupe_first(hits, "md5", [F.desc("bm25")])
         if answers is not None:
@@ -85,7 +85,12 @@ class Catalogue:
         typed = {n: df.select(*[F.col(c).try_cast("long").alias(c) if c in _NUMBERS else F.col(c) for c in df.columns]) for n, df in tables.items()}
         descriptors = typed["editions_add_descr"].withColumnRenamed("e_add_id", "seq")
         keys = {"editions": "e_id", "files": "f_id"}
-        last = {n: stage.last_by_key(typed[n].withColumn("_at", F.monotonically_increasing_id()), [k], ["_at"]).drop("_at") for n, k in keys.items()}
+        # rows of a dump know their place in it; of other tables' rows the order is Spark's own
+        place = list(sqldump.PLACE)
+        typed = {n: df if "_file" in df.columns else df.select("*", F.lit("").alias("_file"), F.lit(0).alias("_block"), F.monotonically_increasing_id().alias("_line"), F.lit(0).alias("_row")) for n, df in typed.items()}
+        last = {n: stage.last_by_key(typed[n], [k], place).drop(*place) for n, k in keys.items()}
+        descriptors = descriptors.drop(*place)
+        typed["editions_to_files"] = typed["editions_to_files"].drop(*place)
         new = stage.books(last["editions"], descriptors, typed["editions_to_files"], last["files"], source, self.topics, self.extensions, language_key, isbn_key)
         old = self.store.read()
         self.store.publish(new if old is None else maintain.replace_source(old, new, source))
@@ -99,7 +104,8 @@ class Catalogue:
     def import_dump(self, path: str, source: str, prefix: str = "") -> dict:
         """Imports a text dump that holds the tables. prefix: what its columns *topic and, for main_id, *id begin with."""
         own = {"topic": f"{prefix}topic", "main_id": f"{prefix}id"} if prefix else {}
-        tables = {n: sqldump.read_dump(self.spark, path, n, [own.get(c, c) for c in columns]).toDF(*columns) for n, columns in COLUMNS.items() if n != "elem_descr"}
+        defined = sqldump.definitions(self.spark, path)
+        tables = {n: sqldump.read_dump(self.spark, path, n, [own.get(c, c) for c in columns], defined=defined, with_place=True).toDF(*columns, *sqldump.PLACE) for n, columns in COLUMNS.items() if n != "elem_descr"}
         return self.import_tables(tables, source)
 
     def changed_books(self, file_pages: DataFrame, edition_pages: DataFrame, sources: dict[str, str], prefix: str = "") -> tuple[DataFrame, DataFrame]:

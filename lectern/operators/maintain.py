@@ -29,8 +29,11 @@ def apply_changes(books: DataFrame, removals: DataFrame, upserts: DataFrame, key
 class Store:
     """Versions of a table in a folder of any file system that Spark reaches.
 
-    A version is written beside the others and becomes current by one rename of
-    a small pointer file, so readers see the old or the new one, whole.
+    A version is written beside the others and becomes current when a small
+    pointer file with a greater number than the last takes its name, by one
+    rename; nothing that readers may look at is ever taken away before. They see
+    the old or the new version, whole. The version before the current one stays
+    for those who still read it; older ones are removed.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -44,18 +47,26 @@ class Store:
     def _fs(self):
         return self._path("x").getFileSystem(self._conf)
 
+    def _pointers(self, name: str) -> list[str]:
+        """File names of a state, the newest last."""
+        found = self._fs().globStatus(self._path(f"{name}.[0-9]*.json")) or []
+        return sorted(s.getPath().getName() for s in found)
+
     def load_state(self, name: str = "state") -> dict:
-        if not self._fs().exists(self._path(f"{name}.json")):
-            return {}
-        return json.loads(self.spark.read.text(f"{self.folder}/{name}.json", wholetext=True).first()[0])
+        found = self._pointers(name)
+        return json.loads(self.spark.read.text(f"{self.folder}/{found[-1]}", wholetext=True).first()[0]) if found else {}
 
     def save_state(self, state: dict, name: str = "state") -> None:
         fs, aside = self._fs(), self._path(f".{name}-{time.time_ns()}")
         out = fs.create(aside, True)
         out.write(bytearray(json.dumps(state).encode()))
         out.close()
-        fs.delete(self._path(f"{name}.json"), False)
-        fs.rename(aside, self._path(f"{name}.json"))
+        before = self._pointers(name)
+        number = max(time.time_ns(), int(before[-1].split(".")[-2]) + 1) if before else time.time_ns()
+        if not fs.rename(aside, self._path(f"{name}.{number:020d}.json")):
+            raise OSError(f"{name} could not be saved in {self.folder}")
+        for old in before[:-1]:
+            fs.delete(self._path(old), False)
 
     def publish(self, books: DataFrame, least_rows: int | None = None) -> str:
         """Writes a version; if it has not the rows that it should, the current one stays."""
@@ -65,7 +76,11 @@ class Store:
         if least_rows is not None and rows < least_rows:
             self._fs().delete(self._path(version), True)
             raise ValueError(f"{rows} rows written, {least_rows} expected; the current version stays")
+        last = self.load_state("current").get("version")
         self.save_state({"version": version, "rows": rows}, "current")
+        for status in self._fs().globStatus(self._path("v-*")) or []:
+            if status.getPath().getName() not in (version, last):
+                self._fs().delete(status.getPath(), True)
         return version
 
     def read(self) -> DataFrame | None:

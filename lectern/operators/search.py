@@ -100,8 +100,7 @@ def bm25(docs: DataFrame, queries: DataFrame, fields: dict[str, Column], every_t
 def cascade(docs: DataFrame, queries: DataFrame, fields: dict[str, Column], boosts: dict[str, float] | None = None, fuzzy_fields: tuple[str, ...] | None = None, where: Column | None = None, limit: int | None = None) -> DataFrame:
     """query_id, doc_id, score, attempt (1 all terms, 2 all with typos, 3 any), position.
 
-    where: a condition on ``docs``; documents that fail it are no results of any attempt."""
-    docs = docs.where(where) if where is not None else docs
+    where: a condition on ``docs``; documents that fail it are no results of any attempt, but count in the statistics."""
     terms = query_terms(queries)
     # A vocabulary row per distinct token; only pairs one edit apart leave the join.
     vocabulary = postings(docs, {k: v for k, v in fields.items() if fuzzy_fields is None or k in fuzzy_fields}).select("token").distinct()
@@ -112,6 +111,8 @@ def cascade(docs: DataFrame, queries: DataFrame, fields: dict[str, Column], boos
     allowed = F.lit(True) if fuzzy_fields is None else F.col("field").isin(*fuzzy_fields)
     exact = F.col("term") == F.col("token")
     hits = weight.join(wanted, "token").where(exact | allowed).groupBy("doc_id", "term").agg(F.sum(F.when(exact, F.col("weight"))).alias("weight"))
+    if where is not None:
+        hits = hits.join(docs.where(where).select("doc_id").distinct(), "doc_id", "left_semi")
     found = hits.join(terms, "term").groupBy("query_id", "doc_id", "n_terms").agg(
         F.count("weight").alias("exact"), F.count("*").alias("any"), F.sum("weight").alias("exact_score"), F.sum(F.coalesce("weight", F.lit(FUZZY_SCORE))).alias("any_score"))
     attempt = F.when(F.col("exact") == F.col("n_terms"), 1).when(F.col("any") == F.col("n_terms"), 2).when(F.col("exact") > 0, 3)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -14,5 +18,22 @@ def session(master: str | None = None, shuffle_partitions: int | None = None) ->
     return b.getOrCreate()
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python once per application."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    top = Path(__file__).resolve().parents[1]
+    path = Path(tempfile.mkdtemp(prefix="spark-")) / "lectern_sources.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted((top / "lectern").rglob("*.py")):
+            z.write(f, f.relative_to(top))
+    spark.sparkContext.addPyFile(str(path))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.scratch import scratch_path
+from lectern.session import ship
 
 INTEGERS, ENUM, SET, CHAR = (1, 2, 3, 8, 9, 244), 247, 248, 254
 TEXTS = (15, 249, 250, 251, 252, 253, 254)
@@ -153,6 +154,7 @@ def blocks_of(data: bytes):
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     """file, at, first, record_size, payload, next: a row per block in use."""
+    ship(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     schema = pa.schema([("file", pa.string()), ("at", pa.int64()), ("first", pa.bool_()), ("record_size", pa.int64()), ("payload", pa.binary()), ("next", pa.int64())])
 

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.session import ship
+
 #: Escapes with a meaning of their own; any other character stands for itself.
 ESCAPES = {"0": "\0", "n": "\n", "r": "\r", "t": "\t", "b": "\b", "Z": "\x1a"}
 _ESCAPE = re.compile(r"\\(.)|''", re.S)
@@ -28,9 +30,16 @@ def dump_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("lineSep", "\n").text(path)
 
 
-def dump_columns(lines: DataFrame, table: str) -> list[str]:
-    """Column names of a table in order, from its CREATE TABLE statement."""
-    ddl = lines.where(F.col("value").rlike(r"^(CREATE TABLE |\s+`)")).select("value", F.monotonically_increasing_id().alias("at")).orderBy("at").collect()  # a dump's few definitions
+def placed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value and its place in the dump: file, where its split begins, and a number that grows within a split.
+
+    Spark deals the splits of a dump out by size, so that the number alone doesn't follow the dump."""
+    return dump_lines(spark, path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+
+
+def definitions(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Column names in order of every table that the dump defines, in one pass."""
+    ddl = placed_lines(spark, path).where(F.col("value").rlike(r"^(CREATE TABLE |\s+`)")).orderBy("file", "block", "line").collect()  # a dump's few definitions
     found: dict[str, list[str]] = {}
     current = None
     for r in ddl:
@@ -38,9 +47,7 @@ def dump_columns(lines: DataFrame, table: str) -> list[str]:
             current = found.setdefault(m[1], [])
         elif (m := re.match(r"\s+`([^`]+)`", r["value"])) and current is not None:
             current.append(m[1])
-    if table not in found:
-        raise DumpError(f"no CREATE TABLE for {table}")
-    return found[table]
+    return found
 
 
 def tuples(line: str, width: int):
@@ -69,26 +76,37 @@ def tuples(line: str, width: int):
         yield row
 
 
-def read_dump(spark: SparkSession, path: str, table: str, columns: list[str] | None = None, limit: int | None = None) -> DataFrame:
-    """The rows of a table as strings; ``columns`` chooses and orders them."""
-    lines = dump_lines(spark, path)
-    names = dump_columns(lines, table)
+#: Columns of a row's place in a dump, in the order that they sort by.
+PLACE = ("_file", "_block", "_line", "_row")
+
+
+def read_dump(spark: SparkSession, path: str, table: str, columns: list[str] | None = None, limit: int | None = None, defined: dict[str, list[str]] | None = None, with_place: bool = False) -> DataFrame:
+    """The rows of a table as strings; ``columns`` chooses and orders them.
+
+    defined: the dump's definitions, if they are known; with_place: adds each row's place in the dump (``PLACE``)."""
+    ship(spark)
+    defined = defined if defined is not None else definitions(spark, path)
+    if table not in defined:
+        raise DumpError(f"no CREATE TABLE for {table}")
+    names = defined[table]
     missing = set(columns or []) - set(names)
     if missing:
         raise DumpError(f"{table} has no column {', '.join(sorted(missing))}")
     chosen = [names.index(c) for c in columns or names]
     head = re.compile(rf"^INSERT INTO `{re.escape(table)}`")
-    schema = pa.schema([(names[i], pa.string()) for i in chosen])
+    place = [(c, pa.string() if c == "_file" else pa.int64()) for c in PLACE] if with_place else []
+    schema = pa.schema([*[(names[i], pa.string()) for i in chosen], *place])
 
     def run(batches):
         for batch in batches:
-            for line in batch.column("value").to_pylist():
+            for k, line in enumerate(batch.column("value").to_pylist()):
                 if head.match(line):
                     rows = list(tuples(line, len(names)))
-                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in chosen], schema=schema)
+                    at = [pa.array([batch.column(c)[k].as_py()] * len(rows), t) for c, (_, t) in zip(("file", "block", "line"), place, strict=False)]
+                    yield pa.RecordBatch.from_arrays([*[pa.array([r[i] for r in rows], pa.string()) for i in chosen], *at, *[pa.array(range(len(rows)), t) for _, t in place[3:]]], schema=schema)
 
-    wanted = lines.where(F.col("value").startswith(f"INSERT INTO `{table}`"))
-    out = wanted.mapInArrow(run, ", ".join(f"`{names[i]}` string" for i in chosen))
+    wanted = placed_lines(spark, path).where(F.col("value").startswith(f"INSERT INTO `{table}`"))
+    out = wanted.mapInArrow(run, ", ".join([f"`{names[i]}` string" for i in chosen] + [f"{c} {'string' if c == '_file' else 'long'}" for c, _ in place]))
     return out.limit(limit) if limit is not None else out
 
 

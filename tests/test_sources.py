@@ -146,3 +146,32 @@ def test_api_pages(spark):
     r = rows.select("id", api_pages.text(F.col("record"), "md5").alias("md5"), api_pages.number(F.col("record"), "filesize").alias("size"), api_pages.number(F.col("record"), "pages").alias("pages"),
                     api_pages.related_ids(F.col("record"), "editions", "e_id").alias("ids"), api_pages.descriptors(F.col("record"), 101).alias("lang"), api_pages.descriptors(F.col("record"), 505).alias("isbn")).collect()
     assert [tuple(x) for x in r] == [("5", "AB", 12, 0, [9, 10], ["English"], ["1-2"])]
+
+
+def test_later_rows_of_a_dump_win(spark, tmp_path):
+    """Rows are replaced in the order of the dump, however large its files are."""
+    from lectern.operators import stage
+    from lectern.sources import sqldump
+
+    head = "CREATE TABLE `t` (\n  `id` int,\n  `x` text,\n);\n"
+    (tmp_path / "1.sql").write_text(head + "INSERT INTO `t` VALUES (1,'old'),(2,'first'),(2,'second');\n")
+    padding = "".join(f"INSERT INTO `t` VALUES ({k},'{'y' * 900}');\n" for k in range(100, 3000))
+    (tmp_path / "2.sql").write_text(padding + "INSERT INTO `t` VALUES (1,'new');\n")
+    rows = sqldump.read_dump(spark, f"{tmp_path}/*.sql", "t", with_place=True)
+    last = {r["id"]: r["x"] for r in stage.last_by_key(rows, ["id"], list(sqldump.PLACE)).where("id in ('1', '2')").collect()}
+    assert last == {"1": "new", "2": "second"}
+    assert set(sqldump.definitions(spark, f"{tmp_path}/*.sql")) == {"t"}
+
+
+def test_state_stays_when_a_save_breaks_off(spark, tmp_path):
+    """The last state is there until the next has its name; old versions go, the one before the current stays."""
+    from lectern.operators.maintain import Store
+
+    store = Store(spark, f"file://{tmp_path}/s")
+    for k in range(3):
+        store.publish(spark.range(k + 1))
+        store.save_state({"k": k})
+    assert store.load_state() == {"k": 2} and store.read().count() == 3
+    assert len(list((tmp_path / "s").glob("v-*"))) == 2
+    (tmp_path / "s" / ".state-1").write_text("{")  # a save that ended before its rename
+    assert store.load_state() == {"k": 2}
