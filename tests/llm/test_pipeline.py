@@ -42,3 +42,27 @@ def test_stages(spark, sf_dir, tmp_path):
 def test_run(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.count() > 0 and "sequence_id" in out.columns
+
+
+def test_odd_rows(spark, sf_dir, tmp_path):
+    """Nulls, repeats, long texts, clashing columns and empty tables through each stage."""
+    good = " ".join(f"{a}{b}" for a in ("stone", "river", "light", "house", "green") for b in range(14))
+    rows = [(1, good, "en", "s", 1), (1, good, "en", "s", 1), (2, None, None, None, None), (None, good + " more", "en", None, 2), (3, "", "", "", 0), (4, "z " * 40_000, "en", "s", 3), (5, good + " end", None, "s", 4)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    from pyspark.sql import functions as F
+
+    odd = odd.withColumns({"kept": F.lit("clash"), "key": F.lit(1), "part": F.lit(2), "size": F.lit(3), "length": F.lit(4), "root": F.lit(5)})
+    out = {}
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, odd, sf_dir)
+        out[name] = got.collect()
+        if name != "best-fit packing":
+            assert got.columns == odd.columns
+        assert stage(spark, odd.limit(0), sf_dir).collect() == []
+    ids = {name: Counter(r["doc_id"] for r in out[name]) for name in out}
+    assert ids["toxicity"] == Counter([1, 1, 2, None, 3, 4, 5])
+    assert not {2, 3, 4} & set(ids["quality rules"])
+    assert ids["minhash near-dedup"] == Counter([1, 2, None, 3, 4])
+    assert not {2, 3} & set(ids["mixing to target weights"]) and max(ids["mixing to target weights"].values()) <= 6
+    first = Counter(r["doc_id"] for r in out["best-fit packing"] if r["piece"] == 0)
+    assert first == ids["toxicity"] and len({(r["sequence_id"], r["offset"]) for r in out["best-fit packing"]}) == len(out["best-fit packing"])
