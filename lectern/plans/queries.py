@@ -494,6 +494,42 @@ def fixed_table_scan(spark, sf_dir):
     return binary.read_fixed(spark, path, columns, binary.Layout(False, 0, 22))
 
 
+@query("""SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderpriority END AS o_orderpriority,
+  CASE WHEN o_orderkey % 50 = 0 THEN repeat(o_orderpriority, 60) WHEN o_orderkey % 2 = 0 THEN '' ELSE o_orderpriority END AS note FROM orders""")
+def linked_table_scan(spark, sf_dir):
+    """Orders written as packed records in chains of small blocks, some of over 64, and read back."""
+    from lectern.sources import binary
+
+    def number(c, size):
+        return F.lpad(F.hex(c), size * 2, "0")
+
+    def little(c, size):
+        return F.regexp_replace(F.reverse(number(c, size)), "(.)(.)", "$2$1")
+
+    key, priority = F.col("o_orderkey"), F.col("o_orderpriority")
+    note = F.when(key % 50 == 0, F.repeat(priority, 60)).when(key % 2 == 0, "").otherwise(priority)
+    null = key % 7 == 0
+    record = F.concat(
+        F.when(note == "", "0C").otherwise("04"), F.when(null, "01").otherwise("00"), little(key, 8), little(F.col("o_custkey"), 8), number(F.length("o_orderstatus"), 1), F.hex("o_orderstatus"),
+        F.when(null, "00").otherwise(F.concat(number(F.length(priority), 1), F.hex(priority))), F.when(note == "", "").otherwise(F.concat(little(F.length(note), 2), F.hex(note))))
+    # long notes lie in blocks of 8 bytes, other records in blocks of 32; a byte is two hex digits
+    size = F.when(key % 50 == 0, 8).otherwise(32)
+    rows = table(spark, sf_dir, "orders").select(record.alias("r"), size.alias("size")).withColumn("bytes", F.expr("length(r) div 2")).withColumn("n", F.ceil(F.col("bytes") / F.col("size")).cast("int"))
+    # a pointer of ones is the block that follows; the last block is padded with the line's end
+    n, following = F.col("n"), "F" * 16
+    middle = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(
+        F.when(n == 1, F.concat(F.lit("03"), number(F.col("bytes"), 2), F.lit("01")))
+        .when(i == 1, F.concat(F.lit("05"), number(F.col("bytes"), 2), number(F.col("size"), 2), F.lit(following)))
+        .when(i < n, F.concat(F.lit("0B"), number(F.col("size"), 2), F.lit(following)))
+        .otherwise(F.concat(F.lit("09"), number(F.col("bytes") - (n - 1) * F.col("size"), 2), F.lit("01"))),
+        F.substring("r", (i - 1) * F.col("size") * 2 + 1, F.col("size") * 2)))
+    path = _folder(spark, "linked")
+    rows.select(F.unhex(F.array_join(middle, "")).cast("string").alias("value")).write.option("lineSep", "Z").text(path)
+    fields = [binary.FieldDef(*f) for f in ((0, 1), (3, 8), (3, 8), (1, 5), (8, 41, 1, 0), (4, 10))]
+    columns = [binary.ColumnDef(*c) for c in (("o_orderkey", 1, 8, 8), ("o_custkey", 9, 8, 8), ("o_orderstatus", 17, 5, 254), ("o_orderpriority", 22, 41, 15), ("note", 63, 10, 252))]
+    return binary.read_rows(spark, path, columns, binary.Layout(True, 0, 73, 1, False, fields))
+
+
 @query("""SELECT user_id, event_type, value FROM (SELECT user_id, event_type, value,
   row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1""")
 def stream_upsert(spark, sf_dir):

@@ -1,19 +1,21 @@
 """Reading legacy binary tables.
 
-Fixed-width tables are read in splits of whole records, and columns are decoded
-by expressions. Tables of linked blocks are read one file a task: each block is
-a row, and the blocks of a record are joined by doubling their pointers with
-equi-joins on the offset. Definitions and index headers are a few kilobytes,
+Fixed-width tables are read in splits of whole records, decoded a column at a
+time. Tables of linked blocks are read one file a task: each block is a row, the
+blocks of a record are joined by doubling their pointers with equi-joins on the
+offset, and the records are unpacked where they then lie. Definitions and index headers are a few kilobytes,
 parsed on the driver.
 """
 
 from __future__ import annotations
 
+import itertools
 import struct
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.scratch import scratch_path
@@ -21,6 +23,10 @@ from lectern.session import ship
 
 INTEGERS, ENUM, SET, CHAR = (1, 2, 3, 8, 9, 244), 247, 248, 254
 TEXTS = (15, 249, 250, 251, 252, 253, 254)
+#: How fields are packed.
+NORMAL, END_SPACE, PRE_SPACE, ZERO, BLOB, VARCHAR, CHECK = 0, 1, 2, 3, 4, 8, 9
+#: Fixed-width records that are decoded at once.
+RUN = 32_768
 
 
 class TableError(ValueError):
@@ -61,11 +67,29 @@ def parse_definition(data: bytes) -> list[ColumnDef]:
         raise TableError("truncated table definition") from e
 
 
+@dataclass
+class FieldDef:
+    """How a stretch of the record is packed, and the bit that marks it as null (0: none)."""
+
+    kind: int
+    length: int
+    null_bit: int = 0
+    null_pos: int = 0
+
+
 @dataclass
 class Layout:
     linked: bool
     rows: int
     width: int
+    #: Bytes of the packing bitmap, whether a checksum byte ends a record, and the stretches in order.
+    bitmap: int = 0
+    checksum: bool = False
+    fields: list[FieldDef] = field(default_factory=list)
+
+    def by_offset(self) -> dict[int, FieldDef]:
+        starts = itertools.accumulate((f.length for f in self.fields), initial=0)
+        return dict(zip(starts, self.fields, strict=False))
 
 
 def parse_index_header(data: bytes) -> Layout:
@@ -81,39 +105,100 @@ def parse_index_header(data: bytes) -> Layout:
         raise TableError("packed tables are not supported")
     if not 0 < width <= 1_000_000:
         raise TableError("implausible record width")
-    return Layout(bool(options & 1), rows, width)
-
-
-def unsigned(b: Column) -> Column:
-    """A little-endian unsigned integer of up to eight bytes."""
-    big = F.regexp_replace(F.reverse(F.hex(b)), "(.)(.)", "$2$1")
-    return F.conv(big, 16, 10).cast("decimal(20,0)").cast("long")
+    try:
+        at = base + struct.unpack_from(">H", data, 10)[0]
+        # definitions of keys and unique constraints come first, each with its segments
+        for many, size in ((data[18], 12), (data[19], 4)):
+            for _ in range(many):
+                at += size + 18 * data[at]
+        (count,), (bitmap,) = struct.unpack_from(">I", data, base + 64), struct.unpack_from(">H", data, base + 76)
+        if at + 7 * count > header:
+            raise TableError("field definitions exceed the index header")
+        fields = [FieldDef(*struct.unpack_from(">hHBH", data, at + 7 * i)) for i in range(count)]
+    except (struct.error, IndexError) as e:
+        raise TableError("truncated index header") from e
+    if sum(f.length for f in fields) != width:
+        raise TableError(f"fields of {sum(f.length for f in fields)} bytes in records of {width}")
+    return Layout(bool(options & 1), rows, width, bitmap, bool(options & 32), fields)
 
 
-def decoded(b: Column, c: ColumnDef) -> Column:
+def scalar(b: bytes, c: ColumnDef):
     """A column's bytes as the value that a text dump would show."""
-    if c.type_code in INTEGERS:
-        return unsigned(b)
+    if c.type_code in TEXTS:
+        text = b.decode("utf-8", "replace")
+        return text.rstrip(" ") if c.type_code == CHAR else text
+    if c.type_code not in (*INTEGERS, ENUM, SET):
+        raise TableError(f"values of type {c.type_code} in {c.name} are not supported")
+    n = int.from_bytes(b, "little")
+    if len(b) > 8 or n >= 2**63:
+        raise TableError(f"{c.name} holds a number of over 63 bits")
     if c.type_code == ENUM:
-        names = F.array(*[F.lit(x) for x in ["", *c.labels]])
-        return F.element_at(names, (unsigned(b) + 1).cast("int"))
+        if n > len(c.labels):
+            raise TableError(f"{c.name} has no label {n}")
+        return c.labels[n - 1] if n else ""
     if c.type_code == SET:
-        bits = unsigned(b)
-        return F.array_join(F.filter(F.array(*[F.when(F.getbit(bits, F.lit(i)) == 1, x) for i, x in enumerate(c.labels)]), lambda x: x.isNotNull()), ",")
-    if c.type_code in TEXTS:
-        text = F.decode(b, "UTF-8")
-        return F.rtrim(text) if c.type_code == CHAR else text
-    raise TableError(f"values of type {c.type_code} in {c.name} are not supported")
+        if n >> len(c.labels):
+            raise TableError(f"{c.name} has no labels for {n}")
+        return ",".join(x for i, x in enumerate(c.labels) if n >> i & 1)
+    return n
+
+
+def chosen(columns: list[ColumnDef], select: list[str] | None) -> list[ColumnDef]:
+    """The named columns in the table's order; a name that isn't there is an error."""
+    missing = set(select or ()) - {c.name for c in columns}
+    if missing:
+        raise TableError(f"no columns {sorted(missing)}")
+    return [c for c in columns if select is None or c.name in select]
+
+
+def schema_of(columns: list[ColumnDef]) -> pa.Schema:
+    return pa.schema([(c.name, pa.int64() if c.type_code in INTEGERS else pa.string()) for c in columns])
+
+
+def ddl(columns: list[ColumnDef]) -> str:
+    return ", ".join(f"`{c.name}` {'long' if c.type_code in INTEGERS else 'string'}" for c in columns)
+
+
+def _fixed_column(data: np.ndarray, c: ColumnDef, f: FieldDef | None) -> pa.Array:
+    """A column of whole records, a record a row of bytes."""
+    cells = np.ascontiguousarray(data[:, c.offset : c.offset + c.length])
+    null = (data[:, f.null_pos] & f.null_bit) != 0 if f and f.null_bit else np.zeros(len(data), bool)
+    cells[null] = 0
+    if c.type_code in TEXTS or c.length > 8:
+        return pa.array([None if gone else scalar(cell.tobytes(), c) for cell, gone in zip(cells, null, strict=True)], pa.string())
+    wide = np.zeros((len(cells), 8), np.uint8)
+    wide[:, : c.length] = cells
+    numbers = wide.view("<i8").ravel()
+    if c.type_code in INTEGERS and (not len(numbers) or numbers.min() >= 0):
+        return pa.array(numbers, mask=null)
+    # few distinct values: each is decoded once
+    values, which = np.unique(numbers, return_inverse=True)
+    return pa.array([scalar(v.tobytes(), c) for v in values], pa.string()).take(pa.array(which, mask=null))
 
 
 def read_fixed(spark: SparkSession, path: str, columns: list[ColumnDef], layout: Layout, select: list[str] | None = None, limit: int | None = None) -> DataFrame:
-    """Rows of a fixed-width table; records that begin with a zero byte are deleted."""
+    """Rows of a fixed-width table; records that begin with a zero byte are deleted, null bits are kept as nulls.
+
+    Splits hold whole records; they travel in runs, and each run is decoded a column at a time."""
     if layout.linked:
         raise TableError("records of this table are linked blocks")
-    records = spark.sparkContext.binaryRecords(path, layout.width).map(lambda r: (bytearray(r),))
-    rows = spark.createDataFrame(records, "r binary").where(F.substring("r", 1, 1) != F.lit(bytearray(b"\0")))
-    rows = rows.limit(limit) if limit is not None else rows
-    return rows.select(*[decoded(F.substring("r", c.offset + 1, c.length), c).alias(c.name) for c in columns if select is None or c.name in select])
+    ship(spark)
+    width, wanted, fields = layout.width, chosen(columns, select), layout.by_offset()
+    schema = schema_of(wanted)
+
+    def runs(records):
+        while run := b"".join(itertools.islice(records, RUN)):
+            yield (bytearray(run),)
+
+    def decode(batches):
+        for batch in batches:
+            for run in batch.column("run"):
+                data = np.frombuffer(run.as_buffer(), np.uint8).reshape(-1, width)
+                data = data[data[:, 0] != 0]
+                yield pa.RecordBatch.from_arrays([_fixed_column(data, c, fields.get(c.offset)) for c in wanted], schema=schema)
+
+    rows = spark.createDataFrame(spark.sparkContext.binaryRecords(path, width).mapPartitions(runs), "run binary").mapInArrow(decode, ddl(wanted))
+    return rows.limit(limit) if limit is not None else rows
 
 
 #: Block types as (first block, bytes of the record's length, of the block's length, of padding, has a pointer).
@@ -180,7 +265,12 @@ def read_linked(spark: SparkSession, path: str) -> DataFrame:
         return spark.read.schema(df.schema).parquet(where)
 
     blocks = saved(read_blocks(spark, path), "blocks")
-    whole = blocks.where("first").where(F.octet_length("payload") >= F.col("record_size")).select("file", "at", F.col("payload").alias("record"))
+
+    def exactly(record, found, at: str):
+        return F.when(found == F.col("record_size"), record).otherwise(F.raise_error(F.concat(F.lit("more bytes than the record has at "), F.col(at).cast("string"))))
+
+    size = F.octet_length("payload")
+    whole = blocks.where("first").where(size >= F.col("record_size")).select("file", "at", exactly(F.col("payload"), size, "at").alias("record"))
     open_ = saved(blocks.where("first").where(F.octet_length("payload") < F.col("record_size")).select("file", F.col("at").alias("head"), "record_size"), "open")
     if open_.isEmpty():
         return whole
@@ -203,9 +293,90 @@ def read_linked(spark: SparkSession, path: str) -> DataFrame:
     for step in reversed(steps[:-1]):
         onward = parts.join(step, ["file", "at"]).where(F.col("to").isNotNull() & (F.col("offset") + F.col("bytes") < F.col("record_size")))
         parts = saved(parts.unionByName(onward.select("file", "head", "record_size", F.col("to").alias("at"), (F.col("offset") + F.col("bytes")).alias("offset"))), "parts")
-    placed = parts.join(blocks.select("file", "at", "payload"), ["file", "at"]).groupBy("file", "head").agg(F.sort_array(F.collect_list(F.struct("offset", "payload"))).alias("parts"))
+    shared = parts.groupBy("file", "at").agg(F.count("*").alias("n")).where("n > 1").limit(1).collect()
+    if shared:
+        raise TableError(f"two records meet in the block at {shared[0]['at']}")
+    placed = parts.join(blocks.select("file", "at", "payload"), ["file", "at"]).groupBy("file", "head", "record_size").agg(F.sum(size).alias("found"), F.sort_array(F.collect_list(F.struct("offset", "payload"))).alias("parts"))
     joined = F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["payload"])), ""))
-    return whole.unionByName(placed.select("file", F.col("head").alias("at"), joined.alias("record")))
+    return whole.unionByName(placed.select("file", F.col("head").alias("at"), exactly(joined, F.col("found"), "head").alias("record")))
+
+
+def unpack(record: bytes, layout: Layout) -> list[tuple[int, bytes | None]]:
+    """(offset, bytes or None) of every stretch of a packed record, each checked whether it is asked for or not."""
+    pos, flags, at, nulls, out = layout.bitmap, 0, 0, bytearray(layout.width), []
+    if len(record) < pos:
+        raise TableError("truncated packing bitmap")
+
+    def take(n: int) -> bytes:
+        nonlocal pos
+        pos += n
+        if pos > len(record):
+            raise TableError(f"truncated field at {pos - n}")
+        return record[pos - n : pos]
+
+    for f in layout.fields:
+        packed = False
+        if f.kind in (END_SPACE, PRE_SPACE, ZERO, BLOB):
+            if flags >= 8 * layout.bitmap:
+                raise TableError("more fields than the packing bitmap has")
+            packed = bool(record[flags // 8] >> flags % 8 & 1)
+            flags += 1
+        if f.kind == ZERO and packed:
+            value = bytes(f.length)
+        elif f.kind in (NORMAL, CHECK, ZERO):
+            value = take(f.length)
+        elif f.kind in (END_SPACE, PRE_SPACE):
+            size = f.length
+            if packed:
+                size = take(1)[0]
+                if f.length > 255 and size & 128:
+                    size = (size & 127) + (take(1)[0] << 7)
+            if size > f.length:
+                raise TableError(f"a text of {size} bytes in a field of {f.length}")
+            value = take(size)
+            value = value.ljust(f.length) if f.kind == END_SPACE else value.rjust(f.length)
+        elif f.kind == BLOB:
+            if not 9 <= f.length <= 12:
+                raise TableError(f"a long text with a slot of {f.length} bytes")
+            value = b"" if packed else take(int.from_bytes(take(f.length - 8), "little"))
+        elif f.kind == VARCHAR:
+            short = f.length <= 256
+            size = take(1)[0]
+            if not short and size == 255:
+                size = int.from_bytes(take(2), "big")
+            if size > f.length - (1 if short else 2):
+                raise TableError(f"a text of {size} bytes in a field of {f.length}")
+            value = take(size)
+        else:
+            raise TableError(f"unknown packing {f.kind}")
+        if f.kind in (NORMAL, CHECK):
+            # null bits lie in stretches of their own before the columns they speak of
+            nulls[at : at + f.length] = value
+        out.append((at, None if f.null_bit and nulls[f.null_pos] & f.null_bit else value))
+        at += f.length
+    if pos + layout.checksum != len(record):
+        raise TableError(f"a record of {len(record)} bytes has fields of {pos}")
+    return out
+
+
+def read_rows(spark: SparkSession, path: str, columns: list[ColumnDef], layout: Layout, select: list[str] | None = None, value_limit: int | None = None) -> DataFrame:
+    """Rows of a table of linked blocks, columns decoded; values of more bytes than ``value_limit`` become null."""
+    if not layout.linked:
+        raise TableError("records of this table have a fixed width")
+    wanted = chosen(columns, select)
+    schema, starts = schema_of(wanted), layout.by_offset()
+    for c in columns:
+        if c.offset not in starts:
+            raise TableError(f"the record's fields don't cover {c.name}")
+    if hidden := [at for at, f in starts.items() if f.kind not in (NORMAL, CHECK) and at not in {c.offset for c in columns}]:
+        raise TableError(f"no column for the packed field at {hidden[0]}")
+
+    def decode(batches):
+        for batch in batches:
+            rows = [{at: v for at, v in unpack(r, layout) if v is not None and (value_limit is None or len(v) <= value_limit)} for r in batch.column("record").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([scalar(r[c.offset], c) if c.offset in r else None for r in rows], schema.field(c.name).type) for c in wanted], schema=schema)
+
+    return read_linked(spark, path).select("record").mapInArrow(decode, ddl(wanted))
 
 
 def check_rows(df: DataFrame, layout: Layout) -> DataFrame:
