@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprint, langid, mixing, neardup, packing, periodic, prefixes, quality, sharding, toxicity, warc
+from . import chat, fingerprint, langid, mixing, neardup, ngram_join, packing, periodic, prefixes, quality, sharding, toxicity, warc
 from .common import table
 
 QUERIES = {
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_quality_rules": lambda spark, sf_dir: quality.op9(table(spark, sf_dir, "documents")),
     "op10_pack": lambda spark, sf_dir: packing.op10(table(spark, sf_dir, "documents")),
     "op11_prefix_trie": lambda spark, sf_dir: prefixes.op11(table(spark, sf_dir, "conversations")),
+    "op12_ngram_join": lambda spark, sf_dir: ngram_join.op12(table(spark, sf_dir, "documents")),
     "op13_periodic_runs": lambda spark, sf_dir: periodic.op13(table(spark, sf_dir, "documents")),
 }
 
@@ -26,4 +27,5 @@ ORACLES = {
     "op5_near_duplicates": neardup.ORACLE_SQL,
     "op6_chat_format": chat.ORACLE_SQL,
     "op11_prefix_trie": prefixes.ORACLE_SQL,
+    "op12_ngram_join": ngram_join.ORACLE_SQL,
 }
