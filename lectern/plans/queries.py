@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import maintain, rank, search, stage
+from lectern.operators import index, maintain, rank, search, stage
 from lectern.session import table
 from lectern.streaming import incremental
 
@@ -37,7 +37,7 @@ raw AS (SELECT doc_id, lang, unnest(regexp_extract_all(text, '[\p{L}\p{N}]+')) A
 tok AS (SELECT doc_id, lang, replace(strip_accents(lower(t)), 'ß', 'ss') AS token FROM raw WHERE strlen(t) < 40),
 len AS (SELECT d.doc_id, count(tok.token) AS len FROM documents d LEFT JOIN tok ON tok.doc_id = d.doc_id GROUP BY d.doc_id),
 stat AS (SELECT count(*) AS n, avg(len) AS mean_len FROM len),
-qraw AS (SELECT item_id AS query_id, unnest(regexp_extract_all(array_to_string(list_slice(regexp_split_to_array(trim(text), '\s+'), 1, 4), ' '), '[\p{L}\p{N}]+')) AS t FROM benchmark),
+qraw AS (SELECT item_id AS query_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}]+')) AS t FROM benchmark),
 q AS (SELECT DISTINCT query_id, replace(strip_accents(lower(t)), 'ß', 'ss') AS term FROM qraw WHERE strlen(t) < 40),
 qn AS (SELECT query_id, count(*) AS n_terms FROM q GROUP BY query_id),
 """
@@ -47,6 +47,7 @@ df AS (SELECT token, count(*) AS df FROM tf GROUP BY token),
 w AS (SELECT tf.doc_id, tf.token, ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len.len / mean_len))) AS weight
       FROM tf JOIN df USING (token) JOIN len USING (doc_id), stat),
 """
+NEAR = "SELECT DISTINCT term, token FROM (SELECT DISTINCT term FROM q) JOIN v ON abs(length(term) - length(token)) <= 1 AND damerau_levenshtein(term, token) <= 1"
 SCORED = """
 s AS (SELECT q.query_id, w.doc_id, qn.n_terms, round(sum(w.weight), 6) AS score, count(*) AS found
       FROM w JOIN q ON q.term = w.token JOIN qn USING (query_id) GROUP BY ALL),
@@ -58,11 +59,6 @@ SELECT query_id, doc_id, score, position FROM (
 
 
 def _workload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each benchmark item's first four words are a query."""
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), T.first_words(F.col("text")).alias("query"))
-
-
-def _whole_workload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each benchmark item's whole text is a query."""
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
@@ -113,7 +109,7 @@ def bm25_multifield(spark, sf_dir):
     return found.select(F.lit(text).alias("query"), "doc_id", "score", "position")
 
 
-@query("WITH " + TOKENS + "v AS (SELECT DISTINCT token FROM tok) SELECT DISTINCT term, token FROM q JOIN v ON abs(length(term) - length(token)) <= 1 AND damerau_levenshtein(term, token) <= 1")
+@query("WITH " + TOKENS + "v AS (SELECT DISTINCT token FROM tok) " + NEAR)
 def fuzzy_terms(spark, sf_dir):
     terms = search.query_terms(_workload(spark, sf_dir))
     vocabulary = search.postings(table(spark, sf_dir, "documents"), _text()).select("token").distinct()
@@ -122,7 +118,7 @@ def fuzzy_terms(spark, sf_dir):
 
 CASCADE = """
 v AS (SELECT DISTINCT token FROM tok),
-near AS (SELECT DISTINCT term, token FROM q JOIN v ON abs(length(term) - length(token)) <= 1 AND damerau_levenshtein(term, token) <= 1),
+near AS (""" + NEAR + """),
 tf AS (SELECT doc_id, token, count(*) AS tf FROM tok WHERE token IN (SELECT token FROM near) GROUP BY doc_id, token),
 df AS (SELECT token, count(*) AS df FROM tf GROUP BY token),
 w AS (SELECT tf.doc_id, tf.token, ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len.len / mean_len))) AS weight
@@ -152,38 +148,54 @@ def search_filtered(spark, sf_dir):
     return search.cascade(table(spark, sf_dir, "documents"), _workload(spark, sf_dir), _text(), where=search.in_list(F.col("lang"), " EN, de,, "))
 
 
-# The same searches with whole texts as queries; each term meets the vocabulary once.
-WHOLE = TOKENS.split("qraw AS")[0] + r"""qraw AS (SELECT item_id AS query_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}]+')) AS t FROM benchmark),
-q AS""" + TOKENS.split("\nq AS")[1]
-NEAR_WHOLE = "SELECT DISTINCT term, token FROM (SELECT DISTINCT term FROM q) JOIN v ON abs(length(term) - length(token)) <= 1 AND damerau_levenshtein(term, token) <= 1"
-CASCADE_WHOLE = "v AS (SELECT DISTINCT token FROM tok),\nnear AS (" + NEAR_WHOLE + "),\ntf AS" + CASCADE.split("\ntf AS")[1]
+# The same searches on the stored index.
+_INDEXES: dict[tuple[str, str], index.Index] = {}
+
+
+def _index(spark: SparkSession, sf_dir: str) -> index.Index:
+    """The stored index of the documents, built by the first query of an application that asks for it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        made = index.Index(spark, _folder(spark, "index"), _text())
+        made.build(table(spark, sf_dir, "documents"))
+        _INDEXES[key] = made
+    return _INDEXES[key]
 
 
-@query("WITH " + WHOLE + WEIGHT + SCORED.rstrip().rstrip(",") + TOP.format(rows="s WHERE found = n_terms"))
+@query("WITH " + TOKENS.split("qraw AS")[0] + """p AS (SELECT doc_id, token, count(*) AS tf FROM tok GROUP BY doc_id, token)
+SELECT 'text' AS field, any_value(n) AS documents, round(any_value(mean_len), 6) AS mean_len, count(DISTINCT token) AS tokens, count(*) AS postings FROM p, stat""")
+def index_build(spark, sf_dir):
+    """The documents' index, stored anew: what it holds by field."""
+    made = index.Index(spark, _folder(spark, "index"), _text())
+    made.build(table(spark, sf_dir, "documents"))
+    held = made.vocabulary().groupBy("field").agg(F.count("*").alias("tokens"), F.sum("df").alias("postings"))
+    return held.join(made.sizes(), "field").select("field", F.col("n").alias("documents"), F.round("mean_len", 6).alias("mean_len"), "tokens", "postings")
+
+
+@query("WITH " + TOKENS + WEIGHT + SCORED.rstrip().rstrip(",") + TOP.format(rows="s WHERE found = n_terms"))
 def bm25_and_whole(spark, sf_dir):
-    return search.bm25(table(spark, sf_dir, "documents"), _whole_workload(spark, sf_dir), _text(), every_term=True)
+    return _index(spark, sf_dir).bm25(_workload(spark, sf_dir), every_term=True)
 
 
-@query("WITH " + WHOLE + WEIGHT + SCORED.rstrip().rstrip(",") + TOP.format(rows="s"))
+@query("WITH " + TOKENS + WEIGHT + SCORED.rstrip().rstrip(",") + TOP.format(rows="s"))
 def bm25_or_whole(spark, sf_dir):
-    return search.bm25(table(spark, sf_dir, "documents"), _whole_workload(spark, sf_dir), _text(), every_term=False)
+    return _index(spark, sf_dir).bm25(_workload(spark, sf_dir), every_term=False)
 
 
-@query("WITH " + WHOLE + "v AS (SELECT DISTINCT token FROM tok) " + NEAR_WHOLE)
+@query("WITH " + TOKENS + "v AS (SELECT DISTINCT token FROM tok) " + NEAR)
 def fuzzy_terms_whole(spark, sf_dir):
-    terms = search.query_terms(_whole_workload(spark, sf_dir))
-    vocabulary = search.postings(table(spark, sf_dir, "documents"), _text()).select("token").distinct()
-    return search.fuzzy_terms(terms, vocabulary)
+    return _index(spark, sf_dir).fuzzy(search.query_terms(_workload(spark, sf_dir)))
 
 
-@query("WITH " + WHOLE + CASCADE_WHOLE)
+@query("WITH " + TOKENS + CASCADE)
 def search_cascade_whole(spark, sf_dir):
-    return search.cascade(table(spark, sf_dir, "documents"), _whole_workload(spark, sf_dir), _text())
+    return _index(spark, sf_dir).cascade(_workload(spark, sf_dir))
 
 
-@query("WITH " + WHOLE + CASCADE_WHOLE.replace(FILTER[1], FILTER[0]))
+@query("WITH " + TOKENS + CASCADE.replace(FILTER[1], FILTER[0]))
 def search_filtered_whole(spark, sf_dir):
-    return search.cascade(table(spark, sf_dir, "documents"), _whole_workload(spark, sf_dir), _text(), where=search.in_list(F.col("lang"), " EN, de,, "))
+    docs = table(spark, sf_dir, "documents")
+    return _index(spark, sf_dir).cascade(_workload(spark, sf_dir), where=docs.where(search.in_list(F.col("lang"), " EN, de,, ")))
 
 
 @query("SELECT l_returnflag, count(*) AS requests, count(p_partkey) AS known FROM lineitem LEFT JOIN part ON p_partkey = l_partkey GROUP BY l_returnflag")
