@@ -7,7 +7,7 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.operators import maintain, rank, search, stage
+from lectern.operators import index, maintain, rank, search, stage
 from lectern.sources import api_pages, sqldump
 from lectern.streaming import incremental
 
@@ -27,7 +27,9 @@ class Catalogue:
 
     def __init__(self, spark: SparkSession, folder: str, topics: tuple[str, ...] = ("f", "l"), extensions: tuple[str, ...] = stage.EXTENSIONS, catch_up_days: int = incremental.CATCH_UP_DAYS):
         self.spark, self.topics, self.extensions, self.catch_up_days = spark, topics, extensions, catch_up_days
-        self.store = maintain.Store(spark, folder)
+        self.store = maintain.BucketStore(spark, folder, "md5")
+        fields = {"title": F.col("title"), "author": F.col("author"), "series": F.col("series"), "publisher": F.col("publisher"), "isbn": F.array_join("isbn", " ")}
+        self.index = index.Index(spark, f"{folder.rstrip('/')}/index", fields, "md5", search.BOOSTS, FUZZY_FIELDS)
 
     def books(self) -> DataFrame:
         books = self.store.read()
@@ -47,8 +49,9 @@ class Catalogue:
             found = search.match_all(books.where(wanted), max(limit, RERANK))
         else:
             queries = self.spark.range(1).select(F.lit(0).alias("query_id"), F.lit(q).alias("query"))
-            fields = {"title": F.col("title"), "author": F.col("author"), "series": F.col("series"), "publisher": F.col("publisher"), "isbn": F.array_join("isbn", " ")}
-            found = search.cascade(books, queries, fields, search.BOOSTS, FUZZY_FIELDS, wanted, max(limit, RERANK)).drop("query_id", "position")
+            self._catch_up()
+            filtered = any(search.listed(x) for x in (ext, lang))
+            found = self.index.cascade(queries, max(limit, RERANK), books.where(wanted) if filtered else None).drop("query_id", "position")
         hits = books.join(F.broadcast(found), "doc_id").withColumns({"bm25": F.col("score"), "query_id": F.lit(0)}).drop("score")  # at most 100 rows
         hits = search.dedupe_first(hits, "md5", [F.desc("bm25")])
         if answers is not None:
@@ -65,7 +68,15 @@ class Catalogue:
 
     def status(self) -> dict:
         current = self.store.load_state("current")
-        return {"documents": current.get("rows", 0), "version": current.get("version"), **self.store.load_state()}
+        if current:
+            self._catch_up()
+        return {"documents": self.index.documents(), "version": current.get("version"), **self.store.load_state()}
+
+    def _catch_up(self) -> None:
+        """Builds the index anew if it isn't that of the current books: a writer may have ended between the two."""
+        version = self.store.load_state("current").get("version")
+        if self.index.state().get("books") != version:
+            self.index.build(self.books(), books=version)
 
     def health(self) -> dict:
         return {"ok": bool(self.store.load_state("current"))}
@@ -80,8 +91,8 @@ class Catalogue:
 
     # ------------------------------------------------------------- writing
 
-    def import_tables(self, tables: dict[str, DataFrame], source: str, language_key: int = stage.LANGUAGE_KEY, isbn_key: int = stage.ISBN_KEY) -> dict:
-        """Replaces a source's books by those of the five tables; the old version stays on an error."""
+    def import_tables(self, tables: dict[str, DataFrame], source: str, language_key: int = stage.LANGUAGE_KEY, isbn_key: int = stage.ISBN_KEY, least_books: int | None = None) -> dict:
+        """Replaces a source's books by those of the five tables; the old version stays on an error, and if there are too few books."""
         typed = {n: df.select(*[F.col(c).try_cast("long").alias(c) if c in _NUMBERS else F.col(c) for c in df.columns]) for n, df in tables.items()}
         descriptors = typed["editions_add_descr"].withColumnRenamed("e_add_id", "seq")
         keys = {"editions": "e_id", "files": "f_id"}
@@ -93,7 +104,8 @@ class Catalogue:
         typed["editions_to_files"] = typed["editions_to_files"].drop(*place)
         new = stage.books(last["editions"], descriptors, typed["editions_to_files"], last["files"], source, self.topics, self.extensions, language_key, isbn_key)
         old = self.store.read()
-        self.store.publish(new if old is None else maintain.replace_source(old, new, source))
+        version = self.store.publish((new if old is None else maintain.replace_source(old, new, source)).dropDuplicates(["md5"]), least_books)
+        self.index.build(self.books(), books=version)
         state = self.store.load_state()
         ids = {r["topic"]: r["max_id"] + 1 for r in stage.max_ids(typed["files"], {"l": "main_id", "f": "fiction_id"}).collect() if not self.topics or r["topic"] in self.topics}
         state.setdefault("next_file_ids", {}).update(ids)
@@ -129,13 +141,27 @@ class Catalogue:
     def refresh(self, file_pages: DataFrame, edition_pages: DataFrame, sources: dict[str, str], today: datetime.date | None = None, prefix: str = "") -> dict:
         """Applies pages of changes and moves the day cursor to today, which is asked again next time."""
         removals, upserts = self.changed_books(file_pages, edition_pages, sources, prefix)
-        old = self.store.read()
-        self.store.publish(maintain.apply_changes(old, removals, upserts, "md5") if old is not None else upserts)
+        self.apply(removals, upserts)
         state = self.store.load_state()
         state["synced_until"] = (today or datetime.date.today()).isoformat()
         self.store.save_state(state)
         return self.status()
 
+    def apply(self, removals: DataFrame, upserts: DataFrame) -> None:
+        """Removals (md5), then upserts: rewrites the buckets of books that they touch and adds a small segment to the index."""
+        if self.store.read() is None:
+            self.index.build(upserts, books=self.store.publish(upserts))
+            return
+        self._catch_up()
+        upserts = stage.frozen(upserts)
+        removals = stage.frozen(removals.select(F.lower("md5").alias("md5")))
+        gone = stage.frozen(self.store.of(upserts.select("md5").unionByName(removals)))
+        if not self.store.change(removals, upserts):
+            return
+        version = self.store.load_state("current")["version"]
+        self.index.apply(gone, upserts, books=version)
+        self.index.merge(self.books(), books=version)
+
     def days_due(self, today: datetime.date) -> list[datetime.date]:
         """Days that an update asks for, none older than the catch-up."""
         until = datetime.date.fromisoformat(self.store.load_state().get("synced_until", "1970-01-01"))

@@ -7,6 +7,7 @@ import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def replace_source(books: DataFrame, new: DataFrame, source: str) -> DataFrame:
@@ -86,3 +87,75 @@ class Store:
     def read(self) -> DataFrame | None:
         current = self.load_state("current")
         return self.spark.read.parquet(f"{self.folder}/{current['version']}") if current else None
+
+
+class BucketStore(Store):
+    """A table in buckets of its key's hash, of which a change rewrites only those that it touches.
+
+    The pointer file lists each bucket's folder; new folders of touched buckets
+    and the old ones of all others become current together. A bucket's rows are
+    one task's work, so there should be enough buckets for that.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, key: str, buckets: int = 64):
+        super().__init__(spark, folder)
+        self.key, self.buckets = key, buckets
+
+    def _bucket(self):
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int").alias("bucket")
+
+    def _put(self, rows: DataFrame, touched: list[int], before: dict) -> dict:
+        version = f"v-{time.time_ns()}"
+        rows.select("*", self._bucket()).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.folder}/{version}")
+        places = before.get("places", {}) | {str(b): version for b in touched}
+        state = {"places": places, "schema": rows.schema.json(), "version": version}
+        self.save_state(state, "current")
+        # what neither this nor the last list names goes
+        named = {*places.values(), *before.get("places", {}).values()}
+        for status in self._fs().globStatus(self._path("v-*")) or []:
+            if status.getPath().getName() not in named:
+                self._fs().delete(status.getPath(), True)
+        return state
+
+    def _rows(self, state: dict, buckets: list[int] | None = None) -> DataFrame:
+        schema = StructType.fromJson(json.loads(state["schema"]))
+        paths = [f"{self.folder}/{v}/bucket={b}" for b, v in state["places"].items() if buckets is None or int(b) in buckets]
+        # a bucket without rows has no folder
+        paths = [p for p in paths if self._path("x").getFileSystem(self._conf).exists(self._jvm.org.apache.hadoop.fs.Path(p))]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def read(self) -> DataFrame | None:
+        current = self.load_state("current")
+        return self._rows(current) if current else None
+
+    def of(self, keys: DataFrame) -> DataFrame:
+        """The rows of the keys; other buckets aren't read."""
+        current = self.load_state("current")
+        touched = self._touched(keys)
+        return self._rows(current, touched).join(keys.select(self.key).distinct(), self.key, "left_semi").select(*json_names(current["schema"]))
+
+    def _touched(self, keys: DataFrame) -> list[int]:
+        return [r[0] for r in keys.select(self._bucket()).distinct().collect()]  # no more than there are buckets
+
+    def publish(self, books: DataFrame, least_rows: int | None = None) -> str:
+        """The whole table anew; if it has not the rows that it should, the current one stays."""
+        if least_rows is not None and (rows := books.count()) < least_rows:
+            raise ValueError(f"{rows} rows, {least_rows} expected; the current version stays")
+        return self._put(books, list(range(self.buckets)), {"places": self.load_state("current").get("places", {})})["version"]
+
+    def change(self, removals: DataFrame | None, upserts: DataFrame) -> list[int]:
+        """Removals first, then upserts (one row a key): rewrites the buckets that they touch, and returns these."""
+        current = self.load_state("current")
+        if not current:
+            self.publish(upserts)
+            return list(range(self.buckets))
+        keys = upserts.select(self.key) if removals is None else upserts.select(self.key).unionByName(removals.select(self.key))
+        touched = self._touched(keys)
+        if touched:
+            kept = self._rows(current, touched).join(keys.distinct(), self.key, "left_anti").select(*upserts.columns)
+            self._put(kept.unionByName(upserts), touched, current)
+        return touched
+
+
+def json_names(schema: str) -> list[str]:
+    return StructType.fromJson(json.loads(schema)).names

@@ -18,8 +18,6 @@ BOOSTS = {"title": 3.0, "author": 2.0, "series": 1.2, "publisher": 0.5, "isbn":
 LIMIT, MOST = 40, 100
 #: What a term with a typo scores in place of its own weight.
 FUZZY_SCORE = 1.0
-#: Terms of a batch of queries are broadcast up to this count.
-BROADCAST_TERMS = 200_000
 
 
 def clamp(limit: int | None) -> int:
@@ -127,9 +125,14 @@ def match_all(docs: DataFrame, limit: int | None = None) -> DataFrame:
     return docs.select("doc_id", F.lit(1.0).alias("score")).orderBy("doc_id").limit(clamp(limit))
 
 
+def listed(values: str | None) -> list[str]:
+    """The parts of a comma list: trimmed, lower case, none empty."""
+    return [v.strip().lower() for v in (values or "").split(",") if v.strip()]
+
+
 def in_list(column: Column, values: str | None) -> Column:
-    """Filter by a comma list: trimmed, lower case, empty parts ignored; no values, no filter."""
-    wanted = [v.strip().lower() for v in (values or "").split(",") if v.strip()]
+    """Filter by a comma list; no values, no filter."""
+    wanted = listed(values)
     return F.lower(column).isin(*wanted) if wanted else F.lit(True)
 
 

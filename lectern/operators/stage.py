@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import clean, isbn_list
+from lectern.scratch import scratch_path
 
 LANGUAGE_KEY, ISBN_KEY = 101, 505
 EXTENSIONS = ("epub", "mobi", "azw3", "azw", "fb2", "pdf", "djvu", "txt", "rtf", "doc", "docx", "lit")
@@ -92,3 +93,10 @@ def stage_counts(**tables: DataFrame) -> DataFrame:
         one = df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("table"), "rows")
         out = one if out is None else out.union(one)
     return out
+
+
+def frozen(rows: DataFrame) -> DataFrame:
+    """The rows, written once: what is read several times, and from what changes meanwhile, is the same each time."""
+    path = scratch_path(rows.sparkSession, "frozen")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

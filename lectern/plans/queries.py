@@ -545,15 +545,15 @@ def linked_table_scan(spark, sf_dir):
 @query("""SELECT user_id, event_type, value FROM (SELECT user_id, event_type, value,
   row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1""")
 def stream_upsert(spark, sf_dir):
-    """Events as a stream of upserts, batch by batch, into a versioned table."""
-    store = maintain.Store(spark, _folder(spark, "store"))
+    """Events as a stream of upserts, batch by batch, into a table of which each batch rewrites the buckets that it touches."""
+    store = maintain.BucketStore(spark, _folder(spark, "store"), "user_id", buckets=16)
     source = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
 
     def apply(batch, _):
         new = stage.last_by_key(batch.select("user_id", "event_id", "event_type", "value"), ["user_id"], ["event_id"])
-        books = store.read()
-        both = new if books is None else stage.last_by_key(books.unionByName(new), ["user_id"], ["event_id"])
-        store.publish(both)
+        # a batch that is replayed, or late, doesn't go behind what is there
+        both = new if store.read() is None else stage.last_by_key(store.of(new).unionByName(new), ["user_id"], ["event_id"])
+        store.change(None, both)
 
     incremental.upsert_stream(source, apply, _folder(spark, "checkpoint")).awaitTermination()
     return store.read().select("user_id", "event_type", "value")
