@@ -33,20 +33,18 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
 from .common import saved, ship
-from .neardup import BLOCK_SHINGLES, BROADCAST_IDS, _linked, components, confirmed, shingle_sets
+from .neardup import BROADCAST_IDS, _few, linked, named_sets, set_sums, sets_of, shared_keys, shingle_sets
 
 SHINGLE, PERCENT = 3, 90
 #: Tokens of more sets than RARE are indexed in pairs, of more than OFTEN in triples.
 RARE, OFTEN = 8, 64
 #: Frequent tokens are broadcast up to this count (16 MB).
 BROADCAST_TOKENS = 1_000_000
-#: Members of a signature that list their pairs; hub rounds of larger ones; members of a block.
-LISTED, HUB_ROUNDS, BLOCK = 8, 2, 512
 
 _SALT = [np.uint64(x) for x in (0x2545F4914F6CDD1D, 0x9E6C63D0876A9A43, 0xD1342543DE82EF95)]
 
@@ -106,21 +104,12 @@ def part_rate(percent: int) -> int:
     return max(1, int(1 / (2.5 * (1 - percent / 100)))) if percent < 100 else 64
 
 
-def _sums(h: np.ndarray, at: np.ndarray, full: np.ndarray) -> np.ndarray:
-    """Two 64-bit sums that stand for each set."""
-    out = np.zeros((2, len(at) - 1), np.uint64)
-    if len(full):
-        for k in range(2):
-            out[k, full] = np.add.reduceat(K.mix64(h ^ _SALT[k]), at[:-1][full])
-    return out.view(np.int64)
-
-
 def _scan(n: int, rate: int):
     def run(batches):
         for batch in batches:
             for i, j, h, at in shingle_sets(batch.column("text"), n):
                 size = np.diff(at)
-                h1, h2 = _sums(h, at, np.flatnonzero(size))
+                h1, h2 = set_sums(h, at)
                 part = h % np.uint64(rate) == 0
                 upto = np.append(0, np.cumsum(part))[at]
                 yield pa.RecordBatch.from_arrays(
@@ -129,18 +118,6 @@ def _scan(n: int, rate: int):
     return run
 
 
-def _sets(n: int):
-    def run(batches):
-        for batch in batches:
-            for i, j, h, at in shingle_sets(batch.column("text"), n):
-                sums = _sums(h, at, np.flatnonzero(np.diff(at)))
-                wanted = np.stack([batch.column(c).slice(i, j - i).to_numpy() for c in ("h1", "h2")])
-                # an id may have other texts than the one that stands for the set
-                yield pa.RecordBatch.from_arrays([batch.column("cid").slice(i, j - i), K.lists(h, at)], ["cid", "shingles"]).filter(pa.array((sums == wanted).all(axis=0)))
-
-    return run
-
-
 def _signed(percent: int, small: int):
     def run(batches):
         for batch in batches:
@@ -160,11 +137,6 @@ def _signed(percent: int, small: int):
     return run
 
 
-def _few(df: DataFrame, most: int) -> DataFrame:
-    """The table, broadcast if it has few rows."""
-    return F.broadcast(df) if df.count() <= most else df
-
-
 def candidates(slim: DataFrame, scan: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(cid, n, h1, h2, first_doc) of the distinct sets that may have unequal partners, and their (cid, shingles)."""
     may_lack = F.col("n") - F.expr(f"(n * {percent} + 99) div 100")
@@ -174,17 +146,7 @@ def candidates(slim: DataFrame, scan: DataFrame, shingle: int, percent: int) ->
     sets = sets.join(lone, ["h1", "h2"], "left").where(F.coalesce("lone", F.lit(0)) <= may_lack)
     # saved once, so that the numbers stay
     sets = saved(sets.select(F.monotonically_increasing_id().alias("cid"), "n", "h1", "h2", "first_doc"), "sets")
-    texts = slim.join(_few(sets.drop("n"), BROADCAST_IDS), slim["doc_id"] == F.col("first_doc")).select("cid", "h1", "h2", "text")
-    whole = texts.mapInArrow(_sets(shingle), "cid long, shingles array<long>")
-    if not scan.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").isEmpty():
-        whole = whole.dropDuplicates(["cid"])
-    return sets, saved(whole, "shingles")
-
-
-def possible(a: str, b: str, percent: int) -> Column:
-    """Whether sets a and b, structs of n and common, can be similar by their sizes and by what they share with any set."""
-    least = F.least(F.col(f"{a}.common"), F.col(f"{b}.common"))
-    return (F.least(f"{a}.n", f"{b}.n") * 100 >= F.greatest(f"{a}.n", f"{b}.n") * percent) & (least * 100 >= (F.col(f"{a}.n") + F.col(f"{b}.n") - least) * percent)
+    return sets, sets_of(slim, scan, sets, shingle)
 
 
 def similar(sets: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
@@ -199,40 +161,8 @@ def similar(sets: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
     full = shingles.join(_few(sets.select("cid"), BROADCAST_IDS), "cid", "left_semi").join(told, "cid", "left").select("cid", "shingles", F.col("told.t").alias("tokens"), F.col("told.kind").alias("kinds"))
     signed = full.mapInArrow(_signed(percent, small_sets(percent)), "cid long, keys array<long>")
     each = saved(signed.select("cid", F.explode("keys").alias("key")), "signed")
-    # signatures with the same members say the same
-    h = F.xxhash64("cid")
-    shared = each.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(h).alias("x"), F.bit_xor(F.xxhash64(h, F.lit(1))).alias("y")).where("c > 1")
-    shared = saved(shared.groupBy("c", "x", "y").agg(F.min("key").alias("key"), F.count("*").alias("same")).select("key", "c", "same"), "shared")
-    rows = saved(each.join(shared, "key").join(sets, "cid"), "members")
-
-    listed = rows.where(f"c <= {LISTED}").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("cid", "n", "common"))).alias("m"))
-    pairs = listed.select("m", F.posexplode("m").alias("i", "a")).select("a", F.explode(F.expr(f"slice(m, i + 2, {LISTED})")).alias("b")).where(possible("a", "b", percent)).select(F.col("a.cid").alias("a"), F.col("b.cid").alias("b"))
-    large = saved(rows.where(f"c > {LISTED}").join(rows.groupBy("cid").agg(F.sum(F.col("c") * F.col("same")).alias("met")), "cid").select("key", "cid", "n", "common", "met", F.col("cid").alias("root")), "large")
-    links = None
-    for turn in range(1, HUB_ROUNDS + 1):
-        # the member that meets the most others is the hub; the next one comes from another component
-        late = F.lit(False) if turn == 1 else F.col("root") == F.col("last_root")
-        free = large if turn == 1 else large.join(last, "key")
-        best = free.groupBy("key").agg(F.min(F.struct(late.alias("late"), (-F.col("met")).alias("far"), F.struct("cid", "n", "common").alias("hub"), "root")).alias("b"))
-        hubs = saved(best.select("key", "b.hub", F.col("b.root").alias("hub_root")), "hubs")
-        met = large.select("key", F.struct("cid", "n", "common").alias("m"), "root").join(hubs, "key").where((F.col("root") != F.col("hub_root")) & possible("m", "hub", percent))
-        met = met.select(F.least("m.cid", "hub.cid").alias("a"), F.greatest("m.cid", "hub.cid").alias("b"))
-        pairs = saved((pairs.unionByName(met) if turn == 1 else met).distinct(), "pairs")
-        found = saved(confirmed(pairs, shingles, percent), "links")
-        links = found if links is None else links.unionByName(found)
-        roots = components(shingles.sparkSession, links)
-        large = saved(large.drop("root").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid")), "large")
-        apart = large.groupBy("key").agg(F.count("*").alias("c"), F.sum("n").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-        apart = saved(apart.select("key", F.ceil(F.greatest(F.col("c") / BLOCK, F.col("size") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "apart")
-        last = large.join(hubs.select("key", F.col("hub.cid").alias("cid")), ["key", "cid"]).select("key", F.col("root").alias("last_root"))
-        large = large.join(apart.select("key"), "key", "left_semi")
-    if apart.isEmpty():
-        return links
-    blocks = large.join(apart, "key").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    blocks = blocks.select("key", "own", "cid", "root", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    blocks = blocks.select("key", F.least("own", "other").alias("g1"), F.greatest("own", "other").alias("g2"), "own", "cid", "root").join(shingles, "cid")
-    met = blocks.repartition("key", "g1", "g2").sortWithinPartitions("key", "g1", "g2").mapInArrow(_linked(percent), "a long, b long")
-    return links.unionByName(saved(met.distinct(), "links"))
+    rows = saved(each.join(shared_keys(each), "key").join(sets, "cid"), "members")
+    return linked(rows, shingles, percent)
 
 
 def jaccard_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -246,26 +176,7 @@ def jaccard_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
     scan = saved(slim.mapInArrow(_scan(shingle, part_rate(percent)), f"doc_id {kind}, n long, h1 long, h2 long, part array<long>"), "scan")
     sets, shingles = candidates(slim, scan, shingle, percent)
     links = similar(sets.select("cid", "n"), shingles, percent)
-    # a set is named by the least document that has it, a component by the least of its sets' documents
-    name = ["n", "h1", "h2"]
-    named = scan.where("n > 0").groupBy(*name).agg(F.min("doc_id").alias("first_doc"))
-    roots = components(spark, links)
-    roots = saved(roots.unionByName(roots.select(F.col("root").alias("cid"), "root").distinct()).join(sets, "cid"), "roots")
-    least = roots.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    named = named.join(roots.join(least, "root").select(*name, "component_id"), name, "left")
-    named = saved(named.select(*name, F.coalesce("component_id", "first_doc").alias("component_id")), "named")
-    rows = scan.select("doc_id", *name).join(named, name, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    return _joined_by_ids(saved(rows, "rows"))
-
-
-def _joined_by_ids(rows: DataFrame) -> DataFrame:
-    """Components that a repeated id is in are one."""
-    several = rows.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("a"), F.max("component_id").alias("b")).where("a <> b")
-    if several.isEmpty():
-        return rows
-    both = rows.where("n_shingles > 0").join(several.select("doc_id", "a"), "doc_id").select("a", F.col("component_id").alias("b")).where("a <> b").distinct()
-    roots = components(rows.sparkSession, both).select(F.col("cid").alias("component_id"), F.col("root").alias("least"))
-    return rows.join(roots, "component_id", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("least", "component_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return named_sets(scan, sets, links)
 
 
 def op12(docs: DataFrame) -> DataFrame:

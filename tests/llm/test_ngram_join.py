@@ -6,8 +6,9 @@ import re
 import numpy as np
 import pytest
 
-from lectern.llm import ngram_join as J
 from lectern.llm import kernel as K
+from lectern.llm import neardup
+from lectern.llm import ngram_join as J
 
 SCHEMA = "doc_id long, text string, n string"
 
@@ -79,8 +80,8 @@ def test_similar_sets_share_a_signature(percent):
 def test_equals_all_pairs(spark, monkeypatch, n, percent, limits):
     monkeypatch.setattr(J, "RARE", limits[0])
     monkeypatch.setattr(J, "OFTEN", limits[1])
-    monkeypatch.setattr(J, "LISTED", limits[2])
-    monkeypatch.setattr(J, "BLOCK", 5)
+    monkeypatch.setattr(neardup, "LISTED", limits[2])
+    monkeypatch.setattr(neardup, "BLOCK", 5)
     rng = random.Random(n * percent)
     rows = []
     for k, (many, length, edits) in enumerate([(25, 60, 2), (12, 200, 6), (20, 12, 1), (9, 9, 1), (6, 4, 1), (5, 1, 1), (15, 90, 9)]):
@@ -102,3 +103,22 @@ def test_odd_rows_and_repeated_ids(spark):
     assert J.op12(spark.createDataFrame([], SCHEMA)).collect() == []
     with pytest.raises(ValueError):
         J.jaccard_join(spark.createDataFrame([], SCHEMA), 3, 40)
+
+
+@pytest.mark.parametrize("limits", [(8, 512), (2, 4)])
+def test_near_duplicates_equal_all_pairs_in_any_order(spark, monkeypatch, limits):
+    monkeypatch.setattr(neardup, "LISTED", limits[0])
+    monkeypatch.setattr(neardup, "BLOCK", limits[1])
+    rng = random.Random(limits[0])
+    x, y = " ".join(f"x{i}" for i in range(60)), " ".join(f"y{i}" for i in range(60))
+    # an id with two texts joins what each of them is near to
+    rows = [(3, x + " end"), (5, x), (5, y), (7, y + " end"), (None, x), (None, "nothing like it"), (9, None), (9, ""), (11, "One two"), (12, "one TWO")]
+    for k in range(3):
+        rows += family(rng, 100 * (k + 1), 25, 120, 3, 40)
+    wanted = plain(rows, 4, 80)
+    assert ("7", 58, 3) in wanted
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame([(*r, "z") for r in order], SCHEMA).repartition(3)
+        assert found(neardup.op5(docs)) == wanted
+    kept = [(r["doc_id"], r["text"]) for r in neardup.one_of_each(docs, 4, 80).collect()]
+    assert sorted(d for d, _ in kept if d is not None) == sorted({c for d, _, c in wanted if c is not None and d == str(c)}) and sum(d is None for d, _ in kept) == 2
