@@ -414,11 +414,14 @@ def classify_changes(spark, sf_dir):
     return incremental.classify(_files(spark, sf_dir), known, FILE_EXT).groupBy("change").agg(F.count("*").alias("files"))
 
 
-@query("""WITH i AS (SELECT o_orderstatus AS topic, o_orderkey * o_orderkey // 100 AS id FROM orders),
-s AS (SELECT topic, id // 1000 AS k, count(*) AS rows, max(id) AS max_id FROM i GROUP BY ALL),
-e AS (SELECT *, k - coalesce(lag(k) OVER (PARTITION BY topic ORDER BY k), -1) - 1 AS empty FROM s),
-c AS (SELECT *, max((empty >= 4)::INT) OVER (PARTITION BY topic ORDER BY k ROWS UNBOUNDED PRECEDING) AS cut FROM e)
-SELECT topic, (k * 1000)::BIGINT AS window_start, rows, (max_id + 1)::BIGINT AS next_id FROM c WHERE cut = 0""")
+@query("""WITH RECURSIVE i AS (SELECT o_orderstatus AS topic, o_orderkey * o_orderkey // 100 AS id FROM orders),
+w AS (
+  SELECT DISTINCT topic, 0::BIGINT AS next_id, 0::BIGINT AS gap, 0::BIGINT AS window_start, 0::BIGINT AS rows FROM i
+  UNION ALL
+  SELECT w.topic, coalesce(max(i.id) + 1, w.next_id), CASE WHEN count(i.id) = 0 THEN w.gap + 1 ELSE 0 END, w.next_id + w.gap * 1000, count(i.id)
+  FROM w LEFT JOIN i ON i.topic = w.topic AND i.id >= w.next_id + w.gap * 1000 AND i.id < w.next_id + w.gap * 1000 + 1000
+  WHERE w.gap <= 3 GROUP BY w.topic, w.next_id, w.gap)
+SELECT topic, window_start, rows, next_id FROM w WHERE rows > 0""")
 def keyset_windows(spark, sf_dir):
     ids = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("topic"), F.floor(F.col("o_orderkey") * F.col("o_orderkey") / 100).alias("id"))
     return incremental.windows(ids, 1000)
@@ -431,15 +434,16 @@ def day_replay(spark, sf_dir):
     return incremental.replay(changes, "day", "user_id", ["event_id"]).select("user_id", "event_type", "value", "day")
 
 
-@query("""WITH p AS (SELECT o_orderstatus AS mirror, strftime(o_orderdate, '%Y-%m-%d') AS snapshot_date, l_linenumber::BIGINT AS part FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
-s AS (SELECT mirror, snapshot_date, max(part) AS volumes, count(DISTINCT part) AS seen, min(part) AS least FROM p GROUP BY ALL)
-SELECT mirror, max(snapshot_date) AS snapshot_date, arg_max(volumes, snapshot_date) AS volumes FROM s WHERE least = 1 AND seen = volumes GROUP BY mirror""")
+@query("""WITH p AS (SELECT o_orderstatus AS mirror, strftime(date_trunc('year', o_orderdate), '%Y-%m-%d') AS snapshot_date, l_linenumber::BIGINT AS volume FROM orders JOIN lineitem ON l_orderkey = o_orderkey)
+SELECT snapshot_date, volume, min(mirror) AS mirror, 'dump_' || snapshot_date || '.part' || lpad(volume::VARCHAR, 2, '0') || '.rar' AS name
+FROM p WHERE snapshot_date = (SELECT max(snapshot_date) FROM p) GROUP BY ALL""")
 def snapshot_discovery(spark, sf_dir):
+    """The volumes of the newest day in all mirrors' listings (a year's orders are one snapshot); an error if one is missing."""
     from lectern.sources import discovery
 
     orders, items = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    name = F.concat(F.lit("dump_"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(".part"), F.lpad(F.col("l_linenumber").cast("string"), 2, "0"), F.lit(".rar"))
-    return discovery.newest(items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_orderstatus").alias("mirror"), name.alias("name")))
+    name = F.concat(F.lit("dump_"), F.date_format(F.trunc("o_orderdate", "year"), "yyyy-MM-dd"), F.lit(".part"), F.lpad(F.col("l_linenumber").cast("string"), 2, "0"), F.lit(".rar"))
+    return discovery.newest_volumes(items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_orderstatus").alias("mirror"), name.alias("name")))
 
 
 # --------------------------------------------------------------- scalars

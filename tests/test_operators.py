@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,7 +112,29 @@ def test_lowest_eligible(spark):
 def test_windows_and_days(spark):
     ids = spark.createDataFrame([("f", i) for i in (1, 5, 12, 45, 120)], "topic string, id long")
     got = incremental.windows(ids, 10)
-    assert keys(got, "window_start", "rows", "next_id") == [(0, 2, 6), (10, 1, 13), (40, 1, 46)]
+    # the next window begins behind the last id that was found, empty ones are a page wide
+    assert keys(got, "window_start", "rows", "next_id") == [(0, 2, 6), (43, 1, 46), (6, 1, 13)]
+    assert keys(incremental.windows(ids, 10, most_empty=8), "window_start", "rows", "next_id") == [(0, 2, 6), (116, 1, 121), (43, 1, 46), (6, 1, 13)]
+
+
+@pytest.mark.parametrize(("page", "walked"), [(1, 10**6), (3, 10**6), (10, 0), (64, 0)])
+def test_windows_equal_a_walk(spark, monkeypatch, page, walked):
+    monkeypatch.setattr(incremental, "WALKED", walked)
+    rng = random.Random(page)
+    ids = [(t, rng.choice([rng.randint(0, 60), rng.randint(0, 900), 300 + rng.randint(0, 40)])) for t in "fl" for _ in range(120)]
+    wanted = []
+    for t in "fl":
+        own, after, gap = [i for x, i in ids if x == t and i >= 7], 7, 0
+        while gap <= 3:
+            start = after + gap * page
+            found = [i for i in own if start <= i < start + page]
+            if not found:
+                gap += 1
+                continue
+            gap, after = 0, max(found) + 1
+            wanted.append((t, start, len(found), after))
+    got = incremental.windows(spark.createDataFrame(ids, "topic string, id long"), page, start=7)
+    assert sorted(map(tuple, got.select("topic", "window_start", "rows", "next_id").collect())) == sorted(wanted)
     days = spark.range(1).select(incremental.days_to_replay(F.lit("2024-01-01").cast("date"), F.lit("2024-01-10").cast("date")).alias("d")).first()["d"]
     assert (str(days[0]), str(days[-1]), len(days)) == ("2024-01-03", "2024-01-10", 8)
 
