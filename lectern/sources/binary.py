@@ -1,20 +1,24 @@
 """Reading legacy binary tables.
 
 Fixed-width tables are read in splits of whole records, decoded a column at a
-time. Tables of linked blocks are read one file a task: each block is a row, the
-blocks of a record are joined by doubling their pointers with equi-joins on the
-offset, and the records are unpacked where they then lie. Definitions and index headers are a few kilobytes,
+time. Tables of linked blocks are read in byte ranges, too: where blocks begin in
+each is found by following candidates and checked against the range before. The
+blocks of a record that lie in one range are put together there; the few others are
+joined by doubling their pointers with equi-joins on the offset, and the records are
+unpacked where they then lie. Definitions and index headers are a few kilobytes,
 parsed on the driver.
 """
 
 from __future__ import annotations
 
 import itertools
+import re
 import struct
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import PythonException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +31,8 @@ TEXTS = (15, 249, 250, 251, 252, 253, 254)
 NORMAL, END_SPACE, PRE_SPACE, ZERO, BLOB, VARCHAR, CHECK = 0, 1, 2, 3, 4, 8, 9
 #: Fixed-width records that are decoded at once.
 RUN = 32_768
+#: Bytes of a range of linked blocks, of what is read beyond it at once, and of its beginning that is searched for a block.
+RANGE, AHEAD, WINDOW = 32 << 20, 1 << 16, 1 << 12
 
 
 class TableError(ValueError):
@@ -208,55 +214,206 @@ BLOCKS = {
 }
 
 
+class Stretch:
+    """A file's bytes from ``lo`` on, read further as they are asked for."""
+
+    def __init__(self, uri: str, lo: int, hi: int, length: int):
+        from pyarrow import fs
+
+        system, path = fs.FileSystem.from_uri(f"file://{uri[5:]}" if uri.startswith("file:/") and not uri.startswith("file://") else uri)
+        self.lo, self.length = lo, length
+        self._file = system.open_input_file(path)
+        self._file.seek(lo)
+        self.data = self._file.read(min(hi + AHEAD, length) - lo)
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        self._file.close()
+
+    def __call__(self, at: int, end: int) -> bytes:
+        if end > self.length:
+            raise TableError(f"bad block length at {at}")
+        if end - self.lo > len(self.data):
+            self.data += self._file.read(max(end - self.lo - len(self.data), AHEAD))
+        return self.data[at - self.lo : end - self.lo]
+
+
+def block_at(read, pos: int):
+    """(first, record length, payload's place and size, pointer or None, following offset) of the block at ``pos``; first is None for a deleted one."""
+    kind = read(pos, pos + 1)[0]
+    if kind == 0:
+        size = int.from_bytes(read(pos + 1, pos + 4), "big")
+        if not size or pos + size > read.length:
+            raise TableError(f"bad block length at {pos}")
+        return None, 0, 0, 0, None, pos + size
+    if kind not in BLOCKS:
+        raise TableError(f"unknown block type {kind} at {pos}")
+    first, record, length, padding, pointed = BLOCKS[kind]
+    head = read(pos + 1, pos + 1 + record + length + padding + 8 * pointed)
+    whole, size = int.from_bytes(head[:record], "big"), int.from_bytes(head[record : record + length], "big")
+    pad = head[record + length] if padding else 0
+    pointer = int.from_bytes(head[record + length :], "big") if pointed else 2**64 - 1
+    at = pos + 1 + len(head)
+    if not size or at + size + pad > read.length:
+        raise TableError(f"bad block length at {pos}")
+    return first, (whole or size) if first else 0, at, size, None if pointer == 2**64 - 1 else pointer, at + size + pad
+
+
+class Held:
+    """Bytes that are at hand, read like a stretch of a file."""
+
+    def __init__(self, data: bytes):
+        self.data, self.length = data, len(data)
+
+    def __call__(self, at: int, end: int) -> bytes:
+        if end > self.length:
+            raise TableError(f"bad block length at {at}")
+        return self.data[at:end]
+
+
 def blocks_of(data: bytes):
     """(offset, first, record length, payload, pointer or the following offset) of every block in use."""
-    pos = 0
-    while pos < len(data):
-        kind, at = data[pos], pos + 1
-        if kind == 0:
-            size = int.from_bytes(data[at : at + 3], "big")
-            if not size or pos + size > len(data):
-                raise TableError(f"bad block length at {pos}")
-            pos += size
+    read, at = Held(data), 0
+    while at < len(data):
+        first, record, place, size, pointer, following = block_at(read, at)
+        if first is not None:
+            yield at, first, record, read(place, place + size), following if pointer is None else pointer
+        at = following
+
+
+def _enter(read, lo: int, hi: int) -> tuple[list[int], int | None]:
+    """Places near ``lo`` from which blocks follow each other up to ``hi``, those of the chain that most lead to, and where it goes on behind ``hi``."""
+    chains: dict[int, list[int]] = {}
+    leads: dict[int, int] = {}
+    for start in range(lo, min(hi, lo + WINDOW)):
+        at, path = start, []
+        try:
+            while at < hi and at not in leads:
+                path.append(at)
+                at = block_at(read, at)[-1]
+        except TableError:
             continue
-        if kind not in BLOCKS:
-            raise TableError(f"unknown block type {kind} at {pos}")
-        first, record, length, padding, pointed = BLOCKS[kind]
-        whole = int.from_bytes(data[at : at + record], "big")
-        at += record
-        size = int.from_bytes(data[at : at + length], "big")
-        at += length
-        pad = data[at] if padding else 0
-        at += padding
-        pointer = int.from_bytes(data[at : at + 8], "big") if pointed else 2**64 - 1
-        at += 8 * pointed
-        if not size or at + size + pad > len(data):
-            raise TableError(f"bad block length at {pos}")
-        following = at + size + pad
-        yield pos, first, (whole or size) if first else 0, data[at : at + size], following if pointer == 2**64 - 1 else pointer
-        pos = following
+        out = leads.get(at, at)
+        leads.update((x, out) for x in path)
+        chains.setdefault(out, []).append(start)
+    if not chains:
+        return [], None
+    out = max(chains, key=lambda x: len(chains[x]))
+    return chains[out], out
+
+
+def _follow(read, at: int, hi: int) -> int:
+    while at < hi:
+        at = block_at(read, at)[-1]
+    return at
+
+
+def ranges(spark: SparkSession, path: str, size: int = 0) -> list[tuple[str, int, int, int]]:
+    """(file, length, start, end) of the ranges that files are read in."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = []
+    for status in system.globStatus(hadoop) or []:
+        for f in system.listStatus(status.getPath()) if status.isDirectory() else [status]:
+            if f.isFile() and f.getLen() and not f.getPath().getName().startswith(("_", ".")):
+                files.append((f.getPath().toString(), f.getLen()))
+    size = size or RANGE
+    return [(uri, n, lo, min(lo + size, n)) for uri, n in sorted(files) for lo in range(0, n, size)]
+
+
+def entries(spark: SparkSession, parts: list[tuple[str, int, int, int]]) -> list[tuple[str, int, int, int, int]]:
+    """(file, length, start, end, first block's place) of the ranges that blocks begin in.
+
+    Where a block begins is known from the one before only. Each range's task finds the places near its start that a
+    chain of blocks may be entered at, and where that chain leaves it; the ranges are then put in order by these few
+    numbers, and one whose true entry isn't among its places is walked again from there."""
+
+    def look(batches):
+        for batch in batches:
+            rows = []
+            for uri, n, lo, hi, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with Stretch(uri, lo, hi, n) as read:
+                    rows.append((uri, lo, *(([at], _follow(read, at, hi)) if at is not None else _enter(read, lo, hi))))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.int64())], ["file", "lo", "at", "out"])
+
+    found: dict[tuple[str, int], tuple[list[int], int | None]] = {}
+    todo = [(*p, 0 if p[2] == 0 else None) for p in parts]
+    while todo:
+        frame = spark.createDataFrame(todo, "file string, n long, lo long, hi long, at long").repartition(len(todo))
+        for r in frame.mapInArrow(look, "file string, lo long, at array<long>, out long").collect():  # a few numbers a range
+            found[r["file"], r["lo"]] = (list(r["at"]), r["out"])
+        out, todo, at, stopped = [], [], {}, set()
+        for uri, n, lo, hi in parts:
+            here = at.get(uri, 0)
+            if uri in stopped or here >= hi:
+                continue
+            if here not in found[uri, lo][0]:
+                todo.append((uri, n, lo, hi, here))
+                stopped.add(uri)
+                continue
+            out.append((uri, n, lo, hi, here))
+            at[uri] = found[uri, lo][1]
+    return out
 
 
-def read_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """file, at, first, record_size, payload, next: a row per block in use."""
+def _pieces(read, at: int, hi: int):
+    """(at, first, record size, payload, next) of the blocks from ``at`` to ``hi``, those of a record put together as far as they lie here."""
+    heads, rest = [], {}
+    while at < hi:
+        first, record, place, size, pointer, following = block_at(read, at)
+        if first:
+            heads.append((at, record, read(place, place + size), following if pointer is None else pointer))
+        elif first is not None:
+            rest[at] = (read(place, place + size), following if pointer is None else pointer)
+        at = following
+    used = set()
+
+    def onward(start: int, have: list[bytes], to: int, enough: int | None):
+        n = sum(map(len, have))
+        while (enough is None or n < enough) and to in rest:
+            if to in used:
+                raise TableError(f"two records meet in the block at {to}")
+            used.add(to)
+            part, then = rest[to]
+            have.append(part)
+            n, to = n + len(part), then
+        if enough is not None and n > enough:
+            raise TableError(f"more bytes than the record has at {start}")
+        return b"".join(have), to
+
+    for start, record, payload, to in heads:
+        whole, to = onward(start, [payload], to, record)
+        yield start, True, record, whole, to
+    # what records of other ranges may go on with, block by block: they may end or meet in any of them
+    for start in sorted(rest.keys() - used):
+        yield start, False, 0, *rest[start]
+
+
+def read_blocks(spark: SparkSession, path: str, range_size: int = 0) -> DataFrame:
+    """file, at, first, record_size, payload, next: the blocks in use, in ranges of files; a record's blocks that lie in one range are one."""
     ship(spark)
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
     schema = pa.schema([("file", pa.string()), ("at", pa.int64()), ("first", pa.bool_()), ("record_size", pa.int64()), ("payload", pa.binary()), ("next", pa.int64())])
 
     def run(batches):
         for batch in batches:
-            for name, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                rows = [(name, *b) for b in blocks_of(data)]
+            for uri, n, lo, hi, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with Stretch(uri, lo, hi, n) as read:
+                    rows = [(uri, *p) for p in _pieces(read, at, hi)]
                 yield pa.RecordBatch.from_pydict({f.name: [r[i] for r in rows] for i, f in enumerate(schema)}, schema)
 
-    return files.mapInArrow(run, "file string, at long, first boolean, record_size long, payload binary, next long")
+    parts = entries(spark, ranges(spark, path, range_size))
+    frame = spark.createDataFrame(parts, "file string, n long, lo long, hi long, at long")
+    return frame.repartition(max(1, len(parts))).mapInArrow(run, "file string, at long, first boolean, record_size long, payload binary, next long")
 
 
-def read_linked(spark: SparkSession, path: str) -> DataFrame:
+def read_linked(spark: SparkSession, path: str, range_size: int = 0) -> DataFrame:
     """file, at, record: the records of a table of linked blocks, their parts joined by pointer.
 
-    Pointers are doubled until the longest record is covered, then every record
-    is divided into its blocks, half by half; both take the logarithm of the
+    Most records lie in one range of their file and are whole when it is read. Of
+    the others, pointers are doubled until the longest record is covered, then every
+    record is divided into its blocks, half by half; both take the logarithm of the
     most parts in steps. Each part adds a byte at least, so this ends."""
 
     def saved(df: DataFrame, tag: str) -> DataFrame:
@@ -264,7 +421,12 @@ def read_linked(spark: SparkSession, path: str) -> DataFrame:
         df.write.parquet(where)
         return spark.read.schema(df.schema).parquet(where)
 
-    blocks = saved(read_blocks(spark, path), "blocks")
+    try:
+        blocks = saved(read_blocks(spark, path, range_size), "blocks")
+    except PythonException as e:
+        # what a task found wrong with the table
+        said = re.search(r"TableError: (.*)", str(e))
+        raise (TableError(said[1]) if said else e) from e
 
     def exactly(record, found, at: str):
         return F.when(found == F.col("record_size"), record).otherwise(F.raise_error(F.concat(F.lit("more bytes than the record has at "), F.col(at).cast("string"))))
