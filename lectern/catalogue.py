@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.operators import index, maintain, rank, search, stage
-from lectern.sources import api_pages, sqldump
+from lectern.sources import api_pages, binary, sqldump
 from lectern.streaming import incremental
 
 #: Results that are ranked before the rest is appended in the order of relevance.
@@ -120,6 +120,16 @@ class Catalogue:
         tables = {n: sqldump.read_dump(self.spark, path, n, [own.get(c, c) for c in columns], defined=defined, with_place=True).toDF(*columns, *sqldump.PLACE) for n, columns in COLUMNS.items() if n != "elem_descr"}
         return self.import_tables(tables, source)
 
+    def import_binary(self, folder: str, source: str, prefix: str = "") -> dict:
+        """Imports binary tables, three files each. A table with fewer or more rows than its index says is an error, and the books stay as they are."""
+        own, tables = {"topic": f"{prefix}topic", "main_id": f"{prefix}id"} if prefix else {}, {}
+        for name, columns in COLUMNS.items():
+            if name == "elem_descr":
+                continue
+            rows, layout = binary.read_table(self.spark, folder, name, [own.get(c, c) for c in columns], stage.VALUE_BYTES if name == "editions_add_descr" else None)
+            tables[name] = binary.check_rows(stage.frozen(rows.select(*[own.get(c, c) for c in columns]).toDF(*columns)), layout)
+        return self.import_tables(tables, source)
+
     def changed_books(self, file_pages: DataFrame, edition_pages: DataFrame, sources: dict[str, str], prefix: str = "") -> tuple[DataFrame, DataFrame]:
         """(removals, upserts) of pages of changed files and of their editions. sources: topic to source; prefix: of the topic field."""
         r = F.col("record")

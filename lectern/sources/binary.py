@@ -33,6 +33,8 @@ NORMAL, END_SPACE, PRE_SPACE, ZERO, BLOB, VARCHAR, CHECK = 0, 1, 2, 3, 4, 8, 9
 RUN = 32_768
 #: Bytes of a range of linked blocks, of what is read beyond it at once, and of its beginning that is searched for a block.
 RANGE, AHEAD, WINDOW = 32 << 20, 1 << 16, 1 << 12
+#: Bytes of a definition or index that are looked at.
+HEADER = 1 << 20
 
 
 class TableError(ValueError):
@@ -541,6 +543,35 @@ def read_rows(spark: SparkSession, path: str, columns: list[ColumnDef], layout:
     return read_linked(spark, path).select("record").mapInArrow(decode, ddl(wanted))
 
 
+def describe(spark: SparkSession, folder: str, name: str) -> tuple[list[ColumnDef], Layout, str]:
+    """Columns, layout and data file of the table ``name``, from its definition and the beginning of its index."""
+    files = {}
+    for ending in ("frm", "MYI", "MYD"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name}.{ending}")
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not system.exists(path):
+            raise TableError(f"no {name}.{ending} in {folder}")
+        files[ending] = (system.makeQualified(path).toString(), system.getFileStatus(path).getLen())
+
+    def beginning(ending: str) -> bytes:
+        with Stretch(files[ending][0], 0, HEADER, files[ending][1]) as read:
+            return read.data
+
+    return parse_definition(beginning("frm")), parse_index_header(beginning("MYI")), files["MYD"][0]
+
+
+def read_table(spark: SparkSession, folder: str, name: str, select: list[str] | None = None, value_limit: int | None = None) -> tuple[DataFrame, Layout]:
+    """Rows of a table by its three files, and its layout. value_limit: of a column's bytes, padding included, beyond which a value is null."""
+    columns, layout, path = describe(spark, folder, name)
+    if layout.linked:
+        return read_rows(spark, path, columns, layout, select, value_limit), layout
+    rows = read_fixed(spark, path, columns, layout, select)
+    if value_limit is not None:
+        wide = {c.name for c in columns if c.length > value_limit}
+        rows = rows.select(*[F.lit(None).cast(t).alias(c) if c in wide else F.col(c) for c, t in rows.dtypes])
+    return rows, layout
+
+
 def check_rows(df: DataFrame, layout: Layout) -> DataFrame:
     """The rows, if they are as many as the header says."""
     n = df.count()
