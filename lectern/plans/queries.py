@@ -446,6 +446,19 @@ def snapshot_discovery(spark, sf_dir):
     return discovery.newest_volumes(items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_orderstatus").alias("mirror"), name.alias("name")))
 
 
+@query("""WITH p AS (SELECT event_type AS listing, event_id // 1000 AS page, user_id AS id, event_id AS value FROM events),
+f AS (SELECT listing, id, min(page) AS page FROM p GROUP BY ALL), w AS (SELECT listing, page, count(*) AS news FROM f GROUP BY ALL),
+n AS (SELECT listing, page, count(DISTINCT id) AS n FROM p GROUP BY ALL),
+e AS (SELECT listing, min(page) AS stop FROM n LEFT JOIN w USING (listing, page) WHERE n < 100 OR news IS NULL GROUP BY listing)
+SELECT listing, id, arg_max(value, (page, value)) AS value FROM p LEFT JOIN e USING (listing) WHERE stop IS NULL OR page <= stop GROUP BY listing, id""")
+def paged_listing(spark, sf_dir):
+    """A thousand events are a page of each type's listing of users; a walk ends at a short page or one without a new user."""
+    from lectern.streaming import sync
+
+    recorded = table(spark, sf_dir, "events").select(F.col("event_type").alias("listing"), F.expr("event_id div 1000").alias("page"), F.col("user_id").alias("id"), F.col("event_id").alias("value"))
+    return sync.listed(recorded, 100)
+
+
 # --------------------------------------------------------------- scalars
 
 

@@ -7,18 +7,18 @@ from pyspark.sql import functions as F
 
 from lectern.sources import api_pages, binary, discovery, sqldump
 
-DUMP = r"""CREATE TABLE `skip` (
-  `a` int,
+DUMP = r"""CREATE TABLE `shelves` (
+  `place` int,
 );
-INSERT INTO `skip` VALUES (1),(2);
-CREATE TABLE `t` (
-  `id` int NOT NULL,
-  `name` varchar(20),
-  `x` decimal(5,1),
-  PRIMARY KEY (`id`)
+INSERT INTO `shelves` VALUES (40),(41),(42);
+CREATE TABLE `loans` (
+  `loan` int NOT NULL,
+  `reader` varchar(20),
+  `fee` decimal(5,2),
+  PRIMARY KEY (`loan`)
 );
-INSERT INTO `t` VALUES (1,'it\'s, ok',NULL),(2,'a''b\\',-3.5);
-INSERT INTO `t` VALUES (3,'\0\n\r\t\b\Z\q',null);
+INSERT INTO `loans` VALUES (17,'O\'Hara; Lee',12.75),(18,'\\ ''quoted''',-0.5),(19,'',NULL);
+INSERT INTO `loans` VALUES (20,'\0\n\r\t\b\Z\y',Null);
 """
 
 
@@ -28,22 +28,22 @@ def write(path, text):
 
 
 def test_dump_values(spark, tmp_path):
-    rows = sqldump.read_dump(spark, write(tmp_path / "d.sql", DUMP), "t").orderBy("id").collect()
-    assert [tuple(r) for r in rows] == [("1", "it's, ok", None), ("2", "a'b\\", "-3.5"), ("3", "\0\n\r\t\b\x1aq", None)]
+    rows = sqldump.read_dump(spark, write(tmp_path / "d.sql", DUMP), "loans").orderBy("loan").collect()
+    assert [tuple(r) for r in rows] == [("17", "O'Hara; Lee", "12.75"), ("18", "\\ 'quoted'", "-0.5"), ("19", "", None), ("20", "\0\n\r\t\b\x1ay", None)]
 
 
 def test_dump_raw_carriage_return_columns_and_limit(spark, tmp_path):
-    path = write(tmp_path / "d.sql", DUMP.replace("it\\'s", "a\rb"))
-    assert sqldump.read_dump(spark, path, "t", ["name"]).filter("name like 'a\rb%'").count() == 1
-    assert sqldump.read_dump(spark, path, "t", ["x", "id"]).columns == ["x", "id"]
-    assert sqldump.read_dump(spark, path, "t", limit=2).count() == 2
+    path = write(tmp_path / "d.sql", DUMP.replace("O\\'H", "a\rb"))
+    assert sqldump.read_dump(spark, path, "loans", ["reader"]).filter("reader like 'a\rb%'").count() == 1
+    assert sqldump.read_dump(spark, path, "loans", ["fee", "loan"]).columns == ["fee", "loan"]
+    assert sqldump.read_dump(spark, path, "loans", limit=2).count() == 2
 
 
 def test_dump_errors(spark, tmp_path):
     with pytest.raises(sqldump.DumpError):
         sqldump.read_dump(spark, write(tmp_path / "a.sql", "INSERT INTO `t` VALUES (1);\n"), "t")
     with pytest.raises(sqldump.DumpError):
-        sqldump.read_dump(spark, write(tmp_path / "b.sql", DUMP), "t", ["nope"])
+        sqldump.read_dump(spark, write(tmp_path / "b.sql", DUMP), "loans", ["nope"])
     for line in ("INSERT INTO `t` VALUES (1,'x", "INSERT INTO `t` VALUES (1", "INSERT INTO `t` VALUES 1"):
         with pytest.raises(sqldump.DumpError):
             list(sqldump.tuples(line, 2))
