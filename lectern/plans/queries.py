@@ -285,6 +285,26 @@ def model_calibrate(spark, sf_dir):
     return rank.calibrate(answers).select("doc_id", "query_id", F.round("relevance", 6).alias("relevance"), F.round("genuine", 6).alias("genuine"))
 
 
+@query(BOOKS_SQL + """,
+m AS (SELECT *, doc_id % 2 = 0 AND doc_id % 5 <> 0 AS by_model, doc_id % 7 / 6 AS rel, doc_id % 3 / 2 AS gen FROM h)
+SELECT query_id, doc_id, by_model, round(CASE WHEN by_model THEN (0.3 * bm25n + 0.35 * rel + 0.35 * ereader) * (0.6 + 0.4 * gen) ELSE (0.65 * bm25n + 0.35 * ereader) * (0.6 + 0.4 * genuine) END, 6) AS score FROM m""")
+def cached_answers(spark, sf_dir):
+    """Parts with even numbers are asked about first, and some aren't answered; while the model is left alone for that, all parts are ranked by what is there."""
+    from lectern.operators.answers import Answers
+
+    def ask(requests, _):
+        n = F.col("doc_id")
+        return requests.select("key", F.when(n % 5 != 0, n % 7 / 6).alias("relevance"), (n % 3 / 2).alias("genuine"))
+
+    books = _books(spark, sf_dir)
+    requests = books.select("query_id", "doc_id", Answers.key(F.col("query_id"), F.col("doc_id").cast("string")).alias("key"))
+    answers = Answers(spark, _folder(spark, "answers"), ask, clock=lambda: 1000.0)
+    answers.of(requests.where("doc_id % 2 = 0"))
+    told = answers.of(requests).where("relevance is not null").select("query_id", "doc_id", "relevance", "genuine")
+    ranked = rank.rerank(books, window=1_000_000, limit=1_000_000, answers=told)
+    return ranked.join(told.select("query_id", "doc_id", F.lit(True).alias("by_model")), ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.coalesce("by_model", F.lit(False)).alias("by_model"), F.round("score", 6).alias("score"))
+
+
 # --------------------------------------------------------------- staging
 
 TOPIC = "CASE p_type WHEN 'ECONOMY' THEN 'f' WHEN 'SMALL' THEN 'l' WHEN 'PROMO' THEN 'a' ELSE 's' END"
