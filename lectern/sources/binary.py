@@ -410,6 +410,31 @@ def read_blocks(spark: SparkSession, path: str, range_size: int = 0) -> DataFram
     return frame.repartition(max(1, len(parts))).mapInArrow(run, "file string, at long, first boolean, record_size long, payload binary, next long")
 
 
+def scan_statistics(spark: SparkSession, path: str, range_size: int = 0) -> DataFrame:
+    """file, records, fragmented_records, continuation_blocks, deleted_blocks, bytes of tables of linked blocks, from the blocks' heads."""
+    ship(spark)
+    names = ["records", "fragmented_records", "continuation_blocks", "deleted_blocks", "bytes"]
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for uri, n, lo, hi, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                counts, start = [0] * 4, at
+                with Stretch(uri, lo, hi, n) as read:
+                    while at < hi:
+                        first, record, _, size, _, at = block_at(read, at)
+                        counts[0] += first is True
+                        counts[1] += first is True and size < record
+                        counts[2] += first is False
+                        counts[3] += first is None
+                rows.append((uri, *counts, at - start))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), *(pa.array([r[i + 1] for r in rows], pa.int64()) for i in range(5))], ["file", *names])
+
+    parts = entries(spark, ranges(spark, path, range_size))
+    frame = spark.createDataFrame(parts, "file string, n long, lo long, hi long, at long").repartition(max(1, len(parts)))
+    return frame.mapInArrow(run, "file string, " + ", ".join(f"{n} long" for n in names)).groupBy("file").agg(*[F.sum(n).alias(n) for n in names])
+
+
 def read_linked(spark: SparkSession, path: str, range_size: int = 0) -> DataFrame:
     """file, at, record: the records of a table of linked blocks, their parts joined by pointer.
 

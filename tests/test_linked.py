@@ -72,3 +72,13 @@ def test_a_wrong_block_in_any_range_is_an_error(spark, tmp_path):
     (tmp_path / "t.myd").write_bytes(good + b"\x0f" + good)
     with pytest.raises(Exception, match="unknown block type 15|bad block length"):
         binary.read_linked(spark, str(tmp_path / "t.myd"), 300).collect()
+
+
+@pytest.mark.parametrize("range_size", [60, 1 << 20])
+def test_scan_statistics(spark, tmp_path, range_size):
+    gone = b"\0" + (24).to_bytes(3, "big") + bytes(20)
+    data = b"".join(block(1, b"whole record") + block(13, b"abcd", 12) + block(12, b"efgh") + block(7, b"ijkl") + gone for _ in range(20))
+    (tmp_path / "s.myd").write_bytes(data)
+    found = binary.scan_statistics(spark, str(tmp_path / "s.myd"), range_size).collect()
+    assert [tuple(r)[1:] for r in found] == [(40, 20, 40, 20, len(data))]
+    assert binary.read_linked(spark, str(tmp_path / "s.myd"), range_size).count() == 40
