@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,14 +31,21 @@ from . import kernel as K
 from .common import saved, ship
 
 BUCKETS = 16_384
-#: Languages that one pass over the texts scores. Every language that occurs is told apart.
-LANGUAGES = 64
+#: Languages and (language, bucket) counts that the driver and each task hold, 12 bytes a count; more are an error.
+MOST_LANGUAGES, MOST_COUNTS = 10_000, 20_000_000
+#: Up to so many languages, tasks keep log-probabilities as a table; with more, they look up the languages that have a bucket, so many entries at once.
+WHOLE_TABLE, BLOCK = 64, 2_000_000
+#: Cells of a matrix of rows and languages.
+MATRIX = 1_000_000
+#: A text's posterior below this isn't added to sums: 10^12 rows of it would come to less than what a level lends.
+LEAST = 1e-30
 #: Trigrams overlap, so a text's log-likelihood counts by this share. It is a mean over the text from so many trigrams on:
 #: a longer text says no more about its language, and what its markup and host say must not drown in it.
 TEMPER, ENOUGH = 0.3, 2_000
 #: Pseudo-counts: that a level of the hierarchy lends the one below, and of declarations and addresses that are right.
 LENT, AGREE = 5.0, 5.0
-BROADCAST_HOSTS = 100_000
+#: (key, language) sums that are broadcast, 12 bytes each; more are joined by shuffle.
+BROADCAST_CELLS = 3_000_000
 COUNTRY = {"uk": "en", "us": "en", "au": "en", "at": "de", "ch": "de", "mx": "es", "ar": "es"}
 
 
@@ -64,44 +72,55 @@ def _trained(batches):
 
 
 class TextModel:
-    """Bucket counts of every language, sparse until a task makes a group's table of them."""
-
-    def __init__(self, langs: list[str], counts: list[tuple[np.ndarray, np.ndarray]]):
-        self.langs, self.counts = langs, counts  # (buckets, counts) per language
-        self._logs: np.ndarray | None = None
-
-    def groups(self) -> list[TextModel]:
-        """Models of a bounded number of languages, in order."""
-        return [TextModel(self.langs[k : k + LANGUAGES], self.counts[k : k + LANGUAGES]) for k in range(0, len(self.langs), LANGUAGES)]
-
-    @property
-    def logs(self) -> np.ndarray:
-        """A row of bucket log-probabilities per language."""
-        if self._logs is None:
-            table = np.full((len(self.langs), BUCKETS), 0.5)
-            for k, (at, n) in enumerate(self.counts):
-                table[k, at] += n
-            self._logs = np.log(table / table.sum(1, keepdims=True))
-        return self._logs
+    """Bucket counts of every language, sparse: for each bucket, the languages that have it."""
+
+    def __init__(self, langs: list[str], lang: np.ndarray, bucket: np.ndarray, n: np.ndarray):
+        self.langs, self.number = langs, {x: k for k, x in enumerate(langs)}
+        order = np.lexsort((lang, bucket))
+        self.lang, self.at = lang[order].astype(np.int32), np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
+        total = np.bincount(lang, n, len(langs)) + 0.5 * BUCKETS
+        # log-probability of a bucket that the language lacks, and what it gains in one that the language has
+        self.least, self.gain = np.log(0.5 / total), np.log((n[order] + 0.5) / 0.5)
+        self._table: np.ndarray | None = None
 
     def likelihoods(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Tempered log-likelihood of each text, a column per language."""
         code, text = trigrams(data, at)
-        n = np.bincount(text, minlength=len(at) - 1)
-        sums = np.stack([np.bincount(text, row[code], minlength=len(at) - 1) for row in self.logs], 1) if len(self.langs) else np.zeros((len(at) - 1, 0))
+        texts, n = len(at) - 1, np.bincount(text, minlength=len(at) - 1)
+        sums = n[:, None] * self.least
+        if len(self.langs) <= WHOLE_TABLE:
+            if self._table is None:
+                self._table = np.zeros((len(self.langs), BUCKETS))
+                self._table[self.lang, np.repeat(np.arange(BUCKETS), np.diff(self.at))] = self.gain
+            for k, row in enumerate(self._table):
+                sums[:, k] += np.bincount(text, row[code], texts)
+        else:
+            pair, often = np.unique(text * BUCKETS + code, return_counts=True)
+            size = np.diff(self.at)[pair % BUCKETS]
+            cut = np.unique(np.searchsorted(np.cumsum(size), np.arange(0, size.sum(), BLOCK), "right"))
+            for i, j in zip(cut, [*cut[1:], len(pair)], strict=False):
+                owner, from_ = np.repeat(np.arange(i, j), size[i:j]), self.at[pair[i:j] % BUCKETS]
+                entry = np.arange(len(owner)) + np.repeat(from_ - np.cumsum(size[i:j]) + size[i:j], size[i:j])
+                first = pair[i] // BUCKETS
+                held = pair[j - 1] // BUCKETS - first + 1
+                cell = (pair[owner] // BUCKETS - first) * len(self.langs) + self.lang[entry]
+                sums[first : first + held] += np.bincount(cell, often[owner] * self.gain[entry], held * len(self.langs)).reshape(held, len(self.langs))
         return sums * (TEMPER * np.minimum(1, ENOUGH / np.maximum(n, 1)))[:, None]
 
 
 def text_model(docs: DataFrame) -> TextModel:
-    """Counts over all documents with a language."""
+    """Counts over all documents with a language. More languages or counts than the driver is to hold are an error."""
     ship(docs.sparkSession)
     counts = saved(docs.where("lang is not null").select("lang", "text").mapInArrow(_trained, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "trigrams")
-    found: dict[str, tuple[list, list]] = {}
-    for r in counts.toLocalIterator():  # at most BUCKETS rows a language
-        at, n = found.setdefault(r[0], ([], []))
-        at.append(r[1])
-        n.append(r[2])
-    langs = sorted(found)
-    return TextModel(langs, [(np.array(found[x][0], np.int32), np.array(found[x][1], np.int64)) for x in langs])
+    size = counts.agg(F.count("*"), F.count_distinct("lang")).first()
+    spoken = docs.where("lang is not null").select("lang").distinct().limit(MOST_LANGUAGES + 1).toArrow().column(0).to_pylist()
+    if len(spoken) > MOST_LANGUAGES or size[0] > MOST_COUNTS:
+        raise ValueError(f"{len(spoken)} languages with {size[0]} trigram counts; at most {MOST_LANGUAGES} and {MOST_COUNTS} are told apart")
+    langs = sorted(spoken) if size[1] else []
+    number, found = {x: k for k, x in enumerate(langs)}, counts.toArrow()
+    names = found.column("lang").combine_chunks().dictionary_encode()
+    lang = np.array([number[x] for x in names.dictionary.to_pylist()], np.int64)[names.indices.to_numpy()] if found.num_rows else np.zeros(0, np.int64)
+    return TextModel(langs, lang, found.column("bucket").to_numpy(), found.column("n").to_numpy())
 
 
 def visible(html: Column) -> Column:
@@ -125,76 +144,146 @@ def document_evidence(docs: DataFrame) -> DataFrame:
     return docs.select(F.lit("documents").alias("table"), F.col("doc_id").try_cast("long").alias("id"), F.col("source").alias("host"), none.alias("domain"), none.alias("declared"), none.alias("suffix"), "text")
 
 
+def _softmax(logs: np.ndarray) -> np.ndarray:
+    p = np.exp(logs - logs.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
+
+
+def _runs(n: int, langs: int):
+    """(first, end) of runs of rows of which a matrix with all languages is of bounded size."""
+    step = max(1, MATRIX // max(1, langs))
+    return ((i, min(n, i + step)) for i in range(0, n, step))
+
+
+def _scored(model: TextModel):
+    """Replaces the text by its log-likelihoods, and a declaration that is no known language by none."""
+
+    def run(batches):
+        for batch in batches:
+            names = batch.schema.names[:-1]
+            for a, b, data, at in K.chunks(batch.column("text")):
+                for i, j in _runs(b - a, len(model.langs)):
+                    ll = model.likelihoods(data[at[i] : at[j]], at[i : j + 1] - at[i])
+                    given = {c: batch.column(c).slice(a + i, j - i) for c in names}
+                    given["declared"] = pa.array([x if x in model.number else "" for x in given["declared"].to_pylist()], pa.string())
+                    for c in ("host", "domain", "suffix"):
+                        given[c] = pc.fill_null(given[c], "")
+                    yield pa.RecordBatch.from_arrays([*given.values(), pa.ListArray.from_arrays(np.arange(j - i + 1, dtype=np.int32) * ll.shape[1], pa.array(ll.ravel()))], [*names, "ll"])
+
+    return run
+
+
+#: What posteriors are summed up by.
+LEVELS = (("host", ("table", "domain", "host")), ("declared", ("table", "declared")), ("suffix", ("table", "suffix")))
+
+
+def _summed(n: int):
+    """(level, table, a, b, lang, s): sums of text-only posteriors by key and language, and, as language -1, numbers of rows."""
+
+    def run(batches):
+        for batch in batches:
+            ll = batch.column("ll").flatten().to_numpy().reshape(-1, n)
+            for i, j in _runs(batch.num_rows, n):
+                p = _softmax(ll[i:j])
+                p[p < LEAST] = 0
+                for level, columns in LEVELS:
+                    code, names = np.zeros(j - i, np.int64), []
+                    for c in columns:
+                        d = batch.column(c).slice(i, j - i).dictionary_encode()
+                        code = code * len(d.dictionary) + d.indices.to_numpy()
+                        names.append(batch.column(c).slice(i, j - i))
+                    _, first, key = np.unique(code, return_index=True, return_inverse=True)
+                    order = np.argsort(key, kind="stable")
+                    sums = np.add.reduceat(p[order], np.searchsorted(key[order], np.arange(len(first))), axis=0)
+                    k, lang = np.nonzero(sums)
+                    at = pa.array(first[np.concatenate([np.arange(len(first)), k])])
+                    keys = [x.take(at) for x in names] + [pa.array([""] * len(at))] * (3 - len(names))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([level] * len(at)), *keys, pa.array(np.concatenate([np.full(len(first), -1), lang]).astype(np.int32)), pa.array(np.concatenate([np.bincount(key).astype(float), sums[k, lang]]))],
+                        ["level", "table", "a", "b", "lang", "s"])
+
+    return run
+
+
+def _dense(langs: pa.Array, sums: pa.Array, n: int) -> np.ndarray:
+    """A row of n sums for each list of languages and their sums."""
+    out = np.zeros((len(langs), n))
+    out[K.owners(np.asarray(langs.offsets)), langs.flatten().to_numpy()] = sums.flatten().to_numpy()
+    return out
+
+
+def _fused(langs: list[str], tables: dict[str, tuple[np.ndarray, float]]):
+    """Adds up the logarithms of all evidence. tables: sums of text-only posteriors and number of rows of each table."""
+    n, names = len(langs), np.array(langs, object)
+    number = {x: k for k, x in enumerate(langs)}
+    totals = np.stack([s for s, _ in tables.values()])
+    counts = np.array([c for _, c in tables.values()])
+    place = {t: k for k, t in enumerate(tables)}
+
+    def smoothed(own: np.ndarray, above: np.ndarray) -> np.ndarray:
+        return (own + LENT * above) / (own.sum(1, keepdims=True) + LENT)
+
+    every = smoothed(totals, np.full_like(totals, 1 / n))
+
+    def own_name(column: pa.Array) -> np.ndarray:
+        """AGREE where the column names the language."""
+        out = np.zeros((len(column), n))
+        hit = [(i, number[x]) for i, x in enumerate(column.to_pylist()) if x in number]
+        if hit:
+            out[tuple(np.array(hit).T)] = AGREE
+        return out
+
+    def run(batches):
+        for batch in batches:
+            for i, j in _runs(batch.num_rows, n):
+                part = {c: batch.column(c).slice(i, j - i) for c in batch.schema.names}
+                part = {c: pa.concat_arrays([x]) if pa.types.is_list(x.type) else x for c, x in part.items()}
+                sums = {c: _dense(part[f"{c}_lang"], part[f"{c}_s"], n) for c in ("domain", "host", "declared", "suffix")}
+                ll = part["ll"].flatten().to_numpy().reshape(-1, n)
+                t = np.array([place[x] for x in part["table"].to_pylist()], np.int64)
+                logs = ll + np.log(smoothed(sums["host"], smoothed(sums["domain"], every[t])))
+                # a declaration is a language that occurs, or none; any suffix that is unseen with a language counts by its share of all rows
+                logs += np.log(sums["declared"] + 0.5 + own_name(part["declared"])) - np.log(totals[t] + AGREE + 0.5 * (n + 1))
+                logs += np.log(sums["suffix"] + own_name(part["suffix"]) + (part["suffix_rows"].to_numpy() / counts[t])[:, None]) - np.log(totals[t] + AGREE + 1)
+                p = _softmax(logs)
+                told = ll.max(1) > ll.min(1)
+                yield pa.RecordBatch.from_arrays(
+                    [part["table"], part["id"], pa.array(names[p.argmax(1)], pa.string()), pa.array(p.max(1)), pa.array(np.where(told, names[ll.argmax(1)], None), pa.string())],
+                    ["table", "id", "lang", "confidence", "text_lang"])
+
+    return run
+
+
 def identify(rows: DataFrame, model: TextModel) -> DataFrame:
     """(table, id, host, domain, declared, suffix, text) to table, id, lang, confidence and text_lang."""
-    spark, langs = rows.sparkSession, model.langs
-    n = len(langs)
-    ship(spark)
+    langs, n = model.langs, len(model.langs)
+    ship(rows.sparkSession)
     kept = ["table", "id", "host", "domain", "declared", "suffix"]
-
-    def scoring(group: TextModel, given: bool, carried: list[str]):
-        """Adds the log-likelihoods of a group of languages to those that the row has."""
-
-        def run(batches):
-            for batch in batches:
-                for i, j, data, at in K.chunks(batch.column("text")):
-                    x = group.likelihoods(data, at)
-                    if given:
-                        x = np.concatenate([batch.column("ll").slice(i, j - i).flatten().to_numpy().reshape(j - i, -1), x], 1)
-                    ll = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
-                    yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(i, j - i) for c in carried], ll], [*carried, "ll"])
-
-        return run
-
-    scored = rows.select(*kept, "text")
-    groups = model.groups()
-    for k, group in enumerate(groups):
-        carried = [*kept, "text"] if k + 1 < len(groups) else kept
-        schema = ", ".join(f"{c} {'long' if c == 'id' else 'string'}" for c in carried)
-        scored = scored.mapInArrow(scoring(group, k > 0, carried), f"{schema}, ll array<double>")
-
-    def posterior(logs: Column) -> Column:
-        p = F.transform(logs, lambda x: F.exp(x - F.array_max(logs)))
-        return F.transform(p, lambda x: x / F.aggregate(p, F.lit(0.0), lambda a, b: a + b))
-
-    known = F.array(*[F.lit(x) for x in langs]).cast("array<string>")
-    heard = lambda c: F.when(F.array_contains(known, F.col(c)), F.col(c)).otherwise("")
-    scored = saved(scored.withColumns({"p": posterior(F.col("ll")), "host": F.coalesce("host", F.lit("")), "domain": F.coalesce("domain", F.lit("")), "declared": heard("declared"), "suffix": F.coalesce("suffix", F.lit(""))}), "likelihoods")
-    # a sum a language, as one array
-    sums = F.array(*[F.sum(F.col("p")[k]) for k in range(n)])
-    total = lambda x, first: F.aggregate(x, F.lit(first), lambda a, b: a + b)
-
-    def smoothed(own: Column, above: Column) -> Column:
-        return F.zip_with(own, above, lambda s, q: (s + LENT * q) / total(own, LENT))
-
-    every = scored.groupBy("table").agg(sums.alias("s"))
-    every = every.select("table", smoothed(F.col("s"), F.array_repeat(F.lit(1 / max(1, n)), n)).alias("q"))
-    hosts = saved(scored.groupBy("table", "domain", "host").agg(sums.alias("s")), "hosts")
-    domains = hosts.groupBy("table", "domain").agg(F.array(*[F.sum(F.col("s")[k]) for k in range(n)]).alias("t")).join(F.broadcast(every), "table")  # two tables
-    domains = domains.select("table", "domain", smoothed(F.col("t"), F.col("q")).alias("q"))
-    priors = hosts.join(domains, ["table", "domain"])
-    priors = saved(priors.select("table", "domain", "host", smoothed(F.col("s"), F.col("q")).alias("prior")), "priors")
-    if priors.count() * max(1, n) <= BROADCAST_HOSTS * LANGUAGES:
-        priors = F.broadcast(priors)
-
-    totals = saved(scored.groupBy("table").agg(sums.alias("t"), F.count("*").alias("rows")), "totals")  # two tables
-    right = lambda c: F.transform(known, lambda x: F.when(F.col(c) == x, AGREE).otherwise(0.0))
-
-    def reliability(column: str) -> DataFrame:
-        """log P(what is in the column | language), from soft counts and the belief that a language's own name is right."""
-        seen = scored.groupBy("table", column).agg(sums.alias("s"), F.count("*").alias("c")).join(F.broadcast(totals), "table")
-        if column == "declared":  # a language that occurs, or none
-            logs = F.zip_with(F.zip_with(F.col("s"), right(column), lambda s, r: s + 0.5 + r), F.col("t"), lambda s, t: F.log(s / (t + AGREE + 0.5 * (n + 1))))
-        else:  # any suffix; unseen with a language, it counts by its share of all rows
-            logs = F.zip_with(F.zip_with(F.col("s"), right(column), lambda s, r: s + r + F.col("c") / F.col("rows")), F.col("t"), lambda s, t: F.log(s / (t + AGREE + 1)))
-        told = saved(seen.select("table", column, logs.alias(f"log_{column}")), column)
-        return F.broadcast(told) if told.count() * max(1, n) <= BROADCAST_HOSTS * LANGUAGES else told
-
-    fused = scored.join(priors, ["table", "domain", "host"]).join(reliability("declared"), ["table", "declared"]).join(reliability("suffix"), ["table", "suffix"])
-    logs = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.get("ll", k) + F.log(F.get("prior", k)) + F.get("log_declared", k) + F.get("log_suffix", k))
-    out = fused.withColumn("post", posterior(logs))
-    best = lambda c: F.get(known, (F.array_position(c, F.array_max(c)) - 1).cast("int"))
-    return out.select("table", "id", best(F.col("post")).alias("lang"), F.array_max("post").alias("confidence"), F.when(F.array_max("ll") > F.array_min("ll"), best(F.col("ll"))).alias("text_lang"))
+    schema = ", ".join(f"{c} {'long' if c == 'id' else 'string'}" for c in kept)
+    scored = saved(rows.select(*kept, "text").mapInArrow(_scored(model), f"{schema}, ll array<double>"), "likelihoods")
+    # sums by key and language, sparse; a key's languages are put together once they are summed up
+    cells = scored.mapInArrow(_summed(n), "level string, table string, a string, b string, lang int, s double")
+    cells = saved(cells.groupBy("level", "table", "a", "b", "lang").agg(F.sum("s").alias("s")), "sums")
+
+    def listed(cells: DataFrame, name: str, *keys: str) -> DataFrame:
+        of = F.sort_array(F.collect_list(F.when(F.col("lang") >= 0, F.struct("lang", "s"))))
+        return cells.groupBy(*keys).agg(of["lang"].alias(f"{name}_lang"), of["s"].alias(f"{name}_s"), F.max(F.when(F.col("lang") < 0, F.col("s"))).alias(f"{name}_rows"), F.count("*").alias("_held"))
+
+    hosts = cells.where("level = 'host'").withColumnsRenamed({"a": "domain", "b": "host"})
+    domains = hosts.groupBy("table", "domain", "lang").agg(F.sum("s").alias("s"))
+    tables: dict[str, tuple[np.ndarray, float]] = {}
+    for t, k, s in domains.groupBy("table", "lang").agg(F.sum("s")).collect():  # two tables, at most all languages
+        sums, _ = tables.setdefault(t, (np.zeros(n), 0.0))
+        if k < 0:
+            tables[t] = (sums, s)
+        else:
+            sums[k] = s
+    fused = scored
+    for name, keys, of in (("host", ["table", "domain", "host"], hosts), ("domain", ["table", "domain"], domains), *((c, ["table", c], cells.where(f"level = '{c}'").withColumnRenamed("a", c)) for c in ("declared", "suffix"))):
+        told = saved(listed(of, name, *keys), name)
+        small = (told.agg(F.sum("_held"), F.count("*")).first()[0] or 0) <= BROADCAST_CELLS
+        fused = fused.join(F.broadcast(told.drop("_held")) if small else told.drop("_held"), keys)
+    return fused.mapInArrow(_fused(langs, tables), "table string, id long, lang string, confidence double, text_lang string")
 
 
 def identified(docs: DataFrame, pages: DataFrame) -> DataFrame:
