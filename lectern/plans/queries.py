@@ -409,6 +409,32 @@ def stage_counts(spark, sf_dir):
     return stage.stage_counts(editions=stage.keep_editions(_editions(spark, sf_dir), TOPICS), files=stage.keep_files(_files(spark, sf_dir), FILE_TOPICS, FILE_EXT))
 
 
+@query("""WITH r AS (SELECT DISTINCT l_linestatus, l_returnflag AS query, l_partkey AS subject FROM lineitem),
+m AS (SELECT p_partkey AS subject, p_size / 50.0::DOUBLE AS relevance, CASE WHEN p_size >= 25 THEN 1.0 ELSE 0.0 END::DOUBLE AS genuine FROM part WHERE p_size > 10),
+known AS (SELECT query, subject FROM r WHERE l_linestatus = 'O')
+SELECT 'backing off' AS batch, query, subject, CASE WHEN known.subject IS NOT NULL THEN relevance END AS relevance, CASE WHEN known.subject IS NOT NULL THEN genuine END AS genuine
+FROM (SELECT DISTINCT query, subject FROM r WHERE l_linestatus <> 'O') LEFT JOIN known USING (query, subject) LEFT JOIN m USING (subject)
+UNION ALL SELECT 'later', query, subject, relevance, genuine FROM (SELECT DISTINCT query, subject FROM r) LEFT JOIN m USING (subject)""")
+def cached_answers(spark, sf_dir):
+    """Three batches of questions about parts to a model that has no answer for small ones: open items; the others, while the model
+    is left alone, so that only what was answered before is told; then all, of which only those that aren't known are asked."""
+    from lectern.operators.answers import Answers
+
+    now, parts = [0.0], table(spark, sf_dir, "part")
+    model = parts.where("p_size > 10").select(F.col("p_partkey").alias("subject"), (F.col("p_size") / 50.0).alias("relevance"), F.when(F.col("p_size") >= 25, 1.0).otherwise(0.0).alias("genuine"))
+    answers = Answers(spark, _folder(spark, "answers"), lambda asked, _: asked.join(model, "subject").select("key", "relevance", "genuine"), clock=lambda: now[0])
+    items = table(spark, sf_dir, "lineitem").select("l_linestatus", F.col("l_returnflag").alias("query"), F.col("l_partkey").alias("subject"))
+    items = items.withColumn("key", Answers.key(F.col("query"), F.col("subject").cast("string")))
+
+    def told(batch: str, rows: DataFrame) -> DataFrame:
+        return answers.of(rows.select("query", "subject", "key").distinct()).select(F.lit(batch).alias("batch"), "query", "subject", "relevance", "genuine")
+
+    told("first", items.where("l_linestatus = 'O'"))
+    held = stage.frozen(told("backing off", items.where("l_linestatus <> 'O'")))
+    now[0] += 60
+    return held.unionByName(told("later", items))
+
+
 # ------------------------------------------------- maintenance and changes
 
 
