@@ -7,7 +7,8 @@ P(grade >= k) = sigmoid(w x - threshold_k) shares its weights among the ordered
 thresholds. The output is the expected severity, and a document is toxic from
 0.5 on.
 
-Labels may hold any number of ordered grades, 0 for clean. Where they only tell
+Labels may hold up to ``GRADES`` ordered grades beside 0 for clean; only their
+order counts, and more are an error. Where they only tell
 toxic from clean, toxic texts of the sample are graded 1 or 2 by how much of
 them is toxic: the number of sentences that word statistics of the other texts
 (the sample is dealt into folds, a text's own fold is left out) call toxic.
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 from . import kernel as K
 from .common import saved, ship
 
-#: Bounds of the fit: labelled documents of each kind, and features.
-SAMPLE, FEATURES = 5_000, 4_096
+#: Bounds of the fit: labelled documents of each kind, features, and grades above clean.
+SAMPLE, FEATURES, GRADES = 5_000, 4_096, 32
 PREFIXES = (4, 5, 6)
 LIMIT = 0.5
 ROUNDS, RATE, SHRINK = 600, 0.2, 2e-5
@@ -165,7 +166,15 @@ def trained(docs: DataFrame, labels: DataFrame) -> Model:
     """Fits the model on a bounded sample of the labelled documents."""
     ship(docs.sparkSession)
     marks = labels.where("toxic >= 0").groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic"))
-    sizes = dict(marks.groupBy("toxic").count().collect())  # a row per grade
+    sizes = dict(marks.groupBy("toxic").count().limit(GRADES + 2).collect())  # a row per grade
+    grades = sorted(g for g in sizes if g > 0)
+    if len(grades) > GRADES:
+        raise ValueError(f"more than {GRADES} grades of toxicity")
+    if grades != [*range(1, len(grades) + 1)]:
+        # the place in their order stands for each grade
+        rank = {0: 0} | {g: k for k, g in enumerate(grades, 1)}
+        marks = marks.withColumn("toxic", sum((F.when(F.col("toxic") == g, k).otherwise(0) for g, k in rank.items()), F.lit(0)).cast("long"))
+        sizes = {rank[g]: n for g, n in sizes.items()}
     share = F.lit(0.0)
     for kind, n in sizes.items():
         share = F.when(F.col("toxic") == kind, SAMPLE / n).otherwise(share)

@@ -149,6 +149,24 @@ def test_scores_against_brute_force(spark):
     assert (model.weights < 0).any() and (model.weights > 0).any()
 
 
+def test_only_the_order_of_grades_counts(spark):
+    """A stray label of a million is one grade more, not a million; too many grades are an error."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(240):
+        grade = i % 3
+        rows.append((i, " ".join(rng.choices("garden river lamp stone".split(), k=12) + ["", "grumble pest", "scoundrel villain"][grade].split()), grade))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    found = []
+    for names in ((0, 1, 2), (0, 7, 1_000_000)):
+        marks = spark.createDataFrame([(r[0], names[r[2]]) for r in rows], "doc_id long, toxic int")
+        found.append({r["doc_id"]: r["expected_severity"] for r in toxicity.toxicity(docs, marks).collect()})
+    assert found[0] == pytest.approx(found[1]) and all(abs(found[0][r[0]] - r[2]) < 0.5 for r in rows)
+    many = spark.createDataFrame([(k, k) for k in range(toxicity.GRADES + 2)], "doc_id long, toxic int")
+    with pytest.raises(ValueError, match="grades"):
+        toxicity.trained(docs, many)
+
+
 def test_grades_come_from_other_texts(spark):
     """Severe texts are those with more toxic sentences; words of the text's own fold don't count."""
     rows = []
