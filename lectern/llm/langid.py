@@ -14,7 +14,8 @@ text is what remains of the html without scripts, styles and tags.
 
 Defined results: null or empty text has flat likelihoods, so the other evidence
 decides; a null host counts with all null hosts; ties go to the first language
-in order; without training texts no row gets a language; equal rows get equal
+in order; without training texts no row gets a language; more languages than
+``MOST_LANGUAGES`` are an error; equal rows get equal
 results; ids that are no numbers read as null; empty tables give no rows; other
 columns are ignored; a text is handled whole, however long.
 """
