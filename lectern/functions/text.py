@@ -125,7 +125,8 @@ def page_link(page: Column, pattern: str) -> Column:
     return F.replace(F.regexp_extract(page, pattern, 1), F.lit("&amp;"), F.lit("&"))
 
 
-def byte_size(n: Column) -> Column:
+def byte_size(n: Column, gigabytes: bool = True) -> Column:
+    """A size with its unit, nothing for none. gigabytes: whether large sizes are shown in GB, or in MB however large they are."""
     out = F.lit("")
     kb, mb, gb = 1024, 1024**2, 1024**3
 
@@ -135,7 +136,7 @@ def byte_size(n: Column) -> Column:
 
     return (
         F.when(F.coalesce(n, F.lit(0)) == 0, out).when(n < kb, F.concat(n.cast("string"), F.lit(" B")))
-        .when(n < mb, shown(n / kb, "KB")).when(n < gb, shown(n / mb, "MB")).otherwise(shown(n / gb, "GB")))
+        .when(n < mb, shown(n / kb, "KB")).when((n < gb) | F.lit(not gigabytes), shown(n / mb, "MB")).otherwise(shown(n / gb, "GB")))
 
 
 def relative_age(seconds: Column) -> Column:
