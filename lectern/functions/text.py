@@ -50,10 +50,24 @@ def fold(token: Column) -> Column:
     return F.when(F.octet_length(low) == F.char_length(low), low).when(expands, full).otherwise(out)
 
 
+def _tokens(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(r"([\p{IsAlphabetic}\p{N}]+)"), 1)
+
+
 def analyze(text: Column) -> Column:
-    """Tokens: letters and digits, short enough, lower case, without accents - in this order."""
-    tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"([\p{IsAlphabetic}\p{N}]+)"), 1)
-    return F.transform(F.filter(tokens, lambda t: F.octet_length(t) < TOKEN_BYTES), fold)
+    """Tokens: letters and digits, short enough, lower case, without accents - in this order.
+
+    A text of Latin-1 letters is folded in one piece, which ends no token and joins none; only if it has a token that may be
+    too long, or other letters, are its tokens measured and folded one by one."""
+    whole = F.coalesce(text, F.lit(""))
+    each = F.transform(F.filter(_tokens(whole), lambda t: F.octet_length(t) < TOKEN_BYTES), fold)
+    latin = [(a, b) for a, b in zip(_ACCENTED, _PLAIN, strict=True) if a <= "\xff"]
+    quick = F.translate(F.lower(whole), "".join(a for a, _ in latin), "".join(b for _, b in latin))
+    for k, v in _EXPANDED.items():
+        quick = F.replace(quick, F.lit(k), F.lit(v)) if k <= "\xff" else quick
+    # folding shortens no token, and one of Latin-1 has two bytes a letter at most
+    checked = F.transform(F.array(_tokens(quick)), lambda q: F.when(F.exists(q, lambda t: F.char_length(t) >= TOKEN_BYTES // 2), each).otherwise(q))[0]
+    return F.when(whole.rlike(r"[^\x00-\xFF]"), each).otherwise(checked)
 
 
 def clean(c: Column) -> Column:

@@ -3,7 +3,9 @@
 A query's terms meet the documents' tokens in an equi-join on the term; scores
 are grouped sums. The attempts of the cascade - all terms, all terms with one
 typo each, any term - are computed in the same plan, and each query keeps the
-first attempt that has results after its filters.
+first attempt that has results after its filters. Texts are dealt by document once
+and analysed once; what is summed up by document stays in its task, of which only
+the best documents of each query leave.
 """
 
 from __future__ import annotations
@@ -12,12 +14,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import analyze
+from lectern.scratch import saved, scratch_path
 
 K1, B = 1.2, 0.75
 BOOSTS = {"title": 3.0, "author": 2.0, "series": 1.2, "publisher": 0.5, "isbn": 1.0}
 LIMIT, MOST = 40, 100
 #: What a term with a typo scores in place of its own weight.
 FUZZY_SCORE = 1.0
+#: Rows that are broadcast at most, and bytes of text, about, that a task gets.
+BROADCAST_ROWS, TASK_BYTES = 200_000, 8 << 20
 
 
 def clamp(limit: int | None) -> int:
@@ -30,6 +35,10 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return terms.select("query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
 
 
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def postings(docs: DataFrame, fields: dict[str, Column], keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document, field and token: doc_id, field, len (tokens of the field), token."""
     each = F.array(*[F.struct(F.lit(name).alias("field"), analyze(c).alias("tokens")) for name, c in fields.items()])
@@ -37,28 +46,41 @@ def postings(docs: DataFrame, fields: dict[str, Column], keep: tuple[str, ...] =
     return rows.select("doc_id", *keep, "f.field", F.size("f.tokens").alias("len"), F.explode("f.tokens").alias("token"))
 
 
-def frequencies(docs: DataFrame, fields: dict[str, Column], wanted: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, field, token, tf, len of the tokens in ``wanted`` (token)."""
-    return postings(docs, fields, keep).join(wanted, "token", "left_semi").groupBy("doc_id", *keep, "field", "token", "len").agg(F.count("*").alias("tf"))
+def tasks(docs: DataFrame, texts: list[Column], size: int = TASK_BYTES) -> int:
+    """Into how many tasks texts are dealt, so that each gets a bounded part however many there are."""
+    total = docs.agg(F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in texts), F.lit(0).cast("long")))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // size))
+
 
+def frequencies(docs: DataFrame, fields: dict[str, Column], wanted: DataFrame | None = None, where: Column | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """doc_id, field, token, tf, len, allowed (``where``) of the tokens in ``wanted`` (token) or of all; field, n, mean_len: documents and mean length; tasks.
 
-def field_sizes(docs: DataFrame, fields: dict[str, Column]) -> DataFrame:
-    """One row per field: documents and mean length."""
-    sizes = docs.select(*[F.size(analyze(c)).alias(name) for name, c in fields.items()])
-    sums = sizes.agg(F.count("*").alias("n"), *[F.avg(name).alias(name) for name in fields])
-    return sums.select("n", F.explode(F.array(*[F.struct(F.lit(name).alias("field"), F.col(name).alias("mean_len")) for name in fields])).alias("f")).select("n", "f.field", "f.mean_len")
+    Texts are dealt by document, analysed and counted once; both are read from what that leaves. An empty token stands for the field itself."""
+    spark, n, path = docs.sparkSession, tasks(docs, list(fields.values())), scratch_path(docs.sparkSession, "frequencies")
+    allowed = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
+    dealt = docs.select("doc_id", allowed.alias("allowed"), *[c.alias(f"_{name}") for name, c in fields.items()]).repartition(n, "doc_id")
+    each = F.array(*[F.struct(F.lit(name).alias("field"), analyze(F.col(f"_{name}")).alias("tokens")) for name in fields])
+    rows = dealt.select("doc_id", "allowed", F.explode(each).alias("f"))
+    rows = rows.select("doc_id", "allowed", "f.field", F.size("f.tokens").alias("len"), F.explode(F.array_append("f.tokens", F.lit(""))).alias("token"))
+    if wanted is not None:
+        rows = rows.join(small(wanted.select("token").union(spark.createDataFrame([("",)], "token string")).distinct()), "token", "left_semi")
+    counted = rows.groupBy("doc_id", "field", "token", "len", "allowed").agg(F.count("*").alias("tf"))
+    counted.write.parquet(path)
+    held = spark.read.schema(counted.schema).parquet(path)
+    sizes = held.where("token = ''").groupBy("field").agg(F.count("*").alias("n"), F.avg("len").alias("mean_len"))
+    return held.where("token <> ''"), sizes, n
 
 
-def weights(freq: DataFrame, sizes: DataFrame, boosts: dict[str, float], keep: tuple[str, ...] = ()) -> DataFrame:
-    """BM25 weight of each (document, field, token)."""
+def weights(freq: DataFrame, sizes: DataFrame, boosts: dict[str, float], n: int) -> DataFrame:
+    """BM25 weight of each (document, field, token), all of a document in one of ``n`` tasks."""
     df = freq.groupBy("field", "token").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean_len")))
     boost = F.lit(1.0)
     for name, x in boosts.items():
         boost = F.when(F.col("field") == name, x).otherwise(boost)
-    stats = df.join(F.broadcast(sizes), "field")  # sizes: a row per field
-    return freq.join(stats, ["field", "token"]).select("doc_id", *keep, "field", "token", (boost * idf * norm).alias("weight"))
+    stats = small(df.join(F.broadcast(sizes), "field"))  # sizes: a row per field
+    return freq.where("allowed").repartition(n, "doc_id").join(stats, ["field", "token"]).select("doc_id", "field", "token", (boost * idf * norm).alias("weight"))
 
 
 def deletions(term: Column) -> Column:
@@ -75,23 +97,25 @@ def one_edit(a: Column, b: Column) -> Column:
 
 def fuzzy_terms(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(term) and (token) to all pairs at most one edit apart, by an equi-join on shared deletions."""
-    a = terms.select("term").distinct().select("term", F.explode(deletions(F.col("term"))).alias("form"))
+    a = small(terms.select("term").distinct().select("term", F.explode(deletions(F.col("term"))).alias("form")))
     b = vocabulary.select("token").distinct().select("token", F.explode(deletions(F.col("token"))).alias("form"))
-    return a.join(b, "form").where(one_edit(F.col("term"), F.col("token"))).select("term", "token").distinct()
+    return b.join(a, "form").where(one_edit(F.col("term"), F.col("token"))).select("term", "token").distinct()
 
 
-def top(scored: DataFrame, limit: int | None = None) -> DataFrame:
-    """The best ``limit`` documents of each query, with their position."""
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+def top(scored: DataFrame, limit: int | None = None, *within: str) -> DataFrame:
+    """The best ``limit`` documents of each query, or of each query and ``within``, with their position."""
+    w = Window.partitionBy("query_id", *within).orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("position", F.row_number().over(w)).where(F.col("position") <= clamp(limit))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, fields: dict[str, Column], every_term: bool, boosts: dict[str, float] | None = None, limit: int | None = None) -> DataFrame:
     """query_id, doc_id, score, position of exact matches of all or any terms."""
     terms = query_terms(queries)
-    freq = frequencies(docs, fields, terms.select(F.col("term").alias("token")))
-    scored = weights(freq, field_sizes(docs, fields), boosts or {}).join(terms.withColumnRenamed("term", "token"), "token")
-    scored = scored.groupBy("query_id", "doc_id", "n_terms").agg(F.round(F.sum("weight"), 6).alias("score"), F.countDistinct("token").alias("found"))
+    freq, sizes, n = frequencies(docs, fields, terms.select(F.col("term").alias("token")))
+    scored = weights(freq, sizes, boosts or {}, n).join(small(terms.withColumnRenamed("term", "token")), "token")
+    if len(fields) > 1:
+        scored = scored.groupBy("query_id", "doc_id", "n_terms", "token").agg(F.sum("weight").alias("weight"))
+    scored = scored.groupBy("query_id", "doc_id", "n_terms").agg(F.round(F.sum("weight"), 6).alias("score"), F.count("*").alias("found"))
     return top(scored.where(F.col("found") == F.col("n_terms")) if every_term else scored, limit).select("query_id", "doc_id", "score", "position")
 
 
@@ -100,24 +124,23 @@ def cascade(docs: DataFrame, queries: DataFrame, fields: dict[str, Column], boos
 
     where: a condition on ``docs``; documents that fail it are no results of any attempt, but count in the statistics."""
     terms = query_terms(queries)
+    freq, sizes, n = frequencies(docs, fields, None, where)
     # A vocabulary row per distinct token; only pairs one edit apart leave the join.
-    vocabulary = postings(docs, {k: v for k, v in fields.items() if fuzzy_fields is None or k in fuzzy_fields}).select("token").distinct()
+    vocabulary = (freq if fuzzy_fields is None else freq.where(F.col("field").isin(*fuzzy_fields))).select("token").distinct()
     near = fuzzy_terms(terms.select("term"), vocabulary).where("term <> token")
-    wanted = terms.select("term", F.col("term").alias("token")).union(near).distinct()
-    freq = frequencies(docs, fields, wanted.select("token").distinct())
-    weight = weights(freq, field_sizes(docs, fields), boosts or {})
+    wanted = small(saved(terms.select("term", F.col("term").alias("token")).union(near).distinct(), "wanted"))
+    weight = weights(freq.join(small(wanted.select("token").distinct()), "token", "left_semi"), sizes, boosts or {}, n)
     allowed = F.lit(True) if fuzzy_fields is None else F.col("field").isin(*fuzzy_fields)
     exact = F.col("term") == F.col("token")
     hits = weight.join(wanted, "token").where(exact | allowed).groupBy("doc_id", "term").agg(F.sum(F.when(exact, F.col("weight"))).alias("weight"))
-    if where is not None:
-        hits = hits.join(docs.where(where).select("doc_id").distinct(), "doc_id", "left_semi")
-    found = hits.join(terms, "term").groupBy("query_id", "doc_id", "n_terms").agg(
+    found = hits.join(small(terms), "term").groupBy("query_id", "doc_id", "n_terms").agg(
         F.count("weight").alias("exact"), F.count("*").alias("any"), F.sum("weight").alias("exact_score"), F.sum(F.coalesce("weight", F.lit(FUZZY_SCORE))).alias("any_score"))
     attempt = F.when(F.col("exact") == F.col("n_terms"), 1).when(F.col("any") == F.col("n_terms"), 2).when(F.col("exact") > 0, 3)
-    tried = found.withColumn("attempt", attempt).where("attempt is not null").withColumn("first", F.min("attempt").over(Window.partitionBy("query_id")))
-    tried = tried.where((F.col("attempt") == F.col("first")) | ((F.col("first") == 3) & (F.col("exact") > 0)))
-    score = F.round(F.when(F.col("first") == 2, F.col("any_score")).otherwise(F.col("exact_score")), 6)
-    return top(tried.select("query_id", "doc_id", score.alias("score"), F.col("first").alias("attempt")), limit)
+    tried = found.withColumn("attempt", attempt).where("attempt is not null")
+    score = F.round(F.when(F.col("attempt") == 2, F.col("any_score")).otherwise(F.col("exact_score")), 6)
+    # the best of each attempt; the first attempt that has any is the query's
+    best = top(tried.select("query_id", "doc_id", score.alias("score"), "attempt"), limit, "attempt")
+    return best.withColumn("first", F.min("attempt").over(Window.partitionBy("query_id"))).where("attempt = first").drop("first")
 
 
 def match_all(docs: DataFrame, limit: int | None = None) -> DataFrame:

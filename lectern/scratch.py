@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
@@ -29,3 +29,10 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     fs.mkdirs(parent)
     fs.deleteOnExit(parent)
     return f"{parent}/{tag}"
+
+
+def saved(df: DataFrame, tag: str) -> DataFrame:
+    """The rows as files of a new path, read back."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
