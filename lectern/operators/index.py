@@ -34,14 +34,16 @@ from pyspark.sql import functions as F
 from lectern.functions.text import analyze
 from lectern.operators import search
 from lectern.operators.maintain import Store
-from lectern.scratch import scratch_path
+from lectern.scratch import saved
 
 #: Documents of a block, about, and folders of tokens.
 BLOCK, BUCKETS = 128, 16
 #: So many distinct terms are looked up by literal values, which prune folders and row groups; more by a join.
 PRUNED = 64
 #: Rows of queries, terms and dead keys are broadcast up to this count.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = search.BROADCAST_ROWS
+#: Bytes of text whose postings one task sorts and writes, tokens whose rows it does, and blocks that one task of a search or merge gets, about.
+SORTED, WORDS, SPREAD = 32 << 20, 500_000, 64
 #: What rounding can move a score.
 MARGIN = 2e-6
 #: Segments of like size that are merged into one, and the share of dead documents from which all are.
@@ -54,7 +56,7 @@ PARTS = {
 
 
 def _small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(df) if df.count() <= most else df
+    return search.small(df, most)
 
 
 def _forms(words: DataFrame, name: str) -> DataFrame:
@@ -91,23 +93,28 @@ class Index:
     def _bucket(self, c: Column) -> Column:
         return F.pmod(F.xxhash64(c), F.lit(self.buckets)).cast("int")
 
-    def _frequencies(self, docs: DataFrame, blocks: int) -> DataFrame:
-        """doc, block, field, token, len, tf. Texts are dealt by block once; all that follows stays in place."""
+    def _frequencies(self, docs: DataFrame, blocks: int, tasks: int) -> DataFrame:
+        """doc, block, field, token, len, tf. Texts are dealt by block once, to tasks of bounded size; all that follows stays in place."""
         block = F.pmod(F.xxhash64(F.col(self.key)), F.lit(blocks))
         each = F.array(*[F.struct(F.lit(name).alias("field"), analyze(F.col(f"_{name}")).alias("tokens")) for name in self.fields])
-        dealt = docs.select(F.col(self.key).alias("doc"), block.alias("block"), *[c.alias(f"_{name}") for name, c in self.fields.items()]).repartition("block")
+        dealt = docs.select(F.col(self.key).alias("doc"), block.alias("block"), *[c.alias(f"_{name}") for name, c in self.fields.items()]).repartition(tasks, "block")
         rows = dealt.select("doc", "block", F.explode(each).alias("f")).select("doc", "block", "f.field", F.size("f.tokens").alias("len"), F.explode("f.tokens").alias("token"))
         return rows.groupBy("block", "field", "token", "doc", "len").agg(F.count("*").cast("int").alias("tf"))
 
-    def _write_postings(self, freq: DataFrame, path: str, number: int, blocks: int) -> None:
+    def _clustered(self, rows: DataFrame, by: str, tasks: int, *order: str) -> DataFrame:
+        """Rows of each bucket in as many tasks as it takes, dealt by ``by`` and sorted: what a task sorts doesn't grow with the index."""
+        spread = max(1, -(-tasks // self.buckets))
+        place = F.col("bucket") * spread + F.pmod(F.xxhash64(by, F.lit(1)), F.lit(spread))
+        return rows.repartitionById(self.buckets * spread, place.cast("int")).sortWithinPartitions("bucket", *order)
+
+    def _write_postings(self, freq: DataFrame, path: str, number: int, tasks: int) -> None:
         """Rows of (block, field, token) with arrays, clustered by token."""
         rows = freq.groupBy("block", "field", "token").agg(F.sort_array(F.collect_list(F.struct("doc", "tf", "len"))).alias("p"))  # at most about a block's documents
         rows = rows.select(
             "token", "field", (F.lit(number).cast("long") * F.lit(1 << 40) + F.col("block")).alias("block"), F.size("p").alias("n"), F.array_max("p.tf").alias("max_tf"), F.array_min("p.len").alias("min_len"),
             F.aggregate("p.tf", F.lit(0).cast("long"), lambda a, x: a + x).alias("words"), F.col("p.doc").alias("docs"), F.col("p.tf").alias("tfs"), F.col("p.len").alias("lens"), self._bucket(F.col("token")).alias("bucket"))
-        # a token in every document has a row for each block: so many files share its bucket
-        spread = max(1, min(64, blocks // 4096))
-        rows.repartition("bucket", F.pmod("block", F.lit(spread))).sortWithinPartitions("bucket", "token", "field", "block").write.partitionBy("bucket").parquet(f"{path}/postings")
+        # a token in every document has a row for each block: they are dealt by block
+        self._clustered(rows, "block", tasks, "token", "field", "block").write.partitionBy("bucket").parquet(f"{path}/postings")
 
     def _write(self, docs: DataFrame, gone: DataFrame | None = None, dead: DataFrame | None = None) -> dict:
         """One segment of ``docs``; gone: the documents, as they were indexed, of the keys ``dead``."""
@@ -119,18 +126,23 @@ class Index:
         path, n = f"{self.folder}/{name}", docs.count()
         segment = {"name": name, "number": number, "key": dict(docs.dtypes)[self.key], "n": n, "gone": 0, "words": {}, "dead": dead is not None}
         blocks = max(1, -(-n // self.block))
-        self._write_postings(self._frequencies(docs, blocks), path, number, blocks)
+        texts = list(self.fields.values())
+        tasks = min(blocks, search.tasks(docs, texts))
+        self._write_postings(self._frequencies(docs, blocks, tasks), path, number, min(tasks, search.tasks(docs, texts, SORTED)))
         added = self._read(segment, "postings").groupBy("bucket", "token", "field").agg(F.sum("n").cast("long").alias("df"), F.sum("words").alias("words"))
         if gone is not None:
             segment["gone"] = gone.count()
-            lost = self._frequencies(gone, max(1, -(-segment["gone"] // self.block))).groupBy("token", "field").agg((-F.count("*")).alias("df"), (-F.sum("tf")).alias("words")).withColumn("bucket", self._bucket(F.col("token")))
+            few = max(1, -(-segment["gone"] // self.block))
+            lost = self._frequencies(gone, few, min(few, search.tasks(gone, texts))).groupBy("token", "field").agg((-F.count("*")).alias("df"), (-F.sum("tf")).alias("words")).withColumn("bucket", self._bucket(F.col("token")))
             added = added.unionByName(lost).groupBy("bucket", "token", "field").agg(F.sum("df").alias("df"), F.sum("words").alias("words"))
-        added.select("bucket", "token", "field", "df", "words").repartition("bucket").sortWithinPartitions("token", "field").write.parquet(f"{path}/terms")
+        added = saved(added.select("bucket", "token", "field", "df", "words"), "terms")
+        many = -(-added.count() // WORDS)
+        self._clustered(added, "token", many, "token", "field").write.parquet(f"{path}/terms")
         terms = self._read(segment, "terms")
         sums = {r["field"]: r["words"] for r in terms.groupBy("field").agg(F.sum("words").alias("words")).collect()}  # a row per field
         fuzzy = terms if self.fuzzy_fields is None else terms.where(F.col("field").isin(*self.fuzzy_fields))
         forms = _forms(fuzzy.where("df > 0").select("token").distinct(), "token")
-        forms.withColumn("bucket", self._bucket(F.col("form"))).repartition("bucket").sortWithinPartitions("form").select("bucket", "form", "token").write.parquet(f"{path}/forms")
+        self._clustered(forms.withColumn("bucket", self._bucket(F.col("form"))), "form", 8 * many, "form").select("bucket", "form", "token").write.parquet(f"{path}/forms")
         if dead is not None:
             dead.write.parquet(f"{path}/dead")
         return segment | {"words": {f: int(sums.get(f) or 0) for f in self.fields}}
@@ -184,10 +196,12 @@ class Index:
         rows = self._live(self._rows("postings", segments), segments)
         if any(s["dead"] for s in segments[1:]):
             rows = rows.where(F.size("docs") > 0)
-        rows.drop("segment").repartition("bucket").sortWithinPartitions("bucket", "token", "field", "block").write.partitionBy("bucket").parquet(f"{path}/postings")
         terms = self._rows("terms", segments).groupBy("bucket", "token", "field").agg(F.sum("df").alias("df"), F.sum("words").alias("words")).where("df <> 0 or words <> 0")
-        terms.repartition("bucket").sortWithinPartitions("token", "field").write.parquet(f"{path}/terms")
-        self._rows("forms", segments).select("bucket", "form", "token").distinct().repartition("bucket").sortWithinPartitions("form").write.parquet(f"{path}/forms")
+        many = -(-terms.count() // WORDS)
+        blocks = sum(-(-s["n"] // self.block) for s in segments)
+        self._clustered(rows.drop("segment"), "block", max(many, blocks // SPREAD), "token", "field", "block").write.partitionBy("bucket").parquet(f"{path}/postings")
+        self._clustered(terms, "token", many, "token", "field").write.parquet(f"{path}/terms")
+        self._clustered(self._rows("forms", segments).select("bucket", "form", "token").distinct(), "form", 8 * many, "form").write.parquet(f"{path}/forms")
         dead = [s for s in segments if s["dead"]]
         if dead:
             self._rows("dead", dead).select("doc").distinct().write.parquet(f"{path}/dead")
@@ -237,6 +251,11 @@ class Index:
             return self._rows(part).where(F.col("bucket").isin(folders) & F.col(by).isin(some))
         return self._rows(part).join(_small(wanted), by, "left_semi")
 
+    def _tasks(self) -> int:
+        """Into how many tasks postings are dealt by block, so that each gets a bounded number of blocks."""
+        blocks = sum(-(-s["n"] // self.block) for s in self.segments())
+        return max(1, min(blocks, max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-blocks // SPREAD))))
+
     def documents(self) -> int:
         return sum(s["n"] - s["gone"] for s in self.segments())
 
@@ -285,9 +304,7 @@ class Index:
         return _small(self._saved(asked.select("query_id", "n_terms", "term", "token", "exact", "field", "factor", "mean_len"), "asked"))
 
     def _saved(self, df: DataFrame, tag: str) -> DataFrame:
-        path = scratch_path(self.spark, tag)
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return saved(df, tag)
 
     def _heads(self, asked: DataFrame, rows: DataFrame) -> DataFrame:
         """query_id, n_terms, block, terms (how many it has), best (what a document of it can score at most), n (postings): arrays aren't read."""
@@ -300,7 +317,7 @@ class Index:
         """query_id, n_terms, doc_id, exact, any, exact_score, any_score of the documents in open blocks (query_id, block), or in all.
 
         A document's postings all lie in its block: rows are dealt by block while they are arrays, and summed up where they are."""
-        met = rows.select("token", "field", "block", "segment", "docs", "tfs", "lens").repartition("block").join(asked, ["token", "field"])
+        met = rows.select("token", "field", "block", "segment", "docs", "tfs", "lens").repartition(self._tasks(), "block").join(asked, ["token", "field"])
         if open_ is not None:
             met = met.join(_small(open_.select("query_id", "block")), ["query_id", "block"], "left_semi")
         each = met.select("block", "query_id", "n_terms", "term", "exact", "factor", "mean_len", F.explode(F.arrays_zip("docs", "tfs", "lens")).alias("p"))
