@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.scratch import saved
+
 PATTERN = r"^(.*?)(\d{4}-\d{2}-\d{2})\.part(\d+)\.rar$"
 
 
@@ -35,9 +37,12 @@ def newest_volumes(listing: DataFrame, pattern: str = VOLUME) -> DataFrame:
     day without all volumes from 1 on is an error: an older one is not taken in
     its place. ``listing`` is (mirror, name) and, if given, the mirrors' ``rank``."""
     rank = F.col("rank") if "rank" in listing.columns else F.col("mirror")
-    found = listing.where(F.col("name").rlike(pattern)).select(F.regexp_extract("name", pattern, 1).alias("snapshot_date"), F.coalesce(F.nullif(F.regexp_extract("name", pattern, 2), F.lit("")), F.lit("1")).cast("long").alias("volume"), F.struct(rank.alias("rank"), "mirror", "name").alias("place"))
+    # listings name a volume over and over: what is left of them is small, and they are read once
+    listing = listing.select("mirror", "name", rank.alias("rank")).distinct()
+    found = listing.where(F.col("name").rlike(pattern)).select(F.regexp_extract("name", pattern, 1).alias("snapshot_date"), F.coalesce(F.nullif(F.regexp_extract("name", pattern, 2), F.lit("")), F.lit("1")).cast("long").alias("volume"), F.struct("rank", "mirror", "name").alias("place"))
+    found = saved(found.groupBy("snapshot_date", "volume").agg(F.min("place").alias("p")), "volumes")
     last = found.agg(F.max("snapshot_date").alias("snapshot_date"))
-    volumes = found.join(F.broadcast(last), "snapshot_date", "left_semi").groupBy("snapshot_date", "volume").agg(F.min("place").alias("p"))
+    volumes = found.join(F.broadcast(last), "snapshot_date", "left_semi")
     state = volumes.agg(F.count("*").alias("n"), F.min("volume").alias("low"), F.max("volume").alias("high"), F.first("snapshot_date").alias("day")).first()
     if not state["n"]:
         raise SnapshotError("no snapshot in the listing")

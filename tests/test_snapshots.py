@@ -25,3 +25,9 @@ def test_one_volume_without_a_number(spark):
 def test_no_older_snapshot_in_place_of_an_incomplete_one(spark, names):
     with pytest.raises(discovery.SnapshotError):
         discovery.newest_volumes(listing(spark, *[("a", n) for n in names]))
+
+
+def test_a_listing_is_read_once(spark, tmp_path):
+    listing(spark, ("b", "d_2024-02-01.part01.rar"), ("a", "d_2024-02-01.part01.rar"), ("a", "d_2024-01-01.rar")).write.parquet(f"{tmp_path}/listing")
+    found = discovery.newest_volumes(spark.read.parquet(f"{tmp_path}/listing"))
+    assert not any("/listing/" in f for f in found.inputFiles()) and [r["mirror"] for r in found.collect()] == ["a"]
