@@ -36,3 +36,14 @@ def test_cache_and_back_off(spark, tmp_path):
     now[0], mode[0] = now[0] + 31, "answer"
     assert told("e") == {"e": 0.5} and told("e") == {"e": 0.5} and asked == [["e"]]
     assert told() == {}
+
+
+def test_a_batch_is_written_no_more_often_than_needed(spark, tmp_path, monkeypatch):
+    from lectern.operators import answers as module
+
+    written = []
+    monkeypatch.setattr(module, "frozen", lambda df, f=module.frozen: written.append(df.columns) or f(df))
+    kept = Answers(spark, f"file://{tmp_path}/a", lambda asked, _: asked.select("key", F.lit(0.5).alias("relevance"), F.lit(1.0).alias("genuine")))
+    rows = kept.of(spark.createDataFrame([("k",), ("l",)], "key string")).collect()
+    # the requests, the misses and what was told
+    assert {r["relevance"] for r in rows} == {0.5} and len(written) == 3
