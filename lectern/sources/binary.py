@@ -32,7 +32,9 @@ NORMAL, END_SPACE, PRE_SPACE, ZERO, BLOB, VARCHAR, CHECK = 0, 1, 2, 3, 4, 8, 9
 #: Fixed-width records that are decoded at once.
 RUN = 32_768
 #: Bytes of a range of linked blocks, of what is read beyond it at once, and of its beginning that is searched for a block.
-RANGE, AHEAD, WINDOW = 32 << 20, 1 << 16, 1 << 12
+RANGE, AHEAD, WINDOW = 8 << 20, 1 << 16, 1 << 12
+#: Blocks that leave a range's task at once.
+BATCH = 16_384
 #: Bytes of a definition or index that are looked at.
 HEADER = 1 << 20
 
@@ -402,8 +404,9 @@ def read_blocks(spark: SparkSession, path: str, range_size: int = 0) -> DataFram
         for batch in batches:
             for uri, n, lo, hi, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 with Stretch(uri, lo, hi, n) as read:
-                    rows = [(uri, *p) for p in _pieces(read, at, hi)]
-                yield pa.RecordBatch.from_pydict({f.name: [r[i] for r in rows] for i, f in enumerate(schema)}, schema)
+                    pieces = _pieces(read, at, hi)
+                    while rows := list(itertools.islice(pieces, BATCH)):
+                        yield pa.RecordBatch.from_arrays([pa.array([uri] * len(rows)), *map(pa.array, zip(*rows, strict=True), schema.types[1:])], schema=schema)
 
     parts = entries(spark, ranges(spark, path, range_size))
     frame = spark.createDataFrame(parts, "file string, n long, lo long, hi long, at long")

@@ -82,3 +82,8 @@ def test_scan_statistics(spark, tmp_path, range_size):
     found = binary.scan_statistics(spark, str(tmp_path / "s.myd"), range_size).collect()
     assert [tuple(r)[1:] for r in found] == [(40, 20, 40, 20, len(data))]
     assert binary.read_linked(spark, str(tmp_path / "s.myd"), range_size).count() == 40
+
+
+def test_ranges_are_small_enough_for_several_tasks_of_an_executor(spark, tmp_path):
+    (tmp_path / "t").write_bytes(bytes(20 << 20))
+    assert max(hi - lo for *_, lo, hi in binary.ranges(spark, f"file://{tmp_path}/t")) <= 8 << 20
