@@ -21,7 +21,6 @@ import json
 import math
 import re
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +37,12 @@ ROUNDS, SHARPNESS, NEAR = 30, 3.0, 0.01
 MANY, SMALLEST_STEP = 1_000, 0.05
 #: Programs solved one after the other, each over what the last one's rounding left, and how close to the bound no other rounding is tried.
 PHASES, CLOSE = 3, 1e-4
-#: Words remembered by a worker, and the longest that is.
-REMEMBERED, WORD_LENGTH = 200_000, 40
+#: Runs of so much white space are left to the file's own tokenizer: the quicker one's regular expression overflows its stack on a million.
+LONG_BLANK = 100_000
 
-#: Fixed value: how byte-level BPE divides text before merging.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Fixed value: how byte-level BPE divides text before merging. White space at the end is taken without trying shorter runs; what
+#: is left for the last branch is a single character, so the pieces are those of the usual \s+(?!\S)|\s+.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s++$|\s+(?!\S)|\s"
 
 _loaded: dict[str, WordEncoder] = {}
 
@@ -60,63 +60,42 @@ def _bytes_by_character() -> dict[str, int]:
 
 
 class WordEncoder:
-    """Token ids of texts as little-endian bytes, remembering words.
+    """Token ids of texts as little-endian bytes.
 
     The vocabulary of a byte-level BPE file lists tokens in the order of their
     merges, so its ids serve as ranks for the quicker of the two encoders at hand;
-    tests hold the ids against the file's own tokenizer. The tokenizer never joins
-    what a single space between two other characters divides, so such a text's ids
-    are those of its space-led words in a row. Texts with other white space at a
-    space are encoded whole. A text that holds a special token's name is left to
-    the file's own tokenizer, which reads the name as that token.
+    tests hold the ids against the file's own tokenizer. Every text is encoded in
+    one call: taking it apart into words and remembering theirs cost more than
+    merging them again. A text that holds a special token's name is left to the
+    file's own tokenizer, which reads the name as that token, as is one with a very
+    long run of white space.
     """
 
-    whole = re.compile(r" (?=\s|\Z)")
+    blank = re.compile(rf"(?<!\s)\s{{{LONG_BLANK}}}")
 
     def __init__(self, path: str):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
-        special = {t["content"] for t in file.get("added_tokens", [])}
         self.path, self.own = path, None
-        self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
+        self.special = {t["content"]: t["id"] for t in file.get("added_tokens", [])}
         byte = _bytes_by_character()
-        ranks = {bytes(byte[c] for c in token): i for token, i in file["model"]["vocab"].items() if token not in special}
-        self.encoder = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.words: dict[str, bytes] = {}
-
-    def raw(self, texts: list[str]) -> list[bytes]:
-        encode = self.encoder.encode_ordinary
-        return [array("I", encode(t)).tobytes() for t in texts]
+        ranks = {bytes(byte[c] for c in token): i for token, i in file["model"]["vocab"].items() if token not in self.special}
+        self.encoder = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
 
     def by_file(self, text: str) -> bytes:
         from tokenizers import Tokenizer
 
         self.own = self.own or Tokenizer.from_file(self.path)
-        return array("I", self.own.encode(text, add_special_tokens=False).ids).tobytes()
+        return np.array(self.own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def left_to_file(self, text: str) -> bool:
+        return any(name in text for name in self.special) or len(text) >= LONG_BLANK and self.blank.search(text) is not None
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        named = [k for k, t in enumerate(texts) if self.special and self.special.search(t)]
-        if named:
-            out = self.encode([t for t in texts if not self.special.search(t)])
-            for k in named:
-                out.insert(k, self.by_file(texts[k]))
-            return out
-        if len(self.words) > REMEMBERED:
-            self.words = {}
-        split = [None if self.whole.search(t) else t.replace(" ", "\0 ").split("\0") if "\0" not in t else None for t in texts]
-        new: set[str] = set()
-        for parts in split:
-            if parts is not None:
-                new.update(parts)
-        new.difference_update(self.words)
-        ordered = list(new)
-        got = dict(zip(ordered, self.raw(ordered), strict=True))
-        self.words.update((w, b) for w, b in got.items() if len(w) <= WORD_LENGTH)
-        look = self.words if all(len(w) <= WORD_LENGTH for w in got) else self.words | got
-        whole = iter(self.raw([t for t, parts in zip(texts, split, strict=True) if parts is None]))
-        return [next(whole) if parts is None else b"".join(map(look.__getitem__, parts)) for parts in split]
+        quick = self.encoder.encode_to_numpy
+        return [self.by_file(t) if self.left_to_file(t) else quick(t, disallowed_special=()).tobytes() for t in texts]
 
 
 def _pieces(path: str, capacity: int, with_ids: bool):
